@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from orrery.llm.bpe import encode_decode
 from orrery.llm.exact_dedup import exact_groups
 from orrery.llm.fingerprints import edited_fingerprints
+from orrery.llm.hmm import score_texts
+from orrery.llm.licenses import scan
 from orrery.llm.line_dedup import drop_boilerplate
+from orrery.llm.packing import pack_documents
 from orrery.llm.sharding import shard_documents
+from orrery.llm.simhash import near_groups
+from orrery.llm.toxicity import fit, held_out, score
 from orrery.session import table
 
 SHARDS = 40
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +35,39 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_pack_min_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan(table(spark, sf_dir, "documents"))
+    label = lambda x: x["label"]
+    word = lambda x: x["word"]
+    base = F.array_distinct(F.transform("places", label))
+    both = F.array_union(base, F.transform("matches", label))
+    best = F.array_max(F.transform("matches", lambda x: x["containment"]))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", word)).alias("first_word"),
+        F.array_max(F.transform("places", word)).alias("last_word"),
+        F.array_join(F.sort_array(base), ",").alias("base_labels"),
+        F.array_join(F.sort_array(both), ",").alias("labels"),
+        F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size("places") > 0, 1.0).otherwise(0.0)).alias("score"),
+    )
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(grams):
         return F.sha2(F.concat_ws(",", F.transform(grams, lambda x: F.hex(x))), 256)
@@ -34,7 +81,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_shards, op3_exact_dedup, op8_fingerprints, op9_line_dedup)}
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0, F.lit(False))
+    rows = score_texts(table(spark, sf_dir, "documents"), ~apart)
+    return rows.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ring_shards, op3_exact_dedup, op4_pack_min_slack, op5_bpe_round_trip, op6_simhash_groups, op7_license_scan, op8_fingerprints, op9_line_dedup, op10_hmm_scores)}
 
 ORACLES = {
     "op3_exact_dedup": r"""

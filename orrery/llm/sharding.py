@@ -31,7 +31,7 @@ def _virtual_nodes(shards: int, replicas: int, cells: int) -> list[tuple[int, in
     return [(h * cells >> 64, shard) for h, shard in sorted(nodes)]
 
 
-def place_units(units, shards: int, replicas: int = 64, slack: float = 0.005, cells: int = CELLS):
+def place_units(units, shards: int, replicas: int = 64, slack: float = 0.001, cells: int = CELLS):
     """Walks the ring once: ``units`` are (cell, sub, bytes, rows) and come back
     as (cell, sub, shard, first slot).
 
@@ -58,7 +58,7 @@ def place_units(units, shards: int, replicas: int = 64, slack: float = 0.005, ce
     return placed
 
 
-def shard_documents(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", replicas: int = 64, slack: float = 0.005) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", replicas: int = 64, slack: float = 0.001) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row.
 
     Size is the UTF-8 length plus 16.  Shards get nearly equal bytes: at most
