@@ -129,6 +129,14 @@ def shard_links(fp: np.ndarray, home: np.ndarray, shard: np.ndarray, radius: int
     return fp[own], fp[label[own]]
 
 
+def _blocks(radius: int, distinct: int, most: int = 64) -> int:
+    """The least number of blocks that leaves about ``most`` fingerprints to a shard, or fewer; any number finds the same links."""
+    kept = 2
+    while kept < 8 and distinct > most << (64 * kept // (radius + kept)):
+        kept += 1
+    return radius + kept
+
+
 def links(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that join the same
     classes as all pairs within ``radius``, at most one for each row of a shard.
@@ -217,7 +225,7 @@ def near_groups(docs: DataFrame, *, words: int = 3, radius: int = 2, blocks: int
     """
     printed = staged(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "fingerprints")
     classes = staged(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("fp"), radius, blocks or radius + 2))
+    roots = components(links(classes.select("fp"), radius, blocks or _blocks(radius, classes.count())))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     member = rooted.join(named, "root").select("fp", "component_id")
