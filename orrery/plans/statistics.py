@@ -1 +1,126 @@
-"""Queries."""
+"""Bootstraps, permutations and summary statistics."""
+
+from pyspark.sql import Window as W, functions as F
+
+from orrery.operators import stats as st
+from orrery.operators.retrieval import ranked
+from orrery.plans.registry import query
+from orrery.session import table
+
+DRAWS = 200
+DRAW = "(concat('0x', substr(md5(concat({0})), 1, 8))::UBIGINT % {1})::BIGINT"
+
+
+def _boot(values: str) -> str:
+    return f"""c AS (SELECT row_number() OVER (ORDER BY ctx) - 1 AS at_, sum(v) AS s, count(v) AS n FROM ({values}) GROUP BY ctx), z AS (SELECT count(*)::BIGINT AS m FROM c),
+    d AS (SELECT dr.range AS draw, {DRAW.format("dr.range, '-', sl.range", 'm')} AS at_ FROM range({DRAWS}) dr, z, range((SELECT m FROM z)) sl), b AS (SELECT draw, sum(s) / sum(n) AS x FROM d JOIN c USING (at_) GROUP BY draw)"""
+
+
+CI = "round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, (quantile_cont(x, 0.025) > 0 OR quantile_cont(x, 0.975) < 0) AS excludes_zero"
+
+
+@query(f"WITH {_boot('SELECT o_custkey % 97 AS ctx, CASE WHEN o_totalprice > 150000 THEN 1.0::DOUBLE ELSE 0 END AS v FROM orders')} SELECT (SELECT round(sum(s) / sum(n), 6) FROM c) AS mean, {CI} FROM b")
+def bootstrap_context_ci(spark, sf_dir):
+    """The share of large orders with a confidence interval over resampled customer groups."""
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("ctx"), F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0).alias("v"))
+    samples = st.bootstrap(st.by_cluster(rows, "ctx", "v"), DRAWS)
+    return samples.agg(*st.interval(samples)).crossJoin(rows.agg(F.round(F.avg("v"), 6).alias("mean")))
+
+
+@query(f"WITH {_boot('SELECT p_partkey % 53 AS ctx, a.v - b.v AS v FROM part JOIN (SELECT l_partkey AS k, avg(l_discount) AS v FROM lineitem GROUP BY 1) a ON a.k = p_partkey JOIN (SELECT l_partkey AS k, avg(l_tax) AS v FROM lineitem GROUP BY 1) b ON b.k = p_partkey')} SELECT (SELECT round(sum(s) / sum(n), 6) FROM c) AS mean, {CI} FROM b")
+def paired_bootstrap(spark, sf_dir):
+    """The difference between two values of the same parts, with the same draws for both."""
+    means = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg((F.avg("l_discount") - F.avg("l_tax")).alias("v"))
+    rows = table(spark, sf_dir, "part").join(means, F.col("p_partkey") == F.col("k")).select((F.col("p_partkey") % 53).alias("ctx"), "v")
+    samples = st.bootstrap(st.by_cluster(rows, "ctx", "v"), DRAWS)
+    return samples.agg(*st.interval(samples)).crossJoin(rows.agg(F.round(F.avg("v"), 6).alias("mean")))
+
+
+PERMS = 20
+
+
+@query(
+    f"""WITH x AS (SELECT event_type AS arm, event_id AS fact, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    base AS (SELECT arm, avg(greatest(value, value)) AS observed FROM x GROUP BY arm),
+    p AS (SELECT x.arm, pm.range AS perm, x.value, (x.i + 1 + {DRAW.format("pm.range, '-', x.fact", 'greatest(x.n - 1, 1)')}) % x.n AS j FROM x, range({PERMS}) pm),
+    g AS (SELECT p.arm, perm, avg(CASE WHEN y.value > p.value THEN 1 ELSE 0 END) AS gain FROM p JOIN x y ON y.arm = p.arm AND y.i = p.j GROUP BY ALL)
+    SELECT arm, round(avg(gain), 6) AS null_mean, round(stddev_samp(gain), 6) AS null_sd, count(*) FILTER (gain >= 0.5) AS at_least, round((count(*) FILTER (gain >= 0.5) + 1) / ({PERMS} + 1), 6) AS p_smoothed, round(count(*) FILTER (gain >= 0.5) / {PERMS}, 6) AS p_plain FROM g GROUP BY arm"""
+)
+def permutation_null(spark, sf_dir):
+    """Each fact borrows another fact's value of its arm; how often that beats its own, and both p values of one half."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("event_id").alias("fact"), "value")
+    placed = ranked(rows, ["arm"], [F.col("fact")]).withColumn("i", F.col("rank") - 1).join(rows.groupBy("arm").agg(F.count("*").alias("n")), "arm")
+    shift = st.draw(F.greatest(F.col("n") - 1, F.lit(1)), F.col("perm"), F.col("fact"))
+    asked = placed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMS - 1)))).withColumn("i", (F.col("i") + 1 + shift) % F.col("n")).select("arm", "perm", "i", F.col("value").alias("own"))
+    gains = asked.join(placed.select("arm", "i", "value"), ["arm", "i"]).groupBy("arm", "perm").agg(F.avg(F.when(F.col("value") > F.col("own"), 1.0).otherwise(0.0)).alias("gain"))
+    more = F.count(F.when(F.col("gain") >= 0.5, 1))
+    return gains.groupBy("arm").agg(F.round(F.avg("gain"), 6).alias("null_mean"), F.round(F.stddev_samp("gain"), 6).alias("null_sd"), more.alias("at_least"), F.round((more + 1) / (PERMS + 1), 6).alias("p_smoothed"), F.round(more / PERMS, 6).alias("p_plain"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
+def percentile_linear(spark, sf_dir):
+    """Exact percentiles by linear interpolation."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(q)), 6).alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS variance, round(stddev_samp(l_quantity) / sqrt(count(*)), 9) AS se FROM lineitem GROUP BY 1")
+def ols_slope(spark, sf_dir):
+    sd = F.stddev_samp("l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(sd, 6).alias("sd"), F.round(F.var_pop("l_quantity"), 6).alias("variance"), F.round(sd / F.sqrt(F.count("*")), 9).alias("se"))
+
+
+COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "flat")
+
+
+@query(
+    "WITH x AS (SELECT *, 1.0::DOUBLE AS flat FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, " + ("1.0::DOUBLE" if a == b else "0.0::DOUBLE" if "flat" in (a, b) else f"round(corr({a}, {b}), 6)") + " AS r" + (" FROM x" if "flat" not in (a, b) and a != b else "") for i, a in enumerate(COLUMNS) for b in COLUMNS[i:])
+)
+def corr_matrix(spark, sf_dir):
+    """Pearson correlations; columns that do not vary correlate with nothing."""
+    return st.correlations(table(spark, sf_dir, "lineitem").withColumn("flat", F.lit(1.0)), list(COLUMNS)).withColumn("r", F.round("r", 6))
+
+
+@query(
+    """WITH p AS (SELECT c_mktsegment AS k, count(*) / sum(count(*)) OVER () AS p FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING' GROUP BY 1), q AS (SELECT c_mktsegment AS k, count(*) / sum(count(*)) OVER () AS q FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1)
+    SELECT round(sum(abs(coalesce(p, 0) - coalesce(q, 0))), 6) AS l1, round(max(abs(coalesce(p, 0) - coalesce(q, 0))), 6) AS max_abs FROM p FULL JOIN q USING (k)"""
+)
+def distribution_distance(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    out = st.distribution_distance(c.where("c_custkey % 2 = 0 and c_mktsegment <> 'BUILDING'"), c.where("c_custkey % 2 = 1"), "c_mktsegment")
+    return out.select(F.round("l1", 6).alias("l1"), F.round("max_abs", 6).alias("max_abs"))
+
+
+QUOTA = 100
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey, c_mktsegment, md5(concat('7-', c_custkey)) AS h FROM customer), n AS (SELECT c_mktsegment, greatest(1, floor({QUOTA} * count(*) / sum(count(*)) OVER ()))::BIGINT AS quota FROM c GROUP BY 1)
+    SELECT c_custkey, c_mktsegment, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY h, c_custkey) <= quota THEN 'test' ELSE 'train' END AS split FROM c JOIN n USING (c_mktsegment)"""
+)
+def stratified_split(spark, sf_dir):
+    """A test split of about 100 customers with each segment's share, chosen by a hash."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    n = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    n = n.withColumn("quota", F.greatest(F.lit(1), F.floor(QUOTA * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))))))
+    placed = ranked(c.withColumn("h", F.md5(F.concat(F.lit("7-"), F.col("c_custkey").cast("string")))), ["c_mktsegment"], [F.col("h"), F.col("c_custkey")])
+    return placed.join(F.broadcast(n), "c_mktsegment").select("c_custkey", "c_mktsegment", F.when(F.col("rank") <= F.col("quota"), "test").otherwise("train").alias("split"))
+
+
+@query("SELECT * FROM (SELECT doc_id, lang, toxic::BIGINT AS toxic, row_number() OVER (ORDER BY md5(concat('9-', doc_id)), doc_id) AS nth FROM documents LEFT JOIN labels USING (doc_id)) WHERE nth <= 50")
+def spot_check_sample(spark, sf_dir):
+    """The first 50 documents in the order of a hash, with their label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").withColumn("h", F.md5(F.concat(F.lit("9-"), F.col("doc_id").cast("string"))))
+    some = docs.orderBy("h", "doc_id").limit(50)
+    return some.withColumn("nth", F.row_number().over(W.orderBy("h", "doc_id")).cast("long")).join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("long").alias("toxic")), "doc_id", "left").drop("h")
+
+
+@query(
+    """WITH b AS (SELECT *, CASE WHEN l_quantity > 40 THEN 'wide' WHEN l_quantity > 20 THEN 'medium' ELSE 'narrow' END AS gate FROM lineitem), g AS (SELECT gate, avg(l_discount) AS m, count(*) AS n FROM b GROUP BY gate)
+    SELECT gate, n, round(m, 6) AS mean, CASE WHEN m > 0.0505 THEN 'pass' WHEN m < 0.0495 THEN 'fail' ELSE 'inconclusive' END AS decision FROM g"""
+)
+def decision_gates(spark, sf_dir):
+    """Verdicts from thresholds on a mean."""
+    gate = F.when(F.col("l_quantity") > 40, "wide").when(F.col("l_quantity") > 20, "medium").otherwise("narrow")
+    m = F.avg("l_discount")
+    return table(spark, sf_dir, "lineitem").groupBy(gate.alias("gate")).agg(F.count("*").alias("n"), F.round(m, 6).alias("mean"), F.when(m > 0.0505, "pass").when(m < 0.0495, "fail").otherwise("inconclusive").alias("decision"))
