@@ -64,15 +64,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are at most ``key``, by binary search."""
-    table, at = F.array(*[F.lit(b).cast("long") for b in bounds]), F.lit(0)
-    step = 1 << max(0, len(bounds).bit_length() - 1) if bounds else 0
+def _with_bucket(df: DataFrame, key: str, bounds: list[int], out: str) -> DataFrame:
+    """``df`` with ``out``: how many of the sorted ``bounds`` are at most ``key``, by binary
+    search, one projection for each step."""
+    df = df.withColumn(out, F.lit(0))
+    if not bounds:
+        return df
+    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    step = 1 << (len(bounds).bit_length() - 1)
     while step:
-        there = at + step
-        at = at + F.when((there <= len(bounds)) & (F.get(table, F.least(there, F.lit(len(bounds))) - 1) <= key), F.lit(step)).otherwise(F.lit(0))
+        there = F.col(out) + step
+        df = df.withColumn(out, F.when((there <= len(bounds)) & (F.get(table, there - 1) <= F.col(key)), there).otherwise(F.col(out)))
         step //= 2
-    return at
+    return df
 
 
 def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,12 +95,11 @@ def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", te
     count = min(MOST_BUCKETS, max(total // BUCKET_BYTES, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = plain.agg(F.percentile_approx("_k", [i / count for i in range(1, count)], 10 * count)).first()[0] or []
     bounds = sorted(set(cuts))
-    bucket = _bucket(F.col("_k"), bounds)
-    heads = plain.select("_k", "_tie", bucket.alias("b")).groupBy("b").agg(F.max(F.struct("_k", "_tie")).alias("h")).collect()  # a row for each bucket
+    heads = _with_bucket(plain.select("_k", "_tie"), "_k", bounds, "b").groupBy("b").agg(F.max(F.struct("_k", "_tie")).alias("h")).collect()  # a row for each bucket
     order = sorted(heads, key=lambda r: r["b"])
     steps = [(r["h"]["_k"], r["h"]["_tie"], order[(i + 1) % len(order)]["b"]) for i, r in enumerate(order)]
     follows = spark.createDataFrame(steps, "_k long, _tie long, _b int")
-    rows = docs.withColumn("_b", bucket.cast("int")).withColumn("_copy", F.lit(False))
+    rows = _with_bucket(docs, "_k", bounds, "_b").withColumn("_copy", F.lit(False))
     copies = docs.join(F.broadcast(follows), ["_k", "_tie"]).withColumn("_copy", F.lit(True))
     w = W.partitionBy("_b").orderBy("_copy", F.desc("_k"), F.desc("_tie"))
     both = rows.unionByName(copies.select(*rows.columns))
