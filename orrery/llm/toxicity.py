@@ -53,8 +53,8 @@ class Bags:
 
     def __init__(self, dim: int = 12, rate: float = 0.3, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.table = ((r.random((BUCKETS, dim)) - 0.5) / dim).astype(np.float32)
-        self.out = np.zeros((dim, 2), dtype=np.float32)
+        self.table = np.zeros((BUCKETS, dim), dtype=np.float32)  # subwords that training never sees say nothing
+        self.out = ((r.random((dim, 2)) - 0.5) * 0.6).astype(np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
         self.rate, self.dim = rate, dim
         self.seen = [np.full(BUCKETS, 1e-6, dtype=np.float32), np.full((dim, 2), 1e-6, dtype=np.float32), np.full(2, 1e-6, dtype=np.float32)]
@@ -158,10 +158,13 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 2, rounds: int
 
 
 def _calibrated(best: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve over the best bag's log odds, classes weighted equally."""
+    """Slope and shift of a logistic curve over the best bag's log odds, classes weighted
+    equally.  A bag of unseen subwords, of log odds 0, counts as clean, as much as the clean class."""
+    best, labels = np.append(best, 0.0), np.append(labels, 0)
     spread = best.std() or 1.0
     x, y = (best - best.mean()) / spread, labels.astype(float)
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.25 / max((1 - y).sum() - 1, 1))
+    weight[-1] = 0.25
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
