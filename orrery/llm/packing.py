@@ -19,12 +19,13 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     """The multiset of available lengths with the largest sum up to ``room``.
 
     Bit s of a set is on if some combination has the sum s; each length is added
-    as often as it is there, by doubling.  Walking back from the best sum takes
-    as many of the longest lengths as that sum allows.
+    as often as it is there, by doubling, the longest first.  Walking back from the
+    best sum takes short pieces only where longer ones cannot make it up, so that
+    short ones are left to fill later bins.
     """
     reach, steps = 1, []
     mask = (1 << (room + 1)) - 1
-    for length in sorted(x for x, n in counts.items() if n and x <= room):
+    for length in sorted((x for x, n in counts.items() if n and x <= room), reverse=True):
         before, left, block = reach, min(counts[length], room // length), 1
         while left:
             take = min(block, left)
