@@ -12,7 +12,7 @@ from orrery.llm.batches import text_slices
 
 #: Words of a block; a longer line is cut into blocks that overlap by half.
 BLOCK_WORDS = 128
-THRESHOLD = 0.8
+THRESHOLD = 0.9  # of a template's tokens; short templates must be there whole
 
 # Phrases that name a licence wherever their words follow each other.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}

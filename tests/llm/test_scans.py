@@ -21,12 +21,12 @@ def plain_places(words):
 
 
 ROWS = [
-    (1, "x\nLicensed under CC BY-NC 4.0.\nAll rights reserved"),
-    (2, "CC by cc BY cc_by ccby All-rights;reserved GENERAL PUBLIC LICENSE"),
-    (3, "Released under the MIT License."),
-    (4, "Émile all rights réserved This work is licensed under the GNU General Public License, version 3."),
-    (5, "w " * 300 + "Licensed under the Apache License Version 2 0" + " w" * 300),
-    (6, "cc"),
+    (101, "x\nLicensed under CC BY-NC 4.0.\nAll rights reserved"),
+    (102, "CC by cc BY cc_by ccby All-rights;reserved GENERAL PUBLIC LICENSE"),
+    (103, "Released under the MIT License."),
+    (104, "Émile all rights réserved This work is licensed under the GNU General Public License, version 3."),
+    (105, "w " * 300 + "Licensed under the Apache License Version 2 0" + " w" * 300),
+    (106, "cc"),
 ]
 
 
