@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -37,6 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Removes the staged tables of sessions that still run when Python ends."""
+    for spark, folder in _STAGED:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, folder)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
@@ -47,6 +64,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,5 +73,4 @@ def unstage(df: DataFrame) -> None:
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/orrery-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
