@@ -80,9 +80,9 @@ def test_subwords_share_ngrams():
 
 
 def test_stages(spark, frame, odd, tmp_path, monkeypatch):
-    rows, marks = toxic_corpus(240)
+    rows, marks = toxic_corpus(480)
     rows = [(i, t, "s") for i, t in rows] + [(2000 + k, f"FRAME LINE of this site\nown text {k} " + " ".join(f"t{k}w{j}" for j in range(30)), "site") for k in range(40)]
-    rows += [(3000 + k, rows[245][1], "site") for k in range(5)] + [r for r in odd]
+    rows += [(3000 + k, rows[485][1], "site") for k in range(5)] + [r for r in odd]
     d = str(tmp_path)
     frame(rows).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
