@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from itertools import chain
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame, functions as F
 from orrery.llm.batches import text_slices
 
 NEVER = np.int64(1) << 40
+NO_RANK = np.int32(2**31 - 1)
 #: Chunks whose characters every Unicode version treats alike; others are normalised and split by the library.
 PLAIN = re.compile("[!-~¡-¬®-ɏ]+")
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 350_000  # in each half of the cache
+CACHED_WORDS = 250_000
 KNOWN_PAIRS = 500_000
 LONG_WORD = 40  # characters
 MERGED_AT_ONCE = 8192
@@ -45,20 +48,24 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.lines = regex.compile(r"\n|" + split["pattern"]["Regex"])
         vocab = dict(model["vocab"])
         self.names = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for name, i in [*vocab.items(), *self.special.items()]:
             self.names[i] = name
         self.inner = {k: i for k, i in vocab.items() if not k.endswith(self.end)}
         self.final = {k[: -len(self.end)]: i for k, i in vocab.items() if k.endswith(self.end)}
-        self.reach: dict[str, int] = {}  # the longest token by its first two characters
-        for name in [*self.inner, *self.final]:
-            self.reach[name[:2]] = max(len(name), self.reach.get(name[:2], 1))
+        starts: dict[str, set[int]] = {}
+        for name in self.inner:
+            starts.setdefault(name[:3], set()).add(len(name))
+        #: Lengths of the tokens that may stand at a place, longest first, by its first three characters.
+        self.sizes = {k: tuple(sorted(v | {n for n in (1, 2) if k[:n] in self.inner}, reverse=True)) for k, v in starts.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self._learn([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.byte_names = _byte_names()
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.word_cache: dict[str, bytes] = {}
         self.known: dict[int, bool] = {}
 
     def _learn(self, merges: list[tuple[int, int, int]]) -> None:
@@ -109,58 +116,62 @@ class WordBpe:
     def _propose(self, word: str) -> list[int]:
         """The longest token at each place, the last one with the word end."""
         out, i, n = [], 0, len(word)
-        final, inner, reach = self.final, self.inner, self.reach
+        final, inner, sizes = self.final, self.inner, self.sizes
         while True:
-            most = i + reach.get(word[i : i + 2], 1)
-            if most >= n:
-                t = final.get(word[i:])
-                if t is not None:
-                    out.append(t)
-                    return out
-                most = n - 1
-            for j in range(most, i, -1):
-                t = inner.get(word[i:j])
-                if t is not None:
-                    out.append(t)
-                    i = j
-                    break
+            t = final.get(word[i:])
+            if t is not None:
+                out.append(t)
+                return out
+            for size in sizes.get(word[i : i + 3]) or sizes.get(word[i : i + 2]) or (1,):
+                if i + size < n:
+                    t = inner.get(word[i : i + size])
+                    if t is not None:
+                        out.append(t)
+                        i += size
+                        break
             else:
                 return []
 
-    def _merge(self, words: list[str]) -> list[list[int]]:
+    def _merge(self, words: list[str]) -> list[bytes]:
         """The exact results: in every word at once the pair of the lowest rank, of
         equal ones the leftmost, merges until no pair is left."""
         n, width, names = len(words), max(map(len, words)), len(self.names)
-        ids = np.full((n, width + 1), -1, dtype=np.int64)
+        ids = np.full((n, width + 1), -1, dtype=np.int32)
+        inner, final = self.inner, self.final
         for k, w in enumerate(words):
-            ids[k, : len(w)] = [self.inner[c] for c in w[:-1]] + [self.final[w[-1]]]
-        after = np.tile(np.arange(1, width + 2), (n, 1))
-        before = np.tile(np.arange(-1, width), (n, 1))
+            ids[k, : len(w)] = [inner[c] for c in w[:-1]] + [final[w[-1]]]
+        after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
 
         def rank(a, b):
-            key = a * names + b
+            key = a.astype(np.int64) * names + b
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.key_rank[at], NEVER)
+            return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.key_rank[at], NO_RANK).astype(np.int32)
 
         ranks = rank(ids[:, :-1], ids[:, 1:])
         live = np.arange(n)
         while len(live):
             k = ranks[live].argmin(axis=1)
             best = ranks[live, k]
-            live, k, best = live[best < NEVER], k[best < NEVER], best[best < NEVER]
+            go = best < NO_RANK
+            live, k, best = live[go], k[go], best[go]
             r = after[live, k]
             ids[live, k], ids[live, r] = self.made_by[best], -1
-            ranks[live, np.minimum(r, width - 1)] = NEVER  # the last column has no rank
+            ranks[live, np.minimum(r, width - 1)] = NO_RANK  # the last column has no rank
             nxt = after[live, r]
+            end = np.minimum(nxt, width)
             after[live, k] = nxt
-            before[live, np.minimum(nxt, width)] = k
-            ranks[live, k] = rank(ids[live, k], ids[live, np.minimum(nxt, width)])
+            before[live, end] = k
             p = before[live, k]
             q = p >= 0
-            ranks[live[q], p[q]] = rank(ids[live[q], p[q]], ids[live[q], k[q]])
-        return [row[row >= 0].tolist() for row in ids]
-
-    def _merge_long(self, word: str) -> list[int]:
+            new = rank(np.concatenate([ids[live, k], ids[live[q], p[q]]]), np.concatenate([ids[live, end], ids[live[q], k[q]]]))
+            ranks[live, k] = new[: len(live)]
+            ranks[live[q], p[q]] = new[len(live) :]
+        kept = ids >= 0
+        flat, ends = ids[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(axis=1)) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _merge_long(self, word: str) -> bytes:
         """As ``_merge``, with a heap, for a word of many characters."""
         ids = [self.inner[c] for c in word[:-1]] + [self.final[word[-1]]]
         nxt, prv = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
@@ -178,14 +189,14 @@ class WordBpe:
             for at in (prv[k], k):
                 if at >= 0 and nxt[at] < len(ids) and (p := (ids[at], ids[nxt[at]])) in self.rank:
                     heapq.heappush(heap, (self.rank[p][0], at, *p))
-        return [t for t in ids if t >= 0]
-
-    def words_to_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of words already split and in byte characters."""
-        out = [self._propose(w) for w in words]
-        counts = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
-        flat = np.fromiter((t for ids in out for t in ids), dtype=np.int64, count=int(counts.sum()))
-        owner = np.repeat(np.arange(len(out)), counts)
+        return np.array([t for t in ids if t >= 0], dtype="<u4").tobytes()
+
+    def words_to_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words already split and in byte characters, as little-endian 32-bit numbers."""
+        proposed = [self._propose(w) for w in words]
+        counts = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
+        flat = np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(counts.sum()))
+        owner = np.repeat(np.arange(len(words)), counts)
         bad = counts == 0
         bad[owner[~self.sound[flat]]] = True
         inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, dtype=np.int64)
@@ -201,6 +212,8 @@ class WordBpe:
                 for k, v in zip(new.tolist(), crossed.tolist()):
                     verdict[k] = known[int(pairs[k])] = v
             bad[owner[inner[np.array(verdict, dtype=bool)[back]]]] = True
+        data, ends = flat.astype("<u4").tobytes(), np.cumsum(counts) * 4
+        out = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         failed = np.flatnonzero(bad).tolist()
         short = sorted((k for k in failed if len(words[k]) <= LONG_WORD), key=lambda k: len(words[k]))
         for at in range(0, len(short), MERGED_AT_ONCE):
@@ -212,29 +225,42 @@ class WordBpe:
                 out[k] = self._merge_long(words[k])
         return out
 
-    def _split(self, chunk: str) -> list:
-        """Words of a chunk in byte characters; special tokens as ids."""
-        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            found = self.words.findall(chunk.lower())
-            return found if chunk.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_names) for w in found]
-        out: list = []
+    def _odd(self, chunk: str) -> bytes:
+        """Ids of a chunk that the library normalises and splits; special tokens stand for themselves."""
+        out = []
         for part in self.by_special.split(chunk) if self.by_special else [chunk]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                out += [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
-        return out
+                out += self.words_to_ids([w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))])
+        return b"".join(out)
 
     def learn_chunks(self, chunks) -> None:
-        """Puts the ids of all new ``chunks`` into the cache."""
-        new = [c for c in chunks if c not in self.cache]
-        if not new:
+        """Puts the ids of all ``chunks`` into the cache, those of an older half over from there."""
+        cache, old, plain = self.cache, self.old, []
+        for c in chunks:
+            if c not in cache:
+                known = old.get(c)
+                if known is not None:
+                    cache[c] = known
+                elif PLAIN.fullmatch(c) and "<|" not in c:
+                    plain.append(c)
+                else:
+                    cache[c] = self._odd(c)
+        if not plain:
             return
-        split = [self._split(c) for c in new]
-        words = list({w for s in split for w in s if isinstance(w, str)})
-        ids = dict(zip(words, self.words_to_ids(words)))
-        for c, s in zip(new, split):
-            self.cache[c] = np.array([t for w in s for t in (ids[w] if isinstance(w, str) else (w,))], dtype="<u4").tobytes()
+        found = self.lines.findall("\n".join(plain).lower() + "\n")  # words, and a line end after each chunk
+        ids = {w: self.word_cache[w] for w in found if w in self.word_cache}
+        new = list(dict.fromkeys(w for w in found if w not in ids and w != "\n"))
+        ids.update(zip(new, self.words_to_ids([w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_names) for w in new])))
+        ids["\n"] = b""
+        parts, at = list(map(ids.__getitem__, found)), 0
+        for c, end in zip(plain, [k for k, w in enumerate(found) if w == "\n"]):
+            cache[c] = parts[at] if end == at + 1 else b"".join(parts[at:end])
+            at = end + 1
+        if len(self.word_cache) > CACHED_WORDS:
+            self.word_cache.clear()
+        self.word_cache.update(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers.  Chunks between
@@ -245,7 +271,7 @@ class WordBpe:
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         if len(self.cache) > CACHED_CHUNKS:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         return out
 
     def decode(self, ids: np.ndarray) -> str:
