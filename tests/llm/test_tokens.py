@@ -37,10 +37,20 @@ def test_encoder_equals_library(bpe, library):
 
 
 def test_pair_verdicts_equal_exact_merging(bpe):
-    words = [w for t in random_texts(500) for w in bpe._split(t.replace("<|", ""))]
+    words = [w for t in random_texts(500) for w in bpe.lines.findall(t.lower()) if w.isascii()]
     got = bpe.words_to_ids(words)
     assert got == bpe._merge(words) == [bpe._merge_long(w) for w in words]
-    assert sum(bpe._propose(w) == ids for w, ids in zip(words, got)) > 0  # some proposals stand
+    stood = sum(np.array(bpe._propose(w), "<u4").tobytes() == ids for w, ids in zip(words, got))
+    assert 0 < stood < len(words)  # some proposals stand, some do not
+
+
+def test_cache_halves(bpe, library, monkeypatch):
+    from orrery.llm import bpe as module
+
+    monkeypatch.setattr(module, "CACHED_CHUNKS", 50)
+    monkeypatch.setattr(module, "CACHED_WORDS", 20)
+    for t in random_texts(200) + ODD:
+        assert np.frombuffer(bpe.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_round_trip(frame, odd, library):
@@ -68,7 +78,7 @@ def test_fullest_against_brute_force():
 
 def test_plan_uses_every_piece():
     r = random.Random(4)
-    counts = {x: r.randint(1, 20) for x in range(1, 101, 3)}
+    counts = {x: r.randint(1, 20) for x in range(1, 101)}
     plan = plan_bins(counts, 100)
     back = defaultdict(int)
     for bins, used in plan:
@@ -76,8 +86,14 @@ def test_plan_uses_every_piece():
         for x, n in used.items():
             back[x] += bins * n
     assert back == counts
-    total = sum(x * n for x, n in counts.items())
-    assert sum(b for b, _ in plan) <= -(-total // 100) + 1
+    room: list[int] = []  # best fit of falling lengths, piece by piece
+    for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        fits = [k for k, free in enumerate(room) if free >= x]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= x
+        else:
+            room.append(100 - x)
+    assert sum(b for b, _ in plan) <= len(room)
 
 
 def test_packing(frame, odd, library):
