@@ -12,6 +12,7 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 BAG = 8  # words
 CACHED_WORDS = 300_000
+LEAST_STEPS = 20  # of each round of training, however few texts there are
 #: Rows of either label that training reads at most.  They are bounded so that the model can be fitted by one process.
 MOST_TOXIC, MOST_CLEAN = 2500, 4000
 
@@ -20,8 +21,14 @@ def split_words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams of all words, and where each word's begin.
+def subwords(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``_subwords`` of many words, some at a time."""
+    parts = [_subwords(words[a : a + at_once]) for a in range(0, len(words), at_once)] or [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))]
+    return np.concatenate([g for g, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of all words, and how many each word has.
 
     A word stands between marks for its start and end, so every word has at least
     one n-gram.  N-grams are hashed for all words at once by a rolling sum.
@@ -41,11 +48,10 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(29)
         inside = place[: len(h)] + n <= ends[: len(h)]
         owners.append(word[: len(h)][inside])
-        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int32))
     owner, bucket = np.concatenate(owners), np.concatenate(buckets)
     order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(words))
-    return bucket[order], np.concatenate([[0], np.cumsum(counts)])
+    return bucket[order], np.bincount(owner, minlength=len(words))
 
 
 class Bags:
@@ -117,17 +123,18 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 2, rounds: int
     full and clean texts correct their most suspicious bag.
     """
     r, model = np.random.default_rng(seed), Bags(seed=seed)
-    parts = [split_words(t) for t in texts]
-    vocab = {w: k for k, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
+    vocab: dict[str, int] = {}
+    ids = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in split_words(t)), dtype=np.int32) for t in texts]
     if not vocab or len(set(labels.tolist())) < 2:
         return {"weights": np.zeros(BUCKETS, dtype=np.float32), "scale": 1.0, "shift": float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))}
     grams, starts = subwords(list(vocab))
-    ids = [np.fromiter((vocab[w] for w in p), dtype=np.int64, count=len(p)) for p in parts]
+    del vocab, texts
     flat, counts = np.concatenate(ids), np.array([len(x) for x in ids])
     offset = np.cumsum(counts) - counts
 
     def learn(first: np.ndarray, text: np.ndarray, batch: int = 256) -> None:
-        order = r.permutation(len(first))
+        passes = -(-LEAST_STEPS * batch // max(len(first), 1))
+        order = np.concatenate([r.permutation(len(first)) for _ in range(max(1, min(passes, LEAST_STEPS)))])
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
             width = np.minimum(BAG, offset[text[some]] + counts[text[some]] - first[some])
@@ -139,20 +146,23 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 2, rounds: int
             model.step(grams[inside], bag.repeat(n), share, labels[text[some]])
 
     bags = -(-counts // BAG)
-    text = np.repeat(np.arange(len(parts)), bags)
+    text = np.repeat(np.arange(len(counts)), bags)
     first = offset[text] + BAG * (np.arange(bags.sum()) - np.repeat(np.cumsum(bags) - bags, bags))
     toxic, clean = np.flatnonzero(labels[text] == 1), np.flatnonzero(labels[text] == 0)
     n = min(len(toxic), len(clean), 40_000)
     for _ in range(epochs):
         some = np.concatenate([r.choice(toxic, n, replace=False), r.choice(clean, n, replace=False)])
         learn(first[some], text[some])
+    def strongest() -> tuple[np.ndarray, np.ndarray]:
+        odds = np.add.reduceat(model.weights()[grams], starts[:-1]) / np.diff(starts)
+        found = [best_bags(odds[flat[offset[a] : offset[a] + counts[a : a + 200].sum()]], counts[a : a + 200]) for a in range(0, len(counts), 200)]
+        return np.concatenate([b for b, _ in found]), np.concatenate([at for _, at in found])
+
     full = np.flatnonzero(counts)
     for _ in range(rounds):
-        odds = np.add.reduceat(model.weights()[grams], starts[:-1]) / np.diff(starts)
-        _, at = best_bags(odds[flat], counts)
+        _, at = strongest()
         learn(offset[full] + at[full], full)
-    odds = np.add.reduceat(model.weights()[grams], starts[:-1]) / np.diff(starts)
-    best, _ = best_bags(odds[flat], counts)
+    best, _ = strongest()
     scale, shift = _calibrated(best, labels)
     return {"weights": model.weights().astype(np.float32), "scale": scale, "shift": shift}
 
@@ -190,7 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(some[0].unionByName(some[1]))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(chosen, "_id").select("_id", "_t", "_y").collect()
     rows.sort(key=lambda r: (r["_id"], r["_t"], r["_y"]))
-    return train([r["_t"] for r in rows], np.array([r["_y"] for r in rows], dtype=np.int64))
+    labels_of = np.array([r["_y"] for r in rows], dtype=np.int64)
+    texts = [r["_t"] for r in rows]
+    del rows
+    return train(texts, labels_of)
 
 
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
