@@ -8,6 +8,7 @@ pairs at once and remembered.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -23,19 +24,20 @@ from orrery.llm.batches import text_slices
 
 NEVER = np.int64(1) << 40
 NO_RANK = np.int32(2**31 - 1)
-#: Chunks whose characters every Unicode version treats alike; others are normalised and split by the library.
-PLAIN = re.compile("[!-~¡-¬®-ɏ]+")
-CACHED_CHUNKS = 350_000  # in each half of the cache
-CACHED_WORDS = 250_000
+#: Beside plain characters, which every Unicode version treats alike: chunks with these, or with what may start a special token, are normalised and split by the library.
+ODD = re.compile(r"[^\n!-~¡-¬®-ɏ]|<\|")
+CACHED_CHUNKS = 300_000  # in each half of the cache; words: four fifths of that
 KNOWN_PAIRS = 500_000
+SHORT = (3, 2, 1)
 LONG_WORD = 40  # characters
+LONG_CHUNK = 100
 MERGED_AT_ONCE = 8192
 
 
 class WordBpe:
     """Encoder and decoder for a tokenizers JSON file of a BPE with word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -57,12 +59,13 @@ class WordBpe:
         self.final = {k[: -len(self.end)]: i for k, i in vocab.items() if k.endswith(self.end)}
         starts: dict[str, set[int]] = {}
         for name in self.inner:
-            starts.setdefault(name[:3], set()).add(len(name))
-        #: Lengths of the tokens that may stand at a place, longest first, by its first three characters.
-        self.sizes = {k: tuple(sorted(v | {n for n in (1, 2) if k[:n] in self.inner}, reverse=True)) for k, v in starts.items()}
+            starts.setdefault(name[:4], set()).add(len(name))
+        #: Lengths of the tokens that may stand at a place, longest first, by its first four characters.
+        self.sizes = {k: tuple(sorted(v | {n for n in (1, 2, 3) if k[:n] in self.inner}, reverse=True)) for k, v in starts.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self._learn([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.byte_names = _byte_names()
+        self.cached_chunks, self.cached_words = cached, cached * 4 // 5
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.word_cache: dict[str, bytes] = {}
@@ -122,7 +125,7 @@ class WordBpe:
             if t is not None:
                 out.append(t)
                 return out
-            for size in sizes.get(word[i : i + 3]) or sizes.get(word[i : i + 2]) or (1,):
+            for size in sizes.get(word[i : i + 4], SHORT):
                 if i + size < n:
                     t = inner.get(word[i : i + size])
                     if t is not None:
@@ -235,20 +238,27 @@ class WordBpe:
                 out += self.words_to_ids([w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))])
         return b"".join(out)
 
-    def learn_chunks(self, chunks) -> None:
-        """Puts the ids of all ``chunks`` into the cache, those of an older half over from there."""
-        cache, old, plain = self.cache, self.old, []
+    def learn_chunks(self, chunks) -> list[str]:
+        """Puts the ids of all ``chunks`` into the cache, those of an older half over from
+        there; returns the long ones, which are not to stay."""
+        cache, old, new = self.cache, self.old, []
         for c in chunks:
             if c not in cache:
                 known = old.get(c)
-                if known is not None:
-                    cache[c] = known
-                elif PLAIN.fullmatch(c) and "<|" not in c:
-                    plain.append(c)
+                if known is None:
+                    new.append(c)
                 else:
+                    cache[c] = known
+        plain, long = new, [c for c in new if len(c) > LONG_CHUNK]
+        if ODD.search("\n".join(new)):
+            plain = []
+            for c in new:
+                if ODD.search(c):
                     cache[c] = self._odd(c)
+                else:
+                    plain.append(c)
         if not plain:
-            return
+            return long
         found = self.lines.findall("\n".join(plain).lower() + "\n")  # words, and a line end after each chunk
         ids = {w: self.word_cache[w] for w in found if w in self.word_cache}
         new = list(dict.fromkeys(w for w in found if w not in ids and w != "\n"))
@@ -258,19 +268,26 @@ class WordBpe:
         for c, end in zip(plain, [k for k, w in enumerate(found) if w == "\n"]):
             cache[c] = parts[at] if end == at + 1 else b"".join(parts[at:end])
             at = end + 1
-        if len(self.word_cache) > CACHED_WORDS:
+        if len(self.word_cache) > self.cached_words:
             self.word_cache.clear()
-        self.word_cache.update(ids)
+        self.word_cache.update({w: x for w, x in ids.items() if len(w) <= LONG_CHUNK} if long else ids)
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers.  Chunks between
         spaces and line ends are encoded once: no word and no normalisation
         reaches over them."""
+        collects = gc.isenabled()
+        gc.disable()  # only strings and lists of them are made, no cycles to look for
         parts = [chunks(t) for t in texts]
-        self.learn_chunks(set().union(*parts))
+        long = self.learn_chunks(set().union(*parts))
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        if len(self.cache) > CACHED_CHUNKS:
+        if collects:
+            gc.enable()
+        for c in long:  # entries are bounded in number and in size
+            del self.cache[c]
+        if len(self.cache) > self.cached_chunks:
             self.old, self.cache = self.cache, {}
         return out
 
@@ -292,9 +309,9 @@ def _byte_names() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordBpe:
+def encoder(path: str, cached: int = CACHED_CHUNKS) -> WordBpe:
     """One encoder, with its caches, for each Python worker and file."""
-    return WordBpe(path)
+    return WordBpe(path, cached)
 
 
 def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +325,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        bpe = encoder(path)
+        bpe = encoder(path, CACHED_CHUNKS // 2)  # the decoded texts need room too
         for piece, texts in text_slices(batches, "text"):
             ids = bpe.encode(texts)
             ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]

@@ -45,10 +45,8 @@ def test_pair_verdicts_equal_exact_merging(bpe):
 
 
 def test_cache_halves(bpe, library, monkeypatch):
-    from orrery.llm import bpe as module
-
-    monkeypatch.setattr(module, "CACHED_CHUNKS", 50)
-    monkeypatch.setattr(module, "CACHED_WORDS", 20)
+    monkeypatch.setattr(bpe, "cached_chunks", 50)
+    monkeypatch.setattr(bpe, "cached_words", 20)
     for t in random_texts(200) + ODD:
         assert np.frombuffer(bpe.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
