@@ -111,3 +111,16 @@ def test_line_dedup_without_broadcast(frame, monkeypatch):
     want = sorted(tuple(r) for r in drop_boilerplate(frame(rows)).select("doc_id", "text", "n_dropped").collect())
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     assert sorted(tuple(r) for r in drop_boilerplate(frame(rows)).select("doc_id", "text", "n_dropped").collect()) == want
+
+
+def test_line_dedup_by_length(frame):
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows = [(i, f"own {i}\nLes.\nmore {i}" if i % 40 else f"own {i}\n{passage}\nLes.\nmore {i}") for i in range(400)]
+    rows += [(1000 + i, "\n".join(" ".join(f"c{k}w{j}" for j in range(12)) for k in range(6))) for i in range(6)]
+    rows += [(2000 + i, f"top {i}\nBy chance.\nend {i}") for i in range(6)]
+    rows = [(i, t, "h") for i, t in rows]
+    flat, got = ({r.doc_id: r.text for r in drop_boilerplate(frame(rows), decay=d).collect()} for d in (1.0, 0.5))
+    assert passage in flat[40] and got[40] == "own 40\nmore 40"  # 10 of 412 pages
+    assert got[1002] == dict((i, t) for i, t, _ in rows)[1002]  # copies have the same surroundings
+    assert got[2003] == "top 3\nBy chance.\nend 3" and got[1] == "own 1\nmore 1"
+    assert len(drop_boilerplate(frame([]), decay=0.5).collect()) == 0
