@@ -46,7 +46,7 @@ def _by_length(page: DataFrame, pages: DataFrame, ratio: float, min_pages: int,
     return often.where(F.col("n") >= min_pages).join(pages, "host").where(many).groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("boiler"))
 
 
-def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 4, min_left: float = 0.0, decay: float = 1.0) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 4, min_left: float = 0.0, decay: float = 1.0, keep_copies: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, plus n_lines and
     n_dropped.
 
@@ -54,7 +54,8 @@ def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str
     stay null and blank lines stay.  Repeated rows count as pages of their own.
     With ``min_left`` over 0, a page that would keep less than that share of its
     characters is a copy rather than a page with a frame, and stays whole for a
-    later document-level pass.  The order of the other lines stays.  Columns
+    later document-level pass.  With ``keep_copies`` only a page that would keep no
+    line but blank ones stays whole.  The order of the other lines stays.  Columns
     n_lines and n_dropped replace input columns of those names.
 
     The boilerplate of all hosts is broadcast if it measures at most
@@ -76,6 +77,8 @@ def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str
     cut = met.withColumn("lines", lines).withColumn("left", left).withColumn("rest", F.concat_ws("\n", "left"))
     if min_left > 0:
         cut = cut.withColumn("left", F.when(F.char_length("rest") < min_left * F.char_length(text), F.col("lines")).otherwise(F.col("left"))).withColumn("rest", F.concat_ws("\n", "left"))
+    if keep_copies:
+        cut = cut.withColumn("left", F.when(F.exists("left", lambda x: F.trim(x) != ""), F.col("left")).otherwise(F.col("lines"))).withColumn("rest", F.concat_ws("\n", "left"))
     out = [F.when(text.isNotNull(), F.col("rest")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     count = F.coalesce(F.size("lines"), F.lit(0))
     return cut.select(*out, F.when(text.isNull(), 0).otherwise(count).cast("long").alias("n_lines"), F.when(text.isNull(), 0).otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_dropped"))

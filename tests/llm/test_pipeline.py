@@ -114,3 +114,10 @@ def test_run_is_all_stages(spark, frame, odd, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert corpus_pipeline.run(spark, d).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "packing"]
+
+
+def test_short_page_loses_its_passage(spark, frame):
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows = [(i, f"{passage}\nown {i}", "s") for i in range(8)] + [(20 + i, passage, "s") for i in range(2)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(rows), "").collect()}
+    assert got == {i: f"own {i}" for i in range(8)} | {20: passage, 21: passage}
