@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.llm.batches import text_slices
 
-#: Words of a block; a longer line is cut into blocks that overlap by half.
+#: Words of a block; a longer line and the words of a text of several lines are cut into blocks that overlap by half.
 BLOCK_WORDS = 128
 THRESHOLD = 0.9  # of a template's tokens; short templates must be there whole
 
@@ -102,14 +102,19 @@ class TemplateIndex:
         return out
 
 
+def _parts(words: list[bytes]):
+    for a in range(0, max(1, len(words) - BLOCK_WORDS // 2), BLOCK_WORDS // 2) if len(words) > BLOCK_WORDS else (0,):
+        yield a, words[a : a + BLOCK_WORDS]
+
+
 def blocks(text: str):
-    """(first word, words) of the text's blocks: its lines, long ones in overlapping parts."""
-    at = 0
-    for line in text.split("\n"):
-        words = split_words(line)
-        for a in range(0, max(1, len(words) - BLOCK_WORDS // 2), BLOCK_WORDS // 2) if len(words) > BLOCK_WORDS else (0,):
-            yield at + a, words[a : a + BLOCK_WORDS]
+    """(first word, words) of the text's blocks: its lines, and the words over all lines; long ones in overlapping parts."""
+    at, lines = 0, [split_words(line) for line in text.split("\n")]
+    for words in lines:
+        yield from ((at + a, part) for a, part in _parts(words))
         at += len(words)
+    if sum(map(bool, lines)) > 1:
+        yield from _parts([w for words in lines for w in words])
 
 
 def token_frequency(docs: DataFrame, tokens: set[bytes], *, text_col: str = "text") -> dict[bytes, int]:

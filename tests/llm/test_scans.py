@@ -128,3 +128,17 @@ def test_scores(spark, frame, odd):
                 gain.append(x.score - x.base_score)
     assert np.mean(gain) > 5  # the states tell the two kinds of text apart, also in held-out rows
     assert score_texts(frame([]), F.lit(True)).count() == 0
+
+
+def test_licence_wrapped_over_lines(frame):
+    import textwrap
+
+    notices = {label: max(texts, key=len) for label, texts in TEMPLATES.items()}
+    rows, fill = [], "river stone light morning " * 40
+    for width in (30, 50, 72):
+        for k, label in enumerate(notices):
+            rows.append((100 * width + k, "\n".join(textwrap.wrap(f"{fill} {notices[label]} {fill}", width))))
+    got = {r.doc_id: {m.label for m in r.matches} for r in scan(frame(rows)).collect()}
+    for width in (30, 50, 72):
+        for k, label in enumerate(notices):
+            assert label in got[100 * width + k]
