@@ -218,3 +218,17 @@ def test_streams_equal_batches(spark, tmp_path):
     w = rewards.windowed_rewards(rewards.events(spark, days)).writeStream.format("memory").queryName("wins").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     w.awaitTermination(120)
     assert rows(spark.table("wins"), "arm", "n") == [("a", 7), ("b", 7)]  # the first day; the others are not over yet
+
+
+def test_asof_sees_all_earlier_memories(spark, monkeypatch):
+    monkeypatch.setattr(sq, "BLOCK_ROWS", 20)
+    r = [(100 * c + t, c, "u" if t % 2 else "v", sorted({f"w{(7 * c * t + j * j) % 23}" for j in range((c + t) % 6)})) for c in range(40) for t in range(3)]
+    got = {}
+    for x in sq.asof_jaccard_topk(spark.createDataFrame(r, "seq long, context long, type string, tokens array<string>"), 3).orderBy("rank").collect():
+        got.setdefault(x.fact, []).append((x.memory, round(x.similarity, 9)))
+    want = {}
+    for s, c, y, a in r:
+        near = [(-round(len(set(a) & set(b)) / max(len(set(a) | set(b)), 1), 9), m) for m, d, z, b in r if m < s and d != c and z == y]
+        if near:
+            want[s] = [(m, -v) for v, m in sorted(near)[:3]]
+    assert got == want and any(s - m > 2100 for s, found in got.items() for m, _ in found)
