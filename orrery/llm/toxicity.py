@@ -15,6 +15,8 @@ CACHED_WORDS = 300_000
 LEAST_STEPS = 20  # of each round of training, however few texts there are
 #: Rows of either label that training reads at most.  They are bounded so that the model can be fitted by one process.
 MOST_TOXIC, MOST_CLEAN = 2500, 4000
+#: Bags of either class in a training epoch over all bags, drawn anew for each; later rounds see one bag of every text.
+MOST_BAGS = 40_000
 
 
 def split_words(text: str) -> list[str]:
@@ -149,7 +151,7 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 2, rounds: int
     text = np.repeat(np.arange(len(counts)), bags)
     first = offset[text] + BAG * (np.arange(bags.sum()) - np.repeat(np.cumsum(bags) - bags, bags))
     toxic, clean = np.flatnonzero(labels[text] == 1), np.flatnonzero(labels[text] == 0)
-    n = min(len(toxic), len(clean), 40_000)
+    n = min(len(toxic), len(clean), MOST_BAGS)
     for _ in range(epochs):
         some = np.concatenate([r.choice(toxic, n, replace=False), r.choice(clean, n, replace=False)])
         learn(first[some], text[some])
@@ -193,8 +195,9 @@ def held_out(id_col: str):
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Fits on at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows outside the
-    held-out part, those of the least hash of the id.  Whole texts are used; only
-    text and label enter.  Labels for unknown or null ids count for nothing."""
+    held-out part, those of the least hash of the id.  Whole texts are searched for
+    their strongest bag; an epoch over all bags trains on at most ``MOST_BAGS`` of
+    either class.  Only text and label enter.  Labels for unknown or null ids count for nothing."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1)).where(~held_out("_id"))
     some = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = F.broadcast(some[0].unionByName(some[1]))

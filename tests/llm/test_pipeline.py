@@ -121,3 +121,11 @@ def test_short_page_loses_its_passage(spark, frame):
     rows = [(i, f"{passage}\nown {i}", "s") for i in range(8)] + [(20 + i, passage, "s") for i in range(2)]
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(rows), "").collect()}
     assert got == {i: f"own {i}" for i in range(8)} | {20: passage, 21: passage}
+
+
+def test_bags_of_an_epoch_are_bounded_by_name(monkeypatch):
+    rows, marks = toxic_corpus(200)
+    texts, y = [t for _, t in rows], np.array([m[2] for m in marks])
+    whole = toxicity.train(texts, y)["weights"]
+    monkeypatch.setattr(toxicity, "MOST_BAGS", 5)
+    assert not np.array_equal(whole, toxicity.train(texts, y)["weights"])
