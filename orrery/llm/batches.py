@@ -1,21 +1,72 @@
-"""Slices of Arrow batches, bounded by bytes rather than by rows."""
+"""Slices of Arrow batches, bounded by bytes rather than by rows, and their words as arrays."""
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: By byte: ASCII white space, and what lower-casing A-Z makes of it.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+
+
+def slices(batches, column: str, most: int = SLICE_BYTES):
+    """Slices of at most ``most`` bytes of ``column``, or of one row.  When the
+    task's rows end, memory that Python no longer uses goes back to the system,
+    since workers live on for other tasks."""
+    try:
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(lengths.astype(np.int64)) // most
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        release()
 
 
 def text_slices(batches, column: str, most: int = SLICE_BYTES):
-    """(slice, texts) for each slice of at most ``most`` bytes of ``column``, or
-    of one row; null texts come as empty."""
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(lengths.astype(np.int64)) // most
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                piece = batch.slice(a, b - a)
-                yield piece, [t or "" for t in piece.column(column).to_pylist()]
+    """(slice, texts) for each of the ``slices``; null texts come as empty."""
+    for piece in slices(batches, column, most):
+        yield piece, [t or "" for t in piece.column(column).to_pylist()]
+
+
+def release() -> None:
+    """Hands memory that is free but still held back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def word_runs(texts: pa.Array, apart: np.ndarray, fold: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words as bytes, number of each word among them, words of each text).
+
+    Words are the runs of bytes that ``apart`` does not name, after ``fold`` has
+    mapped every byte; neither may cut a UTF-8 sequence.  Null texts have none.
+    """
+    raw = pc.fill_null(texts.cast(pa.binary()), b"")
+    ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    store = raw.buffers()[2]
+    data = np.frombuffer(store, dtype=np.uint8)[ends[0] : ends[-1]] if store is not None else np.zeros(0, dtype=np.uint8)
+    ends -= ends[0]
+    inside = ~apart[data]
+    first = np.zeros(len(data) + 1, dtype=bool)  # does a word begin here?
+    first[1:-1] = ~inside[:-1]
+    first[ends] = True
+    starts = np.flatnonzero(first[:-1] & inside)
+    before = np.concatenate([[0], np.cumsum(inside, dtype=np.int32)])  # bytes of words before each place
+    kept = data[inside] if fold is None else fold[data[inside]]
+    offsets = np.append(before[starts], len(kept)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), np.diff(np.searchsorted(starts, ends))
+
+
+def lists(counts: np.ndarray, values) -> pa.ListArray:
+    """Lists of ``counts`` of the ``values``, one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))

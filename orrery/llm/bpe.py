@@ -17,27 +17,92 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.batches import text_slices
+from orrery.llm.batches import SLICE_BYTES, lists, slices, word_runs
 
 NEVER = np.int64(1) << 40
 NO_RANK = np.int32(2**31 - 1)
 #: Beside plain characters, which every Unicode version treats alike: chunks with these, or with what may start a special token, are normalised and split by the library.
 ODD = re.compile(r"[^\n!-~¡-¬®-ɏ]|<\|")
-CACHED_CHUNKS = 300_000  # in each half of the cache; words: four fifths of that
-KNOWN_PAIRS = 500_000
+#: Chunks end at these bytes.
+APART = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0D])
+CACHE_BYTES = 96 << 20  # of the chunks and words that a worker remembers
+KNOWN_PAIRS = 200_000
 SHORT = (3, 2, 1)
-LONG_WORD = 40  # characters
+LONG_WORD = 40  # characters; longer ones one by one
+BASE = np.uint64(0x9E3779B97F4A7C15)  # of the hashes of sums; odd
 LONG_CHUNK = 100
 MERGED_AT_ONCE = 8192
 
 
+class Remembered:
+    """Ids by the hash of a key, in sorted arrays: a tenth of the room of a
+    dictionary of strings.  Bounded by bytes: when the younger half is full it
+    becomes the older one, which goes."""
+
+    def __init__(self):
+        self.young = self.old = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32))
+
+    def find(self, hashed: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start in the ids returned or -1, number, ids)."""
+        start, size = np.full(len(hashed), -1, dtype=np.int64), np.zeros(len(hashed), dtype=np.int64)
+        for keys, checks, starts, sizes, _, base in ((*self.old, len(self.young[4])), (*self.young, 0)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+                hit = (keys[at] == hashed) & (checks[at] == check)
+                start[hit], size[hit] = base + starts[at[hit]], sizes[at[hit]]
+        return start, size, np.concatenate([self.young[4], self.old[4]])
+
+    def keep(self, hashed: np.ndarray, check: np.ndarray, pool: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> None:
+        keys, checks, starts, sizes, ids = self.young
+        more = (hashed, check, len(ids) + np.cumsum(size) - size, size)
+        order = np.argsort(np.concatenate([keys, hashed]), kind="stable")
+        self.young = (*(np.concatenate(x)[order].astype(x[0].dtype) for x in zip((keys, checks, starts, sizes), more)), np.concatenate([ids, runs(pool, start, size)]).astype(np.uint32))
+        if 2 * sum(x.nbytes for x in self.young) > most:
+            self.old, self.young = self.young, tuple(x[:0] for x in self.young)
+
+
+def runs(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[start : start + size] for each run, one after the other."""
+    return pool[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def key_hashes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64 bits, 32 other bits, has it at most ``LONG_CHUNK`` bytes) for each key; hashes of longer ones mean nothing."""
+    ends = np.frombuffer(keys.buffers()[1], dtype=np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    store = keys.buffers()[2]
+    data = np.frombuffer(store, dtype=np.uint8)[ends[0] : ends[-1]] if store is not None else np.zeros(0, dtype=np.uint8)
+    size = np.diff(ends)
+    inside = np.minimum(np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size), LONG_CHUNK)
+    found = []
+    for weight, power in BYTE_HASHES:
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(weight[data] * power[inside], dtype=np.uint64)])[ends - ends[0]]
+        found.append(np.diff(sums) ^ (size.astype(np.uint64) * BASE))
+    return found[0], (found[1] >> np.uint64(32)).astype(np.uint32), size <= LONG_CHUNK
+
+
+def _byte_hashes() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two times (odd weight of each byte, power of an odd base for each place)."""
+    r = np.random.default_rng(5)
+    out = []
+    for _ in range(2):
+        weight = r.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        base = np.full(LONG_CHUNK + 1, r.integers(0, 1 << 60, dtype=np.uint64) * np.uint64(8) + np.uint64(5))
+        base[0] = 1
+        out.append((weight, np.cumprod(base, dtype=np.uint64)))
+    return out
+
+
+BYTE_HASHES = _byte_hashes()
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizers JSON file of a BPE with word ends."""
 
-    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
+    def __init__(self, path: str, cached: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -65,10 +130,10 @@ class WordBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self._learn([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.byte_names = _byte_names()
-        self.cached_chunks, self.cached_words = cached, cached * 4 // 5
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.word_cache: dict[str, bytes] = {}
+        self._index()
+        self.shown = pa.array(self.names, pa.string())
+        self.cached_chunks, self.cached_words = cached * 5 // 8, cached * 3 // 8
+        self.chunks, self.words = Remembered(), Remembered()
         self.known: dict[int, bool] = {}
 
     def _learn(self, merges: list[tuple[int, int, int]]) -> None:
@@ -194,11 +259,113 @@ class WordBpe:
                     heapq.heappush(heap, (self.rank[p][0], at, *p))
         return np.array([t for t in ids if t >= 0], dtype="<u4").tobytes()
 
+    def _index(self) -> None:
+        """Sorted hashes of the texts of inner and final tokens, and by the hash of four
+        characters the set of lengths, as bits, of the inner tokens that start with them."""
+        r = np.random.default_rng(3)
+        self.weight = r.integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        n = LONG_WORD + 1
+        self.power, self.unpower = np.ones(n, dtype=np.uint64), np.ones(n, dtype=np.uint64)
+        self.power[1:], self.unpower[1:] = BASE, pow(int(BASE), -1, 1 << 64)
+        self.power, self.unpower = np.cumprod(self.power), np.cumprod(self.unpower)
+        def hashed(names):
+            return np.array([int(self._sums(name)[-1]) for name in names], dtype=np.uint64)
+
+        def table(names: dict[str, int]):
+            some = {k: i for k, i in names.items() if 0 < len(k) <= LONG_WORD}
+            keys, ids = hashed(some), np.array(list(some.values()), dtype=np.int64)
+            order = np.argsort(keys)
+            return keys[order], ids[order]
+
+        self.inner_table, self.final_table = table(self.inner), table(self.final)
+        bits = {k: sum(1 << n for n in v if n <= LONG_WORD) for k, v in self.sizes.items() if len(k) == 4}
+        keys, masks = hashed(bits), np.array(list(bits.values()), dtype=np.int64)
+        order = np.argsort(keys)
+        self.start_table = keys[order], masks[order]
+        self.text = [k.removesuffix(self.end) for k in self.names]
+        self.text_ends = np.cumsum([0, *map(len, self.text)])
+        self.text_codes = np.frombuffer("".join(self.text).encode("utf-32-le"), dtype="<u4")
+
+    def _sums(self, word: str) -> np.ndarray:
+        codes = np.frombuffer(word.encode("utf-32-le"), dtype="<u4")
+        return np.cumsum(self.weight[codes & 511] * self.power[: len(codes)], dtype=np.uint64)
+
+    @staticmethod
+    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        return np.where(table[0][at] == keys, table[1][at], -1)
+
+    def _propose_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_propose`` of words of up to ``LONG_WORD`` characters at once: (tokens, number of each word's).
+
+        Texts are compared by hashes of sums, and in the end for themselves: a word
+        that its proposal does not spell has none."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        start = np.cumsum(size) - size
+        inside = np.arange(len(codes)) - np.repeat(start, size)
+        sums = np.cumsum(np.concatenate([np.zeros(1, dtype=np.uint64), self.weight[codes & 511] * self.power[inside]]), dtype=np.uint64)
+
+        def hashed(word, at, length):
+            a = start[word] + at
+            return (sums[a + length] - sums[a]) * self.unpower[at]
+
+        word, at, owners, tokens, order = np.arange(len(words)), np.zeros(len(words), dtype=np.int64), [], [], []
+        lost = np.zeros(len(words), dtype=bool)
+        turn = 0
+        while len(word):
+            rest = size[word] - at
+            token = self._look(self.final_table, hashed(word, at, rest))
+            ends = token >= 0
+            owners.append(word[ends])
+            tokens.append(token[ends])
+            order.append(np.full(int(ends.sum()), turn))
+            word, at, rest = word[~ends], at[~ends], rest[~ends]
+            masks = np.full(len(word), 14, dtype=np.int64)  # lengths 1, 2 and 3
+            four = np.flatnonzero(rest >= 4)
+            found = self._look(self.start_table, hashed(word[four], at[four], 4))
+            masks[four] = np.where(found >= 0, found, 14)
+            masks &= (np.int64(1) << rest) - 1  # the last character belongs to a final token
+            took = np.zeros(len(word), dtype=np.int64)
+            token = np.full(len(word), -1, dtype=np.int64)
+            left = np.flatnonzero(masks)
+            while len(left):
+                length = np.frexp(masks[left].astype(np.float64))[1].astype(np.int64) - 1
+                t = self._look(self.inner_table, hashed(word[left], at[left], length))
+                hit = t >= 0
+                token[left[hit]], took[left[hit]] = t[hit], length[hit]
+                left, length = left[~hit], length[~hit]
+                masks[left] &= ~(np.int64(1) << length)
+                left = left[masks[left] != 0]
+            go = token >= 0
+            lost[word[~go]] = True
+            word, at, token, took = word[go], at[go], token[go], took[go]
+            owners.append(word)
+            tokens.append(token)
+            order.append(np.full(len(word), turn))
+            at = at + took
+            turn += 1
+        owner, token = np.concatenate(owners), np.concatenate(tokens)
+        sort = np.lexsort((np.concatenate(order), owner))
+        owner, token = owner[sort], token[sort]
+        keep = ~lost[owner]
+        owner, token = owner[keep], token[keep]
+        n = self.text_ends[token + 1] - self.text_ends[token]
+        spelt = self.text_codes[np.repeat(self.text_ends[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        wrong = np.repeat(owner, n)[spelt != codes[~lost[np.repeat(np.arange(len(words)), size)]]]
+        if len(wrong):
+            keep = ~np.isin(owner, wrong)
+            owner, token = owner[keep], token[keep]
+        return token, np.bincount(owner, minlength=len(words))
+
     def words_to_ids(self, words: list[str]) -> list[bytes]:
         """Ids of words already split and in byte characters, as little-endian 32-bit numbers."""
-        proposed = [self._propose(w) for w in words]
-        counts = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
-        flat = np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(counts.sum()))
+        if any(len(w) > LONG_WORD for w in words):
+            proposed = [self._propose(w) for w in words]
+            counts = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
+            flat = np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(counts.sum()))
+        else:
+            flat, counts = self._propose_all(words)
         owner = np.repeat(np.arange(len(words)), counts)
         bad = counts == 0
         bad[owner[~self.sound[flat]]] = True
@@ -238,67 +405,71 @@ class WordBpe:
                 out += self.words_to_ids([w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))])
         return b"".join(out)
 
-    def learn_chunks(self, chunks) -> list[str]:
-        """Puts the ids of all ``chunks`` into the cache, those of an older half over from
-        there; returns the long ones, which are not to stay."""
-        cache, old, new = self.cache, self.old, []
-        for c in chunks:
-            if c not in cache:
-                known = old.get(c)
-                if known is None:
-                    new.append(c)
-                else:
-                    cache[c] = known
-        plain, long = new, [c for c in new if len(c) > LONG_CHUNK]
-        if ODD.search("\n".join(new)):
-            plain = []
-            for c in new:
-                if ODD.search(c):
-                    cache[c] = self._odd(c)
-                else:
-                    plain.append(c)
-        if not plain:
-            return long
-        found = self.lines.findall("\n".join(plain).lower() + "\n")  # words, and a line end after each chunk
-        ids = {w: self.word_cache[w] for w in found if w in self.word_cache}
-        new = list(dict.fromkeys(w for w in found if w not in ids and w != "\n"))
-        ids.update(zip(new, self.words_to_ids([w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_names) for w in new])))
-        ids["\n"] = b""
-        parts, at = list(map(ids.__getitem__, found)), 0
-        for c, end in zip(plain, [k for k, w in enumerate(found) if w == "\n"]):
-            cache[c] = parts[at] if end == at + 1 else b"".join(parts[at:end])
-            at = end + 1
-        if len(self.word_cache) > self.cached_words:
-            self.word_cache.clear()
-        self.word_cache.update({w: x for w, x in ids.items() if len(w) <= LONG_CHUNK} if long else ids)
-        return long
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers.  Chunks between
-        spaces and line ends are encoded once: no word and no normalisation
-        reaches over them."""
+    def _new_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of distinct chunks."""
+        names = chunks.cast(pa.string()).to_pylist()
+        odd = [k for k, c in enumerate(names) if ODD.search(c)] if ODD.search("\n".join(names)) else []
+        if odd:
+            apart = set(odd)
+            plain = [k for k in range(len(names)) if k not in apart]
+            parts = [self._odd(names[k]) for k in odd]
+            flat, sizes = self._new_chunks(chunks.take(pa.array(plain, pa.int64())))
+            sizes = np.concatenate([sizes, np.fromiter(map(len, parts), dtype=np.int64, count=len(odd)) // 4])
+            both = lists(sizes, np.concatenate([flat, np.frombuffer(b"".join(parts), dtype="<u4")])).take(pa.array(np.argsort(plain + odd)))
+            return both.flatten().to_numpy(), np.diff(both.offsets.to_numpy())
+        found = self.lines.findall("\n".join(names).lower() + "\n") if names else []  # words, and a line end after each chunk
+        words = pa.array(found, pa.string()).dictionary_encode()
+        index = words.indices.to_numpy()
+        flat, sizes = self._known(self.words, words.dictionary.cast(pa.binary()), self._new_words, self.cached_words)
+        ends = np.flatnonzero(index == words.dictionary.index("\n").as_py()) if names else np.zeros(0, dtype=np.int64)
+        until = np.cumsum(sizes[index])[ends] if names else ends
+        return lists(sizes, flat).take(words.indices).flatten().to_numpy(), np.diff(until, prepend=0)
+
+    def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of distinct words in lower case; line ends have none."""
+        names = [w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_names) for w in words.cast(pa.string()).to_pylist()]
+        parts = [b""] * len(names)
+        for some in ([k for k, w in enumerate(names) if len(w) <= LONG_WORD and w != "\n"], [k for k, w in enumerate(names) if len(w) > LONG_WORD]):
+            for k, ids in zip(some, self.words_to_ids([names[k] for k in some]) if some else ()):
+                parts[k] = ids
+        return np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+
+    @staticmethod
+    def _known(cache: Remembered, keys: pa.Array, compute, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of distinct ``keys``: remembered, or else computed and remembered if they aren't long."""
+        hashed, check, short = key_hashes(keys)
+        start, size, pool = cache.find(hashed, check)
+        new = np.flatnonzero((start < 0) | ~short)
+        flat, sizes = compute(keys.take(pa.array(new)))
+        start[new], size[new] = len(pool) + np.cumsum(sizes) - sizes, sizes
+        pool = np.concatenate([pool, flat])
+        kept = new[short[new]]
+        cache.keep(hashed[kept], check[kept], pool, start[kept], size[kept], most)
+        return runs(pool, start, size), size
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text).  Chunks
+        between spaces and line ends are encoded once: no word and no
+        normalisation reaches over them."""
         collects = gc.isenabled()
         gc.disable()  # only strings and lists of them are made, no cycles to look for
-        parts = [chunks(t) for t in texts]
-        long = self.learn_chunks(set().union(*parts))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        chunks, index, counts = word_runs(texts, APART)
+        flat, sizes = self._known(self.chunks, chunks, self._new_chunks, self.cached_chunks)
+        taken = lists(sizes, flat).take(pa.array(index))
+        ends = taken.offsets.to_numpy()[np.concatenate([[0], np.cumsum(counts)])]
         if collects:
             gc.enable()
-        for c in long:  # entries are bounded in number and in size
-            del self.cache[c]
-        if len(self.cache) > self.cached_chunks:
-            self.old, self.cache = self.cache, {}
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The library's decoding for a file without a decoder: token names between spaces."""
-        names = self.names
-        return " ".join([names[i] for i in ids.tolist()])
+        return taken.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        flat, counts = self.encode_column(pa.array(texts, pa.string()))
+        data, ends = flat.astype("<u4").tobytes(), np.cumsum(counts) * 4
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-def chunks(text: str) -> list[str]:
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def decode_column(self, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The library's decoding for a file without a decoder: token names between spaces."""
+        return pc.binary_join(lists(counts, self.shown.take(pa.array(flat))), " ")
 
 
 def _byte_names() -> dict[int, str]:
@@ -308,10 +479,10 @@ def _byte_names() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, cached: int = CACHED_CHUNKS) -> WordBpe:
-    """One encoder, with its caches, for each Python worker and file."""
-    return WordBpe(path, cached)
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordBpe:
+    """One encoder, with its caches, for each Python worker: whoever asks gets the same."""
+    return WordBpe(path)
 
 
 def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,18 +490,15 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
 
     Null and empty texts have no ids and decode to the empty text.  Null and
     repeated ids pass through; an empty table gives an empty result; other
-    columns are not read.  A worker keeps a bounded cache of chunks.
+    columns are not read.  A worker keeps caches of ``CACHE_BYTES`` at most.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        bpe = encoder(path, CACHED_CHUNKS // 2)  # the decoded texts need room too
-        for piece, texts in text_slices(batches, "text"):
-            ids = bpe.encode(texts)
-            ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists, pa.array([bpe.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+        bpe = encoder(path)
+        for piece in slices(batches, "text", SLICE_BYTES // 2):  # decoded texts need room too
+            flat, counts = bpe.encode_column(piece.column("text"))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists(counts, flat.astype(np.int32)), bpe.decode_column(flat, counts)], names=["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from orrery.llm.batches import text_slices
+from orrery.llm.batches import slices
 from orrery.llm.bpe import encoder
 from orrery.session import staged
 
@@ -127,16 +127,18 @@ def token_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: in
 
     def run(batches):
         bpe = encoder(path)
-        for part, texts in text_slices(batches, "text"):
-            owner, piece, length, crc = [], [], [], []
-            for k, ids in enumerate(bpe.encode(texts)):
-                ids += end
-                for n, at in enumerate(range(0, len(ids), width)):
-                    cut = ids[at : at + width]
+        for part in slices(batches, "text"):
+            flat, counts = bpe.encode_column(part.column("text"))
+            data, owner, piece, length, crc = memoryview(np.ascontiguousarray(flat, dtype="<u4")).cast("B"), [], [], [], []
+            for k, (stop, size) in enumerate(zip((4 * np.cumsum(counts)).tolist(), counts.tolist())):
+                start = stop - 4 * size
+                for n in range(size // capacity + 1):  # the end counts as one more
+                    cut = data[start + n * width : min(start + (n + 1) * width, stop)]
+                    full = len(cut) == width
                     owner.append(k)
                     piece.append(n)
-                    length.append(len(cut) // 4)
-                    crc.append(zlib.crc32(cut))
+                    length.append(len(cut) // 4 + (not full))
+                    crc.append(zlib.crc32(cut) if full else zlib.crc32(end, zlib.crc32(cut)))
             piece = np.array(piece, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
