@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.batches import SLICE_BYTES, lists, slices, word_runs
+from orrery.llm.batches import BASE, SLICE_BYTES, Remembered, lists, recalled, slices, word_runs
 
 NEVER = np.int64(1) << 40
 NO_RANK = np.int32(2**31 - 1)
@@ -33,72 +33,9 @@ CACHE_BYTES = 96 << 20  # of the chunks and words that a worker remembers
 KNOWN_PAIRS = 200_000
 SHORT = (3, 2, 1)
 LONG_WORD = 40  # characters; longer ones one by one
-BASE = np.uint64(0x9E3779B97F4A7C15)  # of the hashes of sums; odd
-LONG_CHUNK = 100
 MERGED_AT_ONCE = 8192
 
 
-class Remembered:
-    """Ids by the hash of a key, in sorted arrays: a tenth of the room of a
-    dictionary of strings.  Bounded by bytes: when the younger half is full it
-    becomes the older one, which goes."""
-
-    def __init__(self):
-        self.young = self.old = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32))
-
-    def find(self, hashed: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start in the ids returned or -1, number, ids)."""
-        start, size = np.full(len(hashed), -1, dtype=np.int64), np.zeros(len(hashed), dtype=np.int64)
-        for keys, checks, starts, sizes, _, base in ((*self.old, len(self.young[4])), (*self.young, 0)):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
-                hit = (keys[at] == hashed) & (checks[at] == check)
-                start[hit], size[hit] = base + starts[at[hit]], sizes[at[hit]]
-        return start, size, np.concatenate([self.young[4], self.old[4]])
-
-    def keep(self, hashed: np.ndarray, check: np.ndarray, pool: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> None:
-        keys, checks, starts, sizes, ids = self.young
-        more = (hashed, check, len(ids) + np.cumsum(size) - size, size)
-        order = np.argsort(np.concatenate([keys, hashed]), kind="stable")
-        self.young = (*(np.concatenate(x)[order].astype(x[0].dtype) for x in zip((keys, checks, starts, sizes), more)), np.concatenate([ids, runs(pool, start, size)]).astype(np.uint32))
-        if 2 * sum(x.nbytes for x in self.young) > most:
-            self.old, self.young = self.young, tuple(x[:0] for x in self.young)
-
-
-def runs(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """pool[start : start + size] for each run, one after the other."""
-    return pool[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-
-
-def key_hashes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64 bits, 32 other bits, has it at most ``LONG_CHUNK`` bytes) for each key; hashes of longer ones mean nothing."""
-    ends = np.frombuffer(keys.buffers()[1], dtype=np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
-    store = keys.buffers()[2]
-    data = np.frombuffer(store, dtype=np.uint8)[ends[0] : ends[-1]] if store is not None else np.zeros(0, dtype=np.uint8)
-    size = np.diff(ends)
-    inside = np.minimum(np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size), LONG_CHUNK)
-    found = []
-    for weight, power in BYTE_HASHES:
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(weight[data] * power[inside], dtype=np.uint64)])[ends - ends[0]]
-        found.append(np.diff(sums) ^ (size.astype(np.uint64) * BASE))
-    return found[0], (found[1] >> np.uint64(32)).astype(np.uint32), size <= LONG_CHUNK
-
-
-def _byte_hashes() -> list[tuple[np.ndarray, np.ndarray]]:
-    """Two times (odd weight of each byte, power of an odd base for each place)."""
-    r = np.random.default_rng(5)
-    out = []
-    for _ in range(2):
-        weight = r.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = np.full(LONG_CHUNK + 1, r.integers(0, 1 << 60, dtype=np.uint64) * np.uint64(8) + np.uint64(5))
-        base[0] = 1
-        out.append((weight, np.cumprod(base, dtype=np.uint64)))
-    return out
-
-
-BYTE_HASHES = _byte_hashes()
-
-
 class WordBpe:
     """Encoder and decoder for a tokenizers JSON file of a BPE with word ends."""
 
@@ -420,7 +357,7 @@ class WordBpe:
         found = self.lines.findall("\n".join(names).lower() + "\n") if names else []  # words, and a line end after each chunk
         words = pa.array(found, pa.string()).dictionary_encode()
         index = words.indices.to_numpy()
-        flat, sizes = self._known(self.words, words.dictionary.cast(pa.binary()), self._new_words, self.cached_words)
+        flat, sizes = recalled(self.words, words.dictionary.cast(pa.binary()), self._new_words, self.cached_words)
         ends = np.flatnonzero(index == words.dictionary.index("\n").as_py()) if names else np.zeros(0, dtype=np.int64)
         until = np.cumsum(sizes[index])[ends] if names else ends
         return lists(sizes, flat).take(words.indices).flatten().to_numpy(), np.diff(until, prepend=0)
@@ -434,19 +371,6 @@ class WordBpe:
                 parts[k] = ids
         return np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
 
-    @staticmethod
-    def _known(cache: Remembered, keys: pa.Array, compute, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each) of distinct ``keys``: remembered, or else computed and remembered if they aren't long."""
-        hashed, check, short = key_hashes(keys)
-        start, size, pool = cache.find(hashed, check)
-        new = np.flatnonzero((start < 0) | ~short)
-        flat, sizes = compute(keys.take(pa.array(new)))
-        start[new], size[new] = len(pool) + np.cumsum(sizes) - sizes, sizes
-        pool = np.concatenate([pool, flat])
-        kept = new[short[new]]
-        cache.keep(hashed[kept], check[kept], pool, start[kept], size[kept], most)
-        return runs(pool, start, size), size
-
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text).  Chunks
         between spaces and line ends are encoded once: no word and no
@@ -454,7 +378,7 @@ class WordBpe:
         collects = gc.isenabled()
         gc.disable()  # only strings and lists of them are made, no cycles to look for
         chunks, index, counts = word_runs(texts, APART)
-        flat, sizes = self._known(self.chunks, chunks, self._new_chunks, self.cached_chunks)
+        flat, sizes = recalled(self.chunks, chunks, self._new_chunks, self.cached_chunks)
         taken = lists(sizes, flat).take(pa.array(index))
         ends = taken.offsets.to_numpy()[np.concatenate([[0], np.cumsum(counts)])]
         if collects:

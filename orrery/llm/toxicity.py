@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.batches import text_slices
+from orrery.llm.batches import SPACE, Remembered, recalled, slices, word_runs
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 BAG = 8  # words
-CACHED_WORDS = 300_000
+CACHE_BYTES = 24 << 20  # of the words that a task remembers
 LEAST_STEPS = 20  # of each round of training, however few texts there are
 #: Rows of either label that training reads at most.  They are bounded so that the model can be fitted by one process.
 MOST_TOXIC, MOST_CLEAN = 2500, 4000
@@ -20,7 +20,8 @@ MOST_BAGS = 40_000
 
 
 def split_words(text: str) -> list[str]:
-    return text.lower().split()
+    """Words between ASCII white space, in lower case."""
+    return [w.decode("utf-8", "surrogatepass").lower() for w in text.encode("utf-8", "surrogatepass").split()]
 
 
 def subwords(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
@@ -218,20 +219,19 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS floats
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
+    def odds_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        names = [w.lower() for w in words.cast(pa.string()).to_pylist()]
+        found = word_odds(names, shared.value) if names else np.zeros(0)
+        return found.astype(np.float32).view(np.uint32), np.ones(len(names), dtype=np.int64)
+
     def run(batches):
-        cache: dict[str, float] = {}
-        for part, texts in text_slices(batches, text_col):
-            words = [split_words(t) for t in texts]
-            new = list(set().union(*words).difference(cache))
-            if new:
-                cache.update(zip(new, word_odds(new, shared.value).tolist()))
-            counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            odds = np.fromiter((x for w in words for x in map(cache.__getitem__, w)), dtype=np.float64, count=int(counts.sum()))
-            best, _ = best_bags(odds, counts)
+        cache = Remembered()
+        for part in slices(batches, text_col):
+            words, index, counts = word_runs(part.column(text_col), SPACE)
+            odds, _ = recalled(cache, words, odds_of, CACHE_BYTES)
+            best, _ = best_bags(odds.astype(np.uint32).view(np.float32).astype(np.float64)[index], counts)
             p = 1 / (1 + np.exp(-np.clip(scale * best + shift, -60, 60)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, out])
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
 
     return rows.mapInArrow(run, f"{kinds}, `{out}` double")
 
