@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 LONG_KEY = 100  # bytes; longer keys are not remembered
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
 #: By byte: ASCII white space, and what lower-casing A-Z makes of it.
@@ -16,6 +17,17 @@ SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 
 
+def whole_texts(docs):
+    """``docs``, after a look at the session: batches that take whole texts to Python and back
+    hold ``BATCH_BYTES`` at most, however many rows that is."""
+    conf = docs.sparkSession.conf
+    for way in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
+        name = f"spark.sql.execution.arrow.{way}"
+        if not 0 < int(str(conf.get(name, "-1")).rstrip("b")) <= BATCH_BYTES:
+            conf.set(name, f"{BATCH_BYTES}b")
+    return docs
+
+
 def slices(batches, column: str, most: int = SLICE_BYTES):
     """Slices of at most ``most`` bytes of ``column``, or of one row.  When the
     task's rows end, memory that Python no longer uses goes back to the system,
@@ -60,11 +72,13 @@ def word_runs(texts: pa.Array, apart: np.ndarray, fold: np.ndarray | None = None
     inside = ~apart[data]
     first = np.zeros(len(data) + 1, dtype=bool)  # does a word begin here?
     first[1:-1] = ~inside[:-1]
-    first[ends] = True
+    first[ends] = True  # also after the last byte
     starts = np.flatnonzero(first[:-1] & inside)
-    before = np.concatenate([[0], np.cumsum(inside, dtype=np.int32)])  # bytes of words before each place
+    last = first[1:].copy()  # does a word end here?
+    last[:-1] |= ~inside[1:]
+    sizes = np.flatnonzero(last & inside) + 1 - starts
     kept = data[inside] if fold is None else fold[data[inside]]
-    offsets = np.append(before[starts], len(kept)).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
     return words.dictionary, words.indices.to_numpy(), np.diff(np.searchsorted(starts, ends))
 

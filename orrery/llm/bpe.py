@@ -13,7 +13,7 @@ import heapq
 import json
 import re
 from itertools import chain
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.batches import BASE, SLICE_BYTES, Remembered, lists, recalled, slices, word_runs
+from orrery.llm.batches import BASE, SLICE_BYTES, Remembered, lists, recalled, release, slices, whole_texts, word_runs
 
 NEVER = np.int64(1) << 40
 NO_RANK = np.int32(2**31 - 1)
@@ -29,7 +29,7 @@ NO_RANK = np.int32(2**31 - 1)
 ODD = re.compile(r"[^\n!-~¡-¬®-ɏ]|<\|")
 #: Chunks end at these bytes.
 APART = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0D])
-CACHE_BYTES = 96 << 20  # of the chunks and words that a worker remembers
+CACHE_BYTES = 64 << 20  # of the chunks and words that a worker remembers
 KNOWN_PAIRS = 200_000
 SHORT = (3, 2, 1)
 LONG_WORD = 40  # characters; longer ones one by one
@@ -40,14 +40,9 @@ class WordBpe:
     """Encoder and decoder for a tokenizers JSON file of a BPE with word ends."""
 
     def __init__(self, path: str, cached: int = CACHE_BYTES):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        model, self.path = spec["model"], path
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -72,11 +67,28 @@ class WordBpe:
         self.cached_chunks, self.cached_words = cached * 5 // 8, cached * 3 // 8
         self.chunks, self.words = Remembered(), Remembered()
         self.known: dict[int, bool] = {}
+        del spec, model, vocab, starts, pairs
+        release()
+
+    @cached_property
+    def library(self):
+        """For odd chunks, where there are any."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
+    @cached_property
+    def rank(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, token made) by pair, for long words, where there are any."""
+        n = len(self.names)
+        return {(int(key) // n, int(key) % n): (int(r), int(self.made_by[r])) for key, r in zip(self.keys, self.key_rank)}
 
     def _learn(self, merges: list[tuple[int, int, int]]) -> None:
         """Merge ranks by pair, and the edges of each token in the order in which they come into being."""
         n = len(self.names)
-        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges)}
         made = np.full(n + 1, NEVER)
         left, right = [[i] for i in range(n)], [[i] for i in range(n)]
         inner = np.zeros((len(merges), 2), dtype=np.int64)
@@ -416,7 +428,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     repeated ids pass through; an empty table gives an empty result; other
     columns are not read.  A worker keeps caches of ``CACHE_BYTES`` at most.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = whole_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from orrery.llm.batches import slices
+from orrery.llm.batches import slices, whole_texts
 from orrery.llm.bpe import encoder
 from orrery.session import staged
 
@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: in
 
     Null and empty texts are the single ``end_id``.  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = whole_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
 

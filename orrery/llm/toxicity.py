@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.batches import SPACE, Remembered, recalled, slices, word_runs
+from orrery.llm.batches import SPACE, Remembered, recalled, slices, word_runs, whole_texts
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
     """``docs`` with ``out``: the probability of a toxic text, from its most toxic bag
     of ``BAG`` words.  Null and empty texts get the probability of a bag without
     evidence; all columns stay, one named like ``out`` is replaced."""
-    rows = docs.drop(out)
+    rows = whole_texts(docs).drop(out)
     weights, scale, shift = model["weights"], model["scale"], model["shift"]
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS floats
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
