@@ -34,9 +34,39 @@ def test_ring_bounds_and_movement():
         loads[shard] += 50 + cell * 7919 % 100
         at[cell] = shard
     mean = sum(loads.values()) / 40
-    assert max(loads.values()) <= 1.001 * mean + 150 and min(loads.values()) > 0.95 * mean
+    assert max(loads.values()) <= mean + 150 and min(loads.values()) >= mean - 150
     moved = sum(at[c] != s for c, _, s, _ in place_units(units, 41))
-    assert moved < 0.5 * len(units)  # a plain modulo moves nearly all
+    assert moved < 0.06 * len(units)  # a plain modulo moves nearly all, the ideal is 1 / 41
+
+
+def test_shards_against_a_plain_walk(frame, spark):
+    rows = [(i, f"text {i} " * (1 + i % 90)) for i in range(4000)] + [(5000 + i, "hot") for i in range(2000)] + [(None, None)] * 300 + [(7000, "long " * 900)]
+    docs = frame(rows)
+    got = shard_documents(docs, 8).collect()
+    cells = {r.doc_id: (r.c, r.size) for r in docs.selectExpr("doc_id", f"pmod(xxhash64(coalesce(text, '')), {sharding.CELLS}) c", "octet_length(coalesce(text, '')) + 16 size").collect()}
+    mean = sum(r.size for r in got) / 8
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert max(loads.values()) < 1.01 * mean and min(loads.values()) > 0.99 * mean
+    nodes = sharding._virtual_nodes(8, 64, sharding.CELLS)
+    units = defaultdict(int)
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 5000:  # texts of their own
+            units[cells[r.doc_id][0]] += r.size
+    first = {c: next((s for n, s in nodes if n >= c), nodes[0][1]) for c in units}
+    home = [r for r in got if r.doc_id is not None and r.doc_id < 5000]
+    assert sum(r.shard == first[cells[r.doc_id][0]] for r in home) > 0.5 * len(home)  # most stay where the ring puts them
+    room, walked = [mean] * 8, {}
+    everything = sorted(place_units([(c, 0, b, 1) for c, b in units.items()], 8), key=lambda p: p[0])
+    mean_of = sum(units.values()) / 8
+    room = [mean_of] * 8
+    for c in sorted(units):  # the walk, node by node
+        k = next((k for k, (n, _) in enumerate(nodes) if n >= c), 0)
+        walked[c] = next((nodes[(k + j) % len(nodes)][1] for j in range(len(nodes)) if room[nodes[(k + j) % len(nodes)][1]] >= units[c]), None)
+        if walked[c] is not None:
+            room[walked[c]] -= units[c]
+    assert all(walked[c] in (None, s) for c, _, s, _ in everything) and sum(walked[c] is None for c in walked) < 20
 
 
 def test_exact_groups_against_brute_force(frame, odd):
