@@ -8,10 +8,10 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.batches import text_slices
+from orrery.llm.batches import text_slices, whole_texts
 
-#: Words of a block; a longer line and the words of a text of several lines are cut into blocks that overlap by half.
-BLOCK_WORDS = 128
+#: Words in a row that one block holds at least, beside twice the longest template.
+SPAN = 64
 THRESHOLD = 0.9  # of a template's tokens; short templates must be there whole
 
 # Phrases that name a licence wherever their words follow each other.
@@ -66,55 +66,64 @@ class TemplateIndex:
 
     A block that contains ``threshold`` of a template's tokens must hold one of
     the rarest of them: the prefix of size - needed + 1 tokens.  Only blocks with a
-    prefix token are looked at, and only with the templates that have it.
+    prefix token are looked at, and only with the templates that have it.  Blocks
+    are put into the same order; tokens that no template has cannot match and
+    count for nothing.
     """
 
     def __init__(self, templates: dict[str, list[str]], threshold: float, frequency: dict[bytes, int]):
         self.items, self.prefix = [], {}
-        for label, texts in sorted(templates.items()):
-            for text in texts:
-                tokens = sorted(set(split_words(text)), key=lambda t: (frequency.get(t, 0), t))
-                needed = math.ceil(threshold * len(tokens) - 1e-9)
-                for place, t in enumerate(tokens[: len(tokens) - needed + 1]):
-                    self.prefix.setdefault(t, []).append((len(self.items), place))
-                self.items.append((label, tokens, needed))
-        self.keys = frozenset(self.prefix)
+        order = lambda t: (frequency.get(t, 0), t)
+        found = [(label, split_words(text)) for label, texts in sorted(templates.items()) for text in texts]
+        self.place = {t: k for k, t in enumerate(sorted({t for _, words in found for t in words}, key=order))}
+        self.longest = max((len(words) for _, words in found), default=1)
+        for label, words in found:
+            tokens = sorted({self.place[t] for t in words})
+            needed = math.ceil(threshold * len(tokens) - 1e-9)
+            for at, t in enumerate(tokens[: len(tokens) - needed + 1]):
+                self.prefix.setdefault(t, []).append((len(self.items), at))
+            self.items.append((label, tokens, needed))
+        self.keys = frozenset(t for t, k in self.place.items() if k in self.prefix)
 
     def matches(self, block: list[bytes]) -> dict[str, float]:
         """Containment by label of all templates that the block contains to the threshold."""
-        have, out, seen = set(block), {}, set()
-        for t in self.keys & have:
-            for k, _ in self.prefix[t]:
-                if k in seen:
+        have = sorted({self.place[t] for t in block if t in self.place})
+        shared: dict[int, int] = {}  # tokens of the template's prefix met so far, or -1 for ruled out
+        for j, t in enumerate(have):
+            for k, i in self.prefix.get(t, ()):
+                _, tokens, needed = self.items[k]
+                n = shared.get(k, 0)
+                if n < 0:
                     continue
-                seen.add(k)
-                label, tokens, needed = self.items[k]
                 if len(have) < needed:  # length filter
+                    shared[k] = -1
                     continue
-                common, left = 0, len(tokens)
-                for token in tokens:  # positional filter: what is left must still suffice
-                    left -= 1
-                    common += token in have
-                    if common + left < needed:
-                        break
-                else:
+                # Positional filter: what follows in the shorter of both must still suffice.
+                shared[k] = n + 1 if n + min(len(tokens) - i, len(have) - j) >= needed else -1
+        out, all_of = {}, set(have)
+        for k, n in shared.items():
+            if n > 0:
+                label, tokens, needed = self.items[k]
+                common = sum(t in all_of for t in tokens)
+                if common >= needed:
                     out[label] = max(out.get(label, 0.0), common / len(tokens))
         return out
 
 
-def _parts(words: list[bytes]):
-    for a in range(0, max(1, len(words) - BLOCK_WORDS // 2), BLOCK_WORDS // 2) if len(words) > BLOCK_WORDS else (0,):
-        yield a, words[a : a + BLOCK_WORDS]
+def _parts(words: list[bytes], span: int):
+    for a in range(0, max(1, len(words) - span), span) if len(words) > 2 * span else (0,):
+        yield a, words[a : a + 2 * span]
 
 
-def blocks(text: str):
-    """(first word, words) of the text's blocks: its lines, and the words over all lines; long ones in overlapping parts."""
+def blocks(text: str, span: int = SPAN):
+    """(first word, words) of the text's blocks: its lines, and the words over all lines; long
+    ones in overlapping parts, so that any ``span`` words in a row stand in one block."""
     at, lines = 0, [split_words(line) for line in text.split("\n")]
     for words in lines:
-        yield from ((at + a, part) for a, part in _parts(words))
+        yield from ((at + a, part) for a, part in _parts(words, span))
         at += len(words)
     if sum(map(bool, lines)) > 1:
-        yield from _parts([w for words in lines for w in words])
+        yield from _parts([w for words in lines for w in words], span)
 
 
 def token_frequency(docs: DataFrame, tokens: set[bytes], *, text_col: str = "text") -> dict[bytes, int]:
@@ -128,7 +137,7 @@ def token_frequency(docs: DataFrame, tokens: set[bytes], *, text_col: str = "tex
                 count.update(keys.intersection(split_words(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["token", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = whole_texts(docs).select(text_col).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {bytes(r["token"]): r["n"] for r in rows}
 
 
@@ -136,12 +145,15 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrase
     """doc_id, n_words, places, matches: phrase places (word, label) in order, and
     (word, label, containment) of each block that meets a template's threshold.
 
-    Two passes over the whole texts: token frequencies, then the join.  Null and
+    Blocks are lines, and windows over the words of all lines that hold any
+    ``SPAN`` words in a row, or twice the longest template's.  Two passes over the
+    whole texts: token frequencies, then the join.  Null and
     empty texts have no words; other columns are not read; repeated rows are
     scanned each.  An empty table gives an empty result.
     """
     wanted = {t for texts in templates.values() for text in texts for t in split_words(text)}
     index = TemplateIndex(templates, threshold, token_frequency(docs, wanted, text_col=text_col))
+    span = max(SPAN, 2 * index.longest)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     place = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
@@ -157,7 +169,7 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrase
                 places.append([{"word": w, "label": x} for w, x in sorted(phrase_places(words, phrases))] if not firsts.isdisjoint(words) else [])
                 found = []
                 if not index.keys.isdisjoint(words):
-                    for at, block in blocks(t):
+                    for at, block in blocks(t, span):
                         if not index.keys.isdisjoint(block):
                             found += [{"word": at, "label": x, "containment": c} for x, c in sorted(index.matches(block).items())]
                 matches.append(found)
