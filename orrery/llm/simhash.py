@@ -9,10 +9,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.batches import text_slices
+from orrery.llm.batches import text_slices, whole_texts
 from orrery.session import staged, unstage
 
-TREE_NODES = 20_000  # of one tree; a larger shard is cut into several
+TREE_NODES = 20_000  # of one tree; a larger shard is sharded anew
+FINE = 8  # blocks that agree in a shard of those
 QUERY_BLOCK = 4096
 SEED = 42
 
@@ -40,7 +41,7 @@ def fingerprint(text: str, words: int) -> int:
 def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (signed) for every row.  Null texts have no words, like empty
     ones: fingerprint zero.  Texts of fewer words are one shingle."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = whole_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -137,37 +138,45 @@ def _blocks(radius: int, distinct: int, most: int = 64) -> int:
     return radius + kept
 
 
+def _sharded(distinct: DataFrame, radius: int, blocks: int, first: int) -> DataFrame:
+    """fp with t, k: a choice of blocks, numbered from ``first``, and its bits."""
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    keys = []
+    for t, chosen in enumerate(combinations(range(blocks), blocks - radius), first):
+        mask = sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen)
+        mask = mask - (1 << 64) if mask >> 63 else mask
+        keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
+    return distinct.select("fp", F.explode(F.array(*keys)).alias("s")).select("fp", "s.t", "s.k")
+
+
 def links(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that join the same
     classes as all pairs within ``radius``, at most one for each row of a shard.
 
     The 64 bits are cut into ``blocks``; fingerprints that differ in at most
     ``radius`` bits agree in at least ``blocks - radius`` of them.  Each choice of
-    that many blocks and their bits is a shard, where rows meet.  A shard of over
-    ``TREE_NODES`` is cut into several trees, each asked by the whole shard, so
-    no tree outgrows a task and no link is lost.
+    that many blocks and their bits is a shard, where rows meet.  Two rows that
+    meet in a shard of over ``TREE_NODES`` meet again in shards of choices out of
+    ``FINE`` further blocks: for a radius of 2 these leave 14 bits open, so no
+    shard holds over 16,384 fingerprints, and a row has 45 copies at most,
+    however many rows are alike.
     """
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("s")).select("fp", "s.t", "s.k")
-    large = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > TREE_NODES)
-    large = large.select("t", "k", F.ceil(F.col("n") / TREE_NODES).cast("int").alias("parts"))
-    rows = rows.join(large, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.select("t", "k", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("own"))
+    coarse = _sharded(distinct, radius, blocks, 0)
+    large = staged(coarse.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > TREE_NODES).select("t", "k"), "large")
+    rows = coarse
+    if not large.isEmpty():
+        alike = coarse.join(large, ["t", "k"], "left_semi").select("fp").distinct()
+        rows = coarse.join(large, ["t", "k"], "left_anti").unionByName(_sharded(alike, radius, radius + FINE, 1 << 20))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("t", "k", "part", "fp", (F.col("own") == F.col("part")).alias("home")).repartition(n, "t", "k", "part").sortWithinPartitions("t", "k", "part")
+    rows = rows.select("t", "k", "fp").repartition(n, "t", "k").sortWithinPartitions("t", "k")
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "k", "part", "fp", "home")}
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "k", "fp")}
             if held is not None:
                 cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
-            change = np.flatnonzero(np.diff(cols["t"]) | np.diff(cols["k"]) | np.diff(cols["part"]))
+            change = np.flatnonzero((np.diff(cols["t"]) != 0) | (np.diff(cols["k"]) != 0))
             cut = change[-1] + 1 if len(change) else 0
             held = {c: v[cut:] for c, v in cols.items()}
             if cut:
@@ -176,12 +185,12 @@ def links(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
             yield link_batch(held)
 
     def link_batch(cols):
-        new = (np.diff(cols["t"], prepend=-1) != 0) | (np.diff(cols["k"], prepend=0) != 0) | (np.diff(cols["part"], prepend=-1) != 0)
+        new = (np.diff(cols["t"], prepend=-1) != 0) | (np.diff(cols["k"], prepend=0) != 0)
         shard = np.cumsum(new) - 1 if len(new) else np.zeros(0, dtype=np.int64)
         if len(shard):
             shard -= shard[0]
         shared = np.bincount(shard, minlength=1)[shard] > 1
-        a, b = shard_links(cols["fp"][shared], cols["home"][shared].astype(bool), shard[shared], radius)
+        a, b = shard_links(cols["fp"][shared], np.ones(int(shared.sum()), dtype=bool), shard[shared], radius)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
