@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 K = 5  # tokens of a gram
@@ -70,7 +71,7 @@ def _with_bucket(df: DataFrame, key: str, bounds: list[int], out: str) -> DataFr
     df = df.withColumn(out, F.lit(0))
     if not bounds:
         return df
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    table = F.lit(np.array(bounds, dtype=np.int64))  # one literal, however many bounds
     step = 1 << (len(bounds).bit_length() - 1)
     while step:
         there = F.col(out) + step
@@ -79,9 +80,10 @@ def _with_bucket(df: DataFrame, key: str, bounds: list[int], out: str) -> DataFr
     return df
 
 
-def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], *, prepare=lambda df: df, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with next_<c> for each carried column: the value of the next
-    document in descending id, the first one's after the last.
+    document in descending id, the first one's after the last.  ``prepare`` adds
+    columns to rows of ``docs``; the copies are chosen before it does.
 
     Ids are cut at quantiles into buckets that grow in number with the bytes of
     text; each is ordered on its own, and gets a copy of the row that follows its
@@ -99,8 +101,8 @@ def with_next(docs: DataFrame, carried: list[str], *, id_col: str = "doc_id", te
     order = sorted(heads, key=lambda r: r["b"])
     steps = [(r["h"]["_k"], r["h"]["_tie"], order[(i + 1) % len(order)]["b"]) for i, r in enumerate(order)]
     follows = spark.createDataFrame(steps, "_k long, _tie long, _b int")
-    rows = _with_bucket(docs, "_k", bounds, "_b").withColumn("_copy", F.lit(False))
-    copies = docs.join(F.broadcast(follows), ["_k", "_tie"]).withColumn("_copy", F.lit(True))
+    rows = prepare(_with_bucket(docs, "_k", bounds, "_b").withColumn("_copy", F.lit(False)))
+    copies = prepare(docs.join(F.broadcast(follows), ["_k", "_tie"]).withColumn("_copy", F.lit(True)))
     w = W.partitionBy("_b").orderBy("_copy", F.desc("_k"), F.desc("_tie"))
     both = rows.unionByName(copies.select(*rows.columns))
     for c in carried:
@@ -118,7 +120,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     result.  Other columns are not read.
     """
     flat = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = with_next(winnow(flat, "text", "grams"), ["text", "grams"])
+    both = with_next(flat, ["text", "grams"], prepare=lambda df: winnow(df, "text", "grams"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     both = both.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
     both = winnow(both.drop("text", "next_text"), "edited", "edited_grams")
