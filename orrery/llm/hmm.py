@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.batches import text_slices
+from orrery.llm.batches import LOWER, SPACE, lists, release, slices, word_runs, whole_texts
 from orrery.session import staged
 
 SYMBOLS = 1 << 15  # words with a symbol of their own; all others share one
 STATES = 6
-PASSES = 2  # Baum-Welch passes over the whole training part
+PASSES = 6  # Baum-Welch passes over the whole training part, at most
+SETTLED = 0.002  # passes end when one gains less than this per token, in log10
 SEED_ROWS = 400  # whose sequences give the first guess of the parameters
 SEED_PASSES = 25
 SLICE_TOKENS = 400_000
@@ -30,23 +30,48 @@ def split_words(text: str) -> list[bytes]:
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, c over all rows, an end for each row included.  Tasks count what they
     read and hand on partial counts whenever they hold many words."""
-    def out(count):
-        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+    def out(held):
+        words = pa.table({"word": pa.chunked_array([w for w, _ in held], pa.binary()), "n": pa.chunked_array([n for _, n in held], pa.int64())})
+        return words.group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()
 
     def run(batches):
-        count: Counter = Counter()
-        for _, texts in text_slices(batches, text_col):
-            for t in texts:
-                count.update(split_words(t))
-            count[END] += len(texts)
-            if len(count) > COUNTED_AT_ONCE:
-                yield out(count)
-                count = Counter()
-        yield out(count)
+        held, size = [], 0
+        for part in slices(batches, text_col):
+            words, index, _ = word_runs(part.column(text_col), SPACE, LOWER)
+            held += [(words, pa.array(np.bincount(index, minlength=len(words)))), (pa.array([END], pa.binary()), pa.array([part.num_rows], pa.int64()))]
+            size += len(words) + 1
+            if size > COUNTED_AT_ONCE:
+                yield from out(held)
+                held, size = [], 0
+        if held:
+            yield from out(held)
 
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list:
+    """(word, c) of the words of the highest counts, most frequent first: all down to the
+    least count that leaves at most ``most``.  Only a histogram of counts and the
+    words themselves reach the driver."""
+    size = F.floor(F.log2("c") * 16)  # sixteen steps for each doubling of a count
+    steps = sorted(((r["s"], r["n"], r["least"]) for r in counts.where(F.col("word") != F.lit(END)).groupBy(size.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()), reverse=True)
+    least, taken, open_step = None, 0, None
+    for _, n, c in steps:
+        if taken + n > most:
+            open_step = c
+            break
+        least, taken = c, taken + n
+    if open_step is not None:  # the step in which the bound falls, by single counts
+        fine = counts.where((F.col("word") != F.lit(END)) & (F.col("c") >= open_step) & ((F.col("c") < least) if least is not None else F.lit(True)))
+        for r in sorted(fine.groupBy("c").count().collect(), key=lambda r: -r["c"]):
+            if taken + r["count"] > most:
+                break
+            least, taken = r["c"], taken + r["count"]
+    if least is None:
+        return []
+    return sorted(counts.where((F.col("word") != F.lit(END)) & (F.col("c") >= least)).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 class Sequences:
     """Symbol sequences of several texts, laid out by time: at each time those of
     the texts that are not yet over, longest text first."""
@@ -149,34 +174,38 @@ def sequence_slices(batches, most: int = SLICE_TOKENS):
                 yield piece, piece.column("ids").flatten().to_numpy().astype(np.int64), lengths[a:b]
 
 
-def baum_welch_pass(encoded: DataFrame, model: dict, share: np.ndarray) -> dict:
-    """New parameters from the expected counts of all sequences: each task sums its
-    own, and one row for each symbol is added up over the tasks."""
+def baum_welch_pass(encoded: DataFrame, model: dict, share: np.ndarray) -> tuple[dict, float]:
+    """(new parameters, log10 likelihood under the old ones) from the expected counts
+    of all sequences: each task sums its own, and one row for each symbol is
+    added up over the tasks."""
     states = model["emit"].shape[1]
     shared = encoded.sparkSession.sparkContext.broadcast(_single(model))  # SYMBOLS x states
     names = [f"k{k}" for k in range(states)]
 
     def run(batches):
-        sums = np.zeros((len(share), states)), np.zeros((states, states)), np.zeros(states)
+        sums, likely = (np.zeros((len(share), states)), np.zeros((states, states)), np.zeros(states)), 0.0
         for _, ids, lengths in sequence_slices(batches):
-            Sequences(ids, lengths).expected(shared.value, *sums)
+            likely += Sequences(ids, lengths).expected(shared.value, *sums)
+        release()
         seen = np.flatnonzero(sums[0].any(axis=1))
-        rows = np.concatenate([sums[0][seen], sums[1], sums[2][None]])
-        key = np.concatenate([seen, -1 - np.arange(states + 1)])
+        rows = np.concatenate([sums[0][seen], sums[1], sums[2][None], np.full((1, states), likely)])
+        key = np.concatenate([seen, -1 - np.arange(states + 2)])
         yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(rows[:, k].copy()) for k in range(states))], names=["symbol", *names])
 
     kinds = "symbol long, " + ", ".join(f"{n} double" for n in names)
     sums = encoded.select("ids").mapInArrow(run, kinds).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     shared.unpersist()
     key, rows = sums.column("symbol").to_numpy(), np.stack([sums.column(n).to_numpy() for n in names], axis=1) if len(sums) else np.zeros((0, states))
-    emit, move, start = np.zeros((len(share), states)), np.zeros((states, states)), np.zeros(states)
+    emit, move, start, likely = np.zeros((len(share), states)), np.zeros((states, states)), np.zeros(states), 0.0
     emit[key[key >= 0]] = rows[key >= 0]
     for k, row in zip(key.tolist(), rows):
         if -1 - states < k < 0:
             move[-1 - k] = row
         elif k == -1 - states:
             start = row
-    return _normal(emit, move, start, share)
+        elif k == -2 - states:
+            likely = float(row[0])
+    return _normal(emit, move, start, share), likely
 
 
 def score_texts(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES, symbols: int = SYMBOLS) -> DataFrame:
@@ -194,11 +223,11 @@ def score_texts(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str
     gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("learns"))
+    rows = whole_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("learns"))
     counts = staged(word_counts(rows.where("learns")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     under = total + SMOOTH * (distinct + 1)
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(symbols - 1).collect()
+    top = frequent_words(counts, symbols - 1)
     ends = counts.where(F.col("word") == F.lit(END)).first()
     frequent = [ends["c"] if ends else 0, *(r["c"] for r in top)]
     log_share = np.log10((np.array(frequent, dtype=np.float64) + SMOOTH) / under)
@@ -210,23 +239,22 @@ def score_texts(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str
 
     def encode(batches):
         symbol, logs, known = table.value
-        for part, texts in text_slices(batches, "text"):
-            words = [split_words(t) for t in texts]
-            n = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-            get, ids = symbol.get, np.zeros(int(n.sum()), dtype=np.int32)
+        for part in slices(batches, "text"):
+            words, index, n = word_runs(part.column("text"), SPACE, LOWER)
+            own = np.fromiter((symbol.get(w, other) for w in words.to_pylist()), dtype=np.int32, count=len(words))
+            n = n + 1
+            ids = np.zeros(int(n.sum()), dtype=np.int32)
             inside = np.ones(len(ids), dtype=bool)
             inside[np.cumsum(n) - 1] = False
-            flat = [w for ws in words for w in ws]
-            ids[inside] = [get(w, other) for w in flat]
+            ids[inside] = own[index]
             owner = np.repeat(np.arange(len(n)), n)
             is_rare = ids == other
             rare_n = np.bincount(owner, is_rare, minlength=len(n)).astype(np.int64)
-            rare = [flat[k] for k in np.flatnonzero(is_rare[inside]).tolist()]
+            rare = words.take(pa.array(index[is_rare[inside]]))
             base = np.bincount(owner, np.append(logs, 0.0)[ids], minlength=len(n))
             sure = np.bincount(owner, np.append(known, False)[ids], minlength=len(n)).astype(np.int64)
-            lists = lambda size, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), part.column("learns"), lists(n, pa.array(ids)), pa.array(n), pa.array(sure), pa.array(base), lists(rare_n, pa.array(rare, pa.binary()))],
+                [part.column("row"), part.column("doc_id"), part.column("learns"), lists(n, ids), pa.array(n), pa.array(sure), pa.array(base), lists(rare_n, rare)],
                 names=["row", "doc_id", "learns", "ids", "n_tokens", "sure", "base", "rare"],
             )
 
@@ -235,8 +263,12 @@ def score_texts(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str
     lessons = encoded.where("learns")
     seeds = lessons.orderBy(F.xxhash64("doc_id"), "row").select("ids").limit(SEED_ROWS).collect()
     model = first_guess([np.array(r["ids"], dtype=np.int64) for r in seeds], share, states, SEED_PASSES)
+    before = None
     for _ in range(passes):
-        model = baum_welch_pass(lessons, model, share)
+        model, likely = baum_welch_pass(lessons, model, share)
+        if before is not None and likely - before < SETTLED * total:
+            break
+        before = likely
     final, apart = spark.sparkContext.broadcast(model), float(np.log10(share[-1]))
 
     def likelihood(batches):
