@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Words that carry no meaning for matching labels.
-STOP_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "is", "of", "on", "or", "per", "that", "the", "this", "to", "with")
-
+# Words that carry no meaning for matching labels; they must be these for equal tokens.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "for", "if", "in", "into", "is", "it", "its", "of", "on", "or",
+    "that", "the", "their", "then", "there", "these", "this", "to", "was", "were", "which", "with",
+)
+# Ways to write that nothing is known.
+UNRESOLVED = ("", "na", "n/a", "none", "null", "unknown", "unsupported", "unresolved", "not specified", "not applicable")
+# Dashes of all widths and the minus sign.
+DASHES = "[\u2010-\u2015\u2212]"
+# Words of a header that names a period, and of one that names a unit.
+PERIOD = r"(?i)\b(19\d\d|20\d\d|years?|months?|quarters?|ended|december|january|february|march|april|may|june|july|august|september|october|november)\b"
+UNIT = r"(?is)^\(?\s*(in|dollars?|shares?|millions?|thousands?|except|per|amounts?|unaudited|usd|\$|%)\b.*$"
+UNIT_CELLS = ("$", "%", "$ $", "% %")
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits; no stop words, no stemming."""
@@ -79,10 +89,66 @@ def dotted_code(code: Column) -> Column:
 
 
 def plain_number(text: Column) -> Column:
-    """A number's text without currency, per cent, separators, brackets and white space; dashes alike."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[‐-―−]", "-")
-    t = F.regexp_replace(t, r"[$€£%,\s]", "")
-    return F.regexp_replace(t, r"^\((.*)\)$", "$1")
+    """A number's text without quotes around it, then brackets around all of it, then
+    dollar and per-cent signs, commas and white space; dashes alike."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, '^"+|"+$', ""), "^'+|'+$", "")
+    t = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)^\(\s*(.*?)\s*\)$", "$1"), DASHES, "-")
+    return F.regexp_replace(t, r"(?U)[$%,\s]", "")
+
+
+def once(text: Column) -> Column:
+    """Squeezed text; its first half alone where both halves have the same words."""
+    words = F.split(squeeze(text), " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    twice = (F.size(words) % 2 == 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
+    return F.array_join(F.when(twice, F.slice(words, F.lit(1), half)).otherwise(words), " ")
+
+
+def dataset_number(text: Column) -> Column:
+    """The number that a cell shows, for matching: without signs of currency, per
+    cent and thousands, brackets, repeats; "" where it shows none or several.
+    Character references of HTML are expected to be resolved."""
+    shown = F.regexp_replace(once(text), DASHES, "-")
+    bare = F.regexp_replace(once(F.regexp_replace(shown, "[$%,]", " ")), r"(?U)\s+", "")
+    bare = F.regexp_replace(bare, r"^\((.*)\)$", "$1")
+    number = r"[+-]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)|-"
+    parts = F.transform(F.regexp_extract_all(shown, F.lit(number), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    rest = F.regexp_replace(F.regexp_replace(shown, number, ""), r"(?U)[\s$%,().]+", "")
+    one = F.size(F.array_distinct(parts)) == 1
+    plus = lambda x: F.regexp_replace(x, "^[+]+", "")
+    return F.when(bare == "-", bare).when(bare.rlike(r"^[+-]?(\d+(\.\d+)?|\.\d+)$"), plus(bare)).when((rest == "") & one, plus(F.get(parts, F.lit(0)))).otherwise(F.lit(""))
+
+
+def listed(text: Column) -> Column:
+    """Parts between commas and semicolons, squeezed, without empty ones."""
+    return F.filter(F.transform(F.split(squeeze(text), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def truthy(value: Column) -> Column:
+    return F.lower(squeeze(value.cast("string"))).isin("yes", "true", "1", "y")
+
+
+def by_alias(text: Column, aliases: list[str]) -> Column:
+    """The value in a JSON object of the first of ``aliases`` that is a key; keys
+    count in lower case, with "-" and " " as "_"."""
+    entries = F.map_entries(F.from_json(text, "map<string,string>"))
+
+    def value(alias: str) -> Column:
+        return F.get(F.filter(entries, lambda e: F.regexp_replace(F.lower(e["key"]), "[- ]", "_") == alias), F.lit(0))["value"]
+
+    return F.coalesce(*map(value, aliases))
+
+
+def tag_in(text: Column, tags: Column, pattern: str) -> Column:
+    """The first of ``tags`` that a free text names: in full by ``pattern``, or else by what follows its prefix; "" for none."""
+    t = F.coalesce(text, F.lit(""))
+    bare = lambda x: F.regexp_replace(x, "^[^:]*:", "")
+    full = F.get(F.filter(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: F.array_contains(tags, x)), F.lit(0))
+    suffixes = F.transform(tags, bare)
+    word = F.get(F.filter(F.regexp_extract_all(t, F.lit("[A-Za-z][A-Za-z0-9_]{2,}"), F.lit(0)), lambda x: F.array_contains(suffixes, x)), F.lit(0))
+    return F.coalesce(full, F.get(F.filter(tags, lambda x: bare(x) == word), F.lit(0)), F.lit(""))
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:
@@ -117,6 +183,4 @@ def ranges(position: Column) -> Column:
 
 def unresolved(value: Column) -> Column:
     """True for values that say nothing."""
-    # Ways to write that nothing is known.
-    empty = ("", "na", "n/a", "none", "null", "nil", "unknown", "unsupported", "unresolved", "not applicable", "not specified")
-    return F.lower(F.trim(F.coalesce(value, F.lit("")))).isin(*empty)
+    return F.lower(squeeze(value)).isin(*UNRESOLVED)

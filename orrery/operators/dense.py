@@ -2,50 +2,90 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orrery.operators.retrieval import ranked
+from orrery.session import staged
 
-#: Numbers of a query matrix that is sent to every task; larger query sets go block by block.
+#: Numbers of a query matrix that is sent to every task; larger query sets go block by block, one at a time.
 BLOCK_NUMBERS = 1 << 22
+#: Similarities that a task holds at once.
+TASK_NUMBERS = 1 << 22
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+
+def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, of equal ones the smaller documents'; -inf counts for nothing."""
+    least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+    at = np.flatnonzero((scores >= least) & (scores > -np.inf))
+    return at[np.lexsort((docs[at], -scores[at]))[:k]]
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, *, typed: bool = False) -> DataFrame:
     """query, doc, similarity, rank of the ``k`` nearest of all vectors.
 
-    ``queries``: query, vec[, type]; ``vectors``: doc, vec[, type].  Each task
-    multiplies its vectors with a bounded block of queries and keeps its own best
-    ``k``, so a shuffle gets ``k`` rows for each query and task.  With ``typed`` only
-    vectors of the query's type count.
+    ``queries``: query, vec[, type]; ``vectors``: doc (a whole number), vec[, type].  The
+    driver reads a block of queries of ``BLOCK_NUMBERS`` at a time and sends it to
+    all tasks; each multiplies its vectors with some of them at a time and keeps its
+    own best ``k``, so a shuffle gets ``k`` rows for each query and task.  With
+    ``typed`` only vectors of the query's type count.  Null vectors have no neighbours.
     """
-    asked = queries.collect()
-    dim = len(asked[0]["vec"]) if asked else 1
-    step = max(1, BLOCK_NUMBERS // dim)
-    found = None
+    spark = queries.sparkSession
+    vectors = vectors.where("vec is not null")
+    queries = queries.where("vec is not null")
+    one = queries.select(F.size("vec")).first()
+    dim = one[0] if one else 1
     kind, doc_kind = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query"), (vectors, "doc")))
-    for at in range(0, max(1, len(asked)), step):
-        part = asked[at : at + step]
-        matrix = np.array([r["vec"] for r in part], dtype=np.float64).reshape(-1, dim)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        names, types = [r["query"] for r in part], np.array([r["type"] for r in part]) if typed else None
-
-        def near(batches, matrix=matrix, names=names, types=types):
-            best = [np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)]
+    name_type, doc_type = to_arrow_type(queries.schema["query"].dataType), to_arrow_type(vectors.schema["doc"].dataType)
+    asked, found = queries.toLocalIterator(), []
+    while True:
+        part = list(islice(asked, max(1, BLOCK_NUMBERS // max(dim, 1))))
+        if not part and found:
+            break
+        matrix = _unit(np.array([r["vec"] for r in part], dtype=np.float64).reshape(len(part), -1)) if part else np.zeros((0, dim))
+        shared = spark.sparkContext.broadcast((matrix, [r["query"] for r in part], np.array([r["type"] for r in part], dtype=object) if typed else None))
+
+        def near(batches, shared=shared):
+            matrix, names, types = shared.value
+            scores = [np.zeros(0)] * len(names)
+            docs = [np.zeros(0, dtype=np.int64)] * len(names)
             for b in batches:
                 if not b.num_rows or not names:
                     continue
-                v = b.column("vec").flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
-                sim = matrix @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                if types is not None:
-                    sim[types[:, None] != np.array(b.column("type").to_pylist())[None]] = -np.inf
-                both = [np.concatenate([best[0], sim], axis=1), np.concatenate([best[1], np.broadcast_to(b.column("doc").to_numpy(), sim.shape)], axis=1)]
-                order = np.lexsort((both[1], -np.round(both[0], 9)), axis=1)[:, :k]
-                best = [np.take_along_axis(x, order, axis=1) for x in both]
-            q, j = np.nonzero(best[0] > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.int64()), pa.array(best[1][q, j]), pa.array(best[0][q, j])], names=["query", "doc", "similarity"])
+                v = _unit(b.column("vec").flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)).T
+                ids, kinds = b.column("doc").to_numpy().astype(np.int64), np.array(b.column("type").to_pylist(), dtype=object) if types is not None else None
+                step = max(1, TASK_NUMBERS // b.num_rows)
+                for a in range(0, len(names), step):
+                    sim = np.round(matrix[a : a + step] @ v, 9)
+                    for q, row in enumerate(sim, a):
+                        if kinds is not None:
+                            row = np.where(kinds == types[q], row, -np.inf)
+                        at = _best(row, ids, k)
+                        s, d = np.concatenate([scores[q], row[at]]), np.concatenate([docs[q], ids[at]])
+                        keep = _best(s, d, k)
+                        scores[q], docs[q] = s[keep], d[keep]
+            n = [len(s) for s in scores]
+            empty = [np.zeros(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, m in zip(names, n) for _ in range(m)], name_type), pa.array(np.concatenate(docs or empty).astype(np.int64)).cast(doc_type), pa.array(np.concatenate(scores or empty))],
+                names=["query", "doc", "similarity"],
+            )
 
         rows = vectors.mapInArrow(near, f"query {kind}, doc {doc_kind}, similarity double")
-        found = rows if found is None else found.unionByName(rows)
-    return ranked(found, ["query"], [F.desc(F.round("similarity", 9)), F.col("doc")], k)
+        if len(part) < max(1, BLOCK_NUMBERS // max(dim, 1)):
+            found.append(rows)
+            break
+        found.append(staged(rows, "near"))  # so that its block can go before the next one comes
+        shared.unpersist()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return ranked(out, ["query"], [F.desc(F.round("similarity", 9)), F.col("doc")], k)

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from orrery.operators.retrieval import minmax, ranked
 
 KAPPA = 60
+# Keys of a model's answer that name candidates, by what they hold.
+RANKED_KEYS = {"selected": ("selected_index", "selected_tag"), "indices": ("ranked_indices", "ranking", "ranked_candidate_indices"), "tags": ("ranked_tags", "tags")}
 
 
 def rrf(rankings: DataFrame, mode: str = "sum", kappa: int = KAPPA, by: list[str] | None = None) -> DataFrame:
@@ -78,3 +80,56 @@ def rank_gain(rank: Column, mode: str = "reciprocal") -> Column:
     """Reward of a rank: 1/rank or 1/log2(rank + 1); 0 where absent."""
     gain = 1.0 / rank if mode == "reciprocal" else 1.0 / F.log2(rank + 1)
     return F.coalesce(gain, F.lit(0.0))
+
+
+def null_search(rankings: DataFrame, beta: float, kappa: int = KAPPA) -> DataFrame:
+    """Rounds fused by reciprocal rank plus ``beta`` times the consensus at the tag's best
+    rank, of equal ranks the earlier round's; ties by the first round, the best rank, the tag.
+
+    ``rankings``: fact, list (the round), tag, rank, consensus.
+    """
+    rows = rankings.where(F.col("tag").isNotNull() & (F.col("rank") > 0))
+    at = F.min(F.struct("rank", "list", "consensus"))
+    fused = rows.groupBy("fact", "tag").agg(F.sum(1.0 / (kappa + F.col("rank"))).alias("rrf"), F.min("list").alias("first_list"), at["rank"].alias("best_rank"), at["consensus"].alias("consensus"))
+    return fused_ranking(fused.withColumn("final", F.col("rrf") + beta * F.col("consensus")), score="final")
+
+
+def config_grid(rankings: DataFrame, configs: DataFrame, consensus: DataFrame, kappa: int = KAPPA) -> DataFrame:
+    """config, fact, tag, rank for every row of ``configs`` (config, lists, mode, beta): the lists
+    that a configuration uses, summed or averaged over those that hold the tag, scaled
+    within the fact, plus ``beta`` times the tag's consensus (fact, tag, consensus; none counts 0).
+
+    Configurations are a small table; every ranking row is copied once for each that uses it.
+    """
+    used = rankings.join(F.broadcast(configs), F.array_contains("lists", F.col("list")))
+    keys = ["config", "fact"]
+    part = 1.0 / (kappa + F.col("rank"))
+    fused = used.groupBy(*keys, "tag", "mode", "beta").agg(F.sum(part).alias("total"), F.avg(part).alias("mean"), F.min("list").alias("first_list"), F.min("rank").alias("best_rank"))
+    fused = fused.withColumn("score", F.when(F.col("mode") == "mean", F.col("mean")).otherwise(F.col("total"))).join(consensus, ["fact", "tag"], "left")
+    final = minmax(F.round("score", 12), keys, 1.0) + F.col("beta") * F.coalesce("consensus", F.lit(0.0))
+    return fused_ranking(fused.withColumn("final", final), score="final", by=keys)
+
+
+def named_candidates(answers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """fact, tag, priority, pos for ``composite`` from a model's answers (fact, answer in JSON).
+
+    A selected index or tag comes first, then ranked indices, then ranked tags; indices are
+    candidates' ranks, what is no candidate counts for nothing.  The keys
+    are those that ``RANKED_KEYS`` lists.
+    """
+    a = F.col("answer")
+    texts = lambda key: F.from_json(F.get_json_object(a, f"$.{key}"), "array<string>")
+    parts = []
+    for priority, keys in RANKED_KEYS.items():
+        for k, key in enumerate(keys):
+            one = F.array(F.get_json_object(a, f"$.{key}")) if priority == "selected" else texts(key)
+            parts.append(answers.select("fact", F.lit(priority).alias("what"), F.lit(key).alias("key"), F.lit(k).alias("nth"), F.posexplode(one).alias("at", "named")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    by_rank, by_tag = F.col("key").contains("ind") | (F.col("key") == "ranking"), F.col("named") == F.col("tag").cast("string")
+    met = rows.join(candidates.select("fact", "tag", F.col("rank").alias("candidate")), "fact").where(F.when(by_rank, F.col("named").try_cast("int") == F.col("candidate")).otherwise(by_tag))
+    selected = F.col("what") == "selected"
+    first = met.where(selected).groupBy("fact").agg(F.min(F.struct("nth", "tag"))["tag"].alias("tag")).withColumn("priority", F.lit(0)).withColumn("pos", F.lit(0).cast("long"))
+    priority = F.when(F.col("what") == "indices", 1).otherwise(2)
+    return first.unionByName(met.where(~selected).select("fact", "tag", priority.alias("priority"), (F.col("nth") * 1_000_000 + F.col("at")).cast("long").alias("pos")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.functions.text import jaccard
 from orrery.operators.fusion import rank_gain
+from orrery.operators.stats import placed
 
 DEPTHS = (1, 5, 10, 50)
 
@@ -61,11 +62,15 @@ def auroc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
 
 
 def average_precision(rows: DataFrame, by: list[str], score: str, label: str, order: str) -> DataFrame:
-    """Mean precision at each positive, by falling score; ``order`` breaks ties."""
-    w = W.partitionBy(*by).orderBy(F.desc(score), order)
-    at = rows.withColumn("_r", F.row_number().over(w)).withColumn("_h", F.sum(F.col(label).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    y = F.col(label).cast("boolean")
-    return at.groupBy(*by).agg(F.try_divide(F.sum(F.when(y, F.col("_h") / F.col("_r"))), F.count(F.when(y, 1))).alias("average_precision"))
+    """Mean precision at each positive, by falling score; ``order`` breaks ties; null without positives.
+
+    A positive's precision is its place among positives over its place among all, so
+    ranges are ordered by many tasks.
+    """
+    all_ = rows.select(*by, (-F.col(score)).alias("_down"), order, F.col(label).cast("boolean").alias("_y"))
+    hits = placed(all_, by, ["_down", order], "_r").where("_y")
+    mean = placed(hits, by, ["_down", order], "_h").groupBy(*by).agg(F.avg(F.col("_h") / F.col("_r")).alias("average_precision"))
+    return rows.select(*by).distinct().join(mean, by, "left")
 
 
 def pairwise_jaccard(lists: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from orrery.functions import text as tx
+from orrery.session import staged
 
 
 def one_to_one(entities: DataFrame, cells: DataFrame, by: list[str], entity_order: str, cell_order: str) -> DataFrame:
@@ -23,6 +25,22 @@ def one_to_one(entities: DataFrame, cells: DataFrame, by: list[str], entity_orde
     return rows.withColumn("status", status).withColumn("cell", F.coalesce("cell", "_first")).drop("_k", "_first")
 
 
+def gold_lookup(entities: DataFrame, gold: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``entities`` with golds, the distinct ``value`` of all gold rows of equal ``by``, and n_golds;
+    a pair may have several, or none."""
+    sets = gold.groupBy(*by).agg(F.sort_array(F.collect_set(value)).alias("golds"))
+    return entities.join(sets, by, "left").withColumn("n_golds", F.coalesce(F.size("golds"), F.lit(0)).cast("long"))
+
+
+def by_rules(text: Column, rules: list[tuple[str, str, str]], default: str) -> Column:
+    """The label of the first of ``rules`` (how, pattern, label) that a text meets; how is prefix, suffix, inside or pattern."""
+    meets = {"prefix": lambda p: text.startswith(p), "suffix": lambda p: text.endswith(p), "inside": lambda p: text.contains(p), "pattern": lambda p: text.rlike(p)}
+    out = F.lit(None).cast("string")
+    for how, pattern, label in reversed(rules):
+        out = F.when(meets[how](pattern), label).otherwise(out)
+    return F.coalesce(out, F.lit(default))
+
+
 def ordered_unique(order: str, value: str) -> Column:
     """Aggregate: the distinct values of a group in the order of their first place."""
     return F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]))
@@ -56,12 +74,25 @@ def interval_overlap(a: DataFrame, b: DataFrame, on: str, width: int) -> DataFra
     return rows.where(meet & (F.col("_bin") == F.floor(F.greatest("start", "other_start") / width))).drop("_bin")
 
 
-def tree_paths(nodes: DataFrame, levels: int) -> DataFrame:
-    """node, path, depth of a parent table (node, parent, name), by as many joins as there are levels."""
-    found = at = nodes.where("parent is null").select("node", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    for depth in range(1, levels):
-        up = at.select(F.col("node").alias("parent"), F.col("path").alias("_p"))
-        at = nodes.join(up, "parent").select("node", F.concat_ws(" > ", "_p", "name").alias("path"), F.lit(depth).alias("depth"))
+def tree_paths(nodes: DataFrame, notes: str | None = None) -> DataFrame:
+    """node, path, depth of a parent table (node, parent, name), level by level until no
+    node is added; with ``notes``, an array column, also the lists of all nodes above, the
+    highest first, then the own one.
+
+    Every level is written once, so a deep tree does not lengthen the plan.  Raises where
+    nodes are their own ancestors.  Nodes whose parent is missing have no path.
+    """
+    own = [F.coalesce(F.col(notes), F.array().cast(nodes.schema[notes].dataType)).alias(notes)] if notes else []
+    at = staged(nodes.where("parent is null").select("node", F.col("name").alias("path"), F.lit(0).alias("depth"), *own), "level")
+    found, depth, below = at, 0, nodes.where("parent is not null")
+    total = nodes.count()
+    while not at.isEmpty():
+        depth += 1
+        if depth > total:
+            raise ValueError("the tree has a cycle")
+        up = at.select(F.col("node").alias("parent"), F.col("path").alias("_p"), *([F.col(notes).alias("_n")] if notes else []))
+        inherited = [F.concat("_n", *own).alias(notes)] if notes else []
+        at = staged(below.join(up, "parent").select("node", F.concat_ws(" > ", "_p", "name").alias("path"), F.lit(depth).alias("depth"), *inherited), "level")
         found = found.unionByName(at)
     return found
 
@@ -120,6 +151,41 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInArrow(run, f"{key} {kind}, table int, row int, col int, cell string")
 
 
+def table_context(cells: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, row, col, cell, number, row_context, column_context of every number in a table of cells.
+
+    The row's context is the lone label of each of the three rows above that has no
+    number, and the nearest label to the left.  The column's is, of each row above, the
+    header at the number's place among the numbers of its row, or the only header if
+    it names a period; the last four of them.  A first header that names a unit is skipped
+    where headers outnumber numbers.  A table is one row of arrays while this is done.
+    """
+    t = tx.once(F.col("cell"))
+    number, filled = tx.dataset_number(t), (t != "") & ~t.isin(*tx.UNIT_CELLS)
+    roles = cells.withColumn("_shown", t).withColumn("number", F.when(filled, number).otherwise("")).withColumn("period", t.rlike(tx.PERIOD))
+    plain = filled & (F.col("number") == "") & ~t.rlike(tx.UNIT)
+    roles = roles.withColumn("label", plain).withColumn("header", filled & (F.col("period") | plain))
+    ordered = F.array_sort(F.collect_list(F.struct("col", F.col("_shown").alias("t"), "number", "label", "header", "period")))
+    rows = roles.groupBy(*by, "row").agg(ordered.alias("cells"))
+    rows = rows.select(*by, "row", *[F.filter("cells", f).alias(n) for n, f in (("labels", lambda x: x["label"]), ("headers", lambda x: x["header"]), ("numbers", lambda x: x["number"] != ""))])
+    tables = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row", "labels", "headers", "numbers"))).alias("rows"))
+    each = tables.select(*by, "rows", F.explode("rows").alias("r")).select(*by, "rows", "r", F.posexplode("r.numbers").alias("nth", "n"))
+    here, above = F.col("r.row"), F.filter("rows", lambda x: x["row"] < F.col("r.row"))
+    sections = F.transform(F.filter(above, lambda x: (x["row"] >= here - 3) & (F.size(x["labels"]) == 1) & (F.size(x["numbers"]) == 0)), lambda x: F.get(x["labels"], F.lit(0))["t"])
+    left = F.filter("r.labels", lambda x: x["col"] < F.col("n.col"))
+    nearest = F.when(F.size(left) > 0, F.array(F.element_at(left, -1)["t"])).otherwise(F.array().cast("array<string>"))
+
+    def piece(x):
+        h, n = x["headers"], F.size("r.numbers")
+        skip = F.when((F.size(h) > n) & F.lower(F.get(h, F.lit(0))["t"]).rlike(r"\b(in millions|in thousands|dollars|shares|except)\b"), 1).otherwise(0)
+        return F.when(F.size(h) == 1, F.when(F.get(h, F.lit(0))["period"], F.get(h, F.lit(0))["t"])).otherwise(F.get(h, F.least(F.col("nth") + skip, F.size(h) - 1))["t"])
+
+    pieces = F.filter(F.transform(F.filter(above, lambda x: F.size(x["headers"]) > 0), piece), lambda x: x.isNotNull())
+    last = F.slice(pieces, F.greatest(F.size(pieces) - 3, F.lit(1)), F.lit(4))
+    joined = lambda a: F.when(F.size(a) > 0, F.array_join(F.array_distinct(a), " | "))
+    return each.select(*by, here.alias("row"), F.col("n.col").alias("col"), F.col("n.t").alias("cell"), F.col("n.number").alias("number"), joined(F.concat(sections, nearest)).alias("row_context"), joined(last).alias("column_context"))
+
+
 class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)

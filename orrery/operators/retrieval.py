@@ -5,34 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.functions.text import coverage
+from orrery.session import staged
 
 K1, B = 1.5, 0.75
 
 
-def corpus_statistics(corpus: DataFrame) -> DataFrame:
-    """scope, n_docs, avg_len of a corpus (scope, doc, tokens)."""
-    return corpus.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-
-
-def postings(corpus: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """scope, token, doc, doc_len, tf; only tokens of ``wanted`` (scope, token) where given,
-    so that the words no query asks for never reach a shuffle."""
-    exploded = corpus.select("scope", "doc", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
-    if wanted is not None:
-        exploded = exploded.join(wanted, ["scope", "token"], "left_semi")
-    return exploded.groupBy("scope", "token", "doc", "doc_len").agg(F.count("*").alias("tf"))
+def postings(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """scope, token, doc, doc_len, tf of the tokens of ``asked`` (scope, token), and a row without
+    a token for every document of those scopes: one pass over the texts serves both
+    statistics and scores, and words that no query asks for never reach a shuffle."""
+    every = F.concat(F.array(F.lit(None).cast("string")), "tokens")
+    exploded = corpus.select("scope", "doc", F.size("tokens").alias("doc_len"), F.explode_outer(every).alias("token"))
+    wanted = asked.select("scope", "token").unionByName(asked.select("scope", F.lit(None).cast("string").alias("token"))).distinct()
+    wanted = wanted.withColumnsRenamed({"scope": "_scope", "token": "_token"})
+    met = exploded.join(wanted, (F.col("scope") == F.col("_scope")) & F.col("token").eqNullSafe(F.col("_token")), "left_semi")
+    return met.groupBy("scope", "token", "doc", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query, doc, score of every document that shares a token with the query in its scope.
 
     ``queries``: query, scope, tokens (a set counts).  Document numbers and mean
-    lengths are those of the scope.
+    lengths are those of the scope.  The postings are written once.
     """
     asked = queries.select("query", "scope", F.explode(F.array_distinct("tokens")).alias("token"))
-    found = postings(corpus, asked.select("scope", "token").distinct())
+    found = staged(postings(corpus, asked), "postings")
+    stats = found.where("token is null").groupBy("scope").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("doc_len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    found = found.where("token is not null")
     df = found.groupBy("scope", "token").agg(F.count("*").alias("df"))
-    weighted = df.join(corpus_statistics(corpus), "scope").select("scope", "token", "avg_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = df.join(stats, "scope").select("scope", "token", "avg_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
     return asked.join(weighted, ["scope", "token"]).join(found, ["scope", "token"]).groupBy("query", "doc").agg(F.sum(part).alias("score"))

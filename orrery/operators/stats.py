@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from orrery.session import staged
+
 
 def draw(n: Column, *keys: Column) -> Column:
     """A number from 0 to n - 1 that depends on the keys alone: the first 32 bits of an MD5."""
@@ -11,10 +13,26 @@ def draw(n: Column, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n
 
 
+def placed(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, ... within ``by`` in the order of ``order``.
+
+    Ranges of (by, order) are sorted by many tasks and their lengths added up, so a
+    group that holds all rows is not sorted by one task, as a window would.
+    """
+    keys = [*by, *order]
+    local = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
+    local = staged(local, "ordered")
+    sizes = local.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))  # a row for each range and group
+    base = sizes.withColumn("_base", F.sum("_n").over(W.partitionBy(*by or [F.lit(1)]).orderBy("_part")) - F.col("_n"))
+    base = base.select("_base", "_first", F.col("_part").alias("_p"), *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)])
+    match = [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by))]
+    return local.join(base, match).select(*rows.columns, (F.col("_base") + F.col("_in") - F.col("_first") + 1).alias(name))
+
+
 def by_cluster(rows: DataFrame, cluster: str, value: str) -> DataFrame:
     """at, total, n: clusters in order, with what a ratio of sums needs."""
     sums = rows.groupBy(cluster).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
-    return sums.select((F.row_number().over(W.orderBy(cluster)) - 1).cast("long").alias("at"), "total", "n")
+    return placed(sums, [], [cluster], "at").select((F.col("at") - 1).alias("at"), "total", "n")
 
 
 def bootstrap(clusters: DataFrame, draws: int) -> DataFrame:
@@ -22,9 +40,9 @@ def bootstrap(clusters: DataFrame, draws: int) -> DataFrame:
 
     Clusters are summed beforehand, so the work is draws times clusters.
     """
-    size = clusters.agg(F.count("*").alias("size"))
+    size = clusters.agg(F.count("*").alias("size"))  # one row
     grid = clusters.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-    picked = grid.withColumn("at", draw(F.col("size"), F.col("draw"), F.col("slot"))).join(F.broadcast(clusters) if draws else clusters, "at")
+    picked = grid.withColumn("at", draw(F.col("size"), F.col("draw"), F.col("slot"))).join(clusters, "at")
     return picked.groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("statistic"))
 
 
@@ -34,6 +52,23 @@ def interval(samples: DataFrame, value: str = "statistic") -> list[Column]:
     return [F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), ((low > 0) | (high < 0)).alias("excludes_zero")]
 
 
+def normal_interval(value: str, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Aggregates: bounds of a mean's central 95 % from its standard error."""
+    half = z * F.stddev_samp(value) / F.sqrt(F.count(value))
+    return F.avg(value) - half, F.avg(value) + half
+
+
+def gate(low: Column, high: Column, at: float = 0.0) -> Column:
+    """pass if all of an interval lies over ``at``, fail if all lies under it, else inconclusive; null bounds decide nothing."""
+    return F.when(low > at, "pass").when(high < at, "fail").otherwise("inconclusive")
+
+
+def assert_rate(rate: float, reference: float, tolerance: float = 0.05) -> None:
+    """Raises where a rate, as of self-retrieval, is worse than its reference by more than the tolerance."""
+    if rate > reference + tolerance:
+        raise AssertionError(f"rate {rate:.4f} is over {reference:.4f} by more than {tolerance}")
+
+
 def distribution_distance(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """l1 and max_abs distance between the shares of ``key`` in two tables, over the union of its values."""
     def shares(df, name):
@@ -60,6 +95,22 @@ def correlated_features(matrix: dict[tuple[str, str], float], order: list[str],
     return kept
 
 
+def stratum(rows: DataFrame, key: str, kinds: str) -> DataFrame:
+    """``key``, stratum: of the kinds (an array column) of a row the one that the fewest rows have, of equals the first."""
+    each = rows.select(key, F.explode(F.array_distinct(kinds)).alias("kind"))
+    n = each.groupBy("kind").agg(F.count("*").alias("n"))
+    return each.join(n, "kind").groupBy(key).agg(F.min(F.struct("n", "kind"))["kind"].alias("stratum"))
+
+
+def quota_sample(rows: DataFrame, group: str, order: list[Column], target: int, key: str) -> DataFrame:
+    """``rows`` with chosen: ``target`` of them, from each group as many as ``quotas`` gives it, the first in ``order`` and ``key``."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}  # one row for each group
+    share = rows.sparkSession.createDataFrame(list(quotas(sizes, target).items()) or [(None, 0)], f"{group} {rows.schema[group].dataType.simpleString()}, _quota long")
+    names = [f"_o{k}" for k in range(len(order))]
+    first = placed(rows.withColumns(dict(zip(names, order))), [group], [*names, key], "_place")
+    return first.join(F.broadcast(share), group).withColumn("chosen", F.col("_place") <= F.col("_quota")).drop("_place", "_quota", *names)
+
+
 def quotas(sizes: dict[str, int], target: int) -> dict[str, int]:
     """Shares of ``target`` in proportion to sizes: each group at least 1 and at most its
     size, the group with the largest deficit next."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.text import tokens
 from orrery.operators import fusion as fu, metrics as me, rerank as rr
+from orrery.operators.passages import containing
 from orrery.operators.retrieval import bm25_topk, ranked
 from orrery.plans.fusion import R, rankings
 from orrery.plans.registry import query
@@ -84,7 +85,7 @@ def query_form_contrast(spark, sf_dir):
     corpus = docs.select(F.lit("*").alias("scope"), F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("tokens"))
     found = bm25_topk(asked, corpus, 20).select(F.floor(F.col("query") / 10).alias("item_id"), (F.col("query") % 10).alias("form"), "doc", "rank")
     passages = items.select("item_id", F.col("text").alias("passage"))
-    g = docs.join(passages, F.contains("text", "passage")).groupBy("item_id").agg(F.min("doc_id").alias("gold"))
+    g = containing(docs.select("doc_id", "text"), "text", passages, "passage").groupBy("item_id").agg(F.min("doc_id").alias("gold"))
     rows = g.withColumn("form", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)]))).join(found, ["item_id", "form"], "left")
     m = rows.groupBy("item_id", "form").agg(F.min(F.when(F.col("doc") == F.col("gold"), F.col("rank"))).alias("gr"))
     return m.groupBy("form").agg(F.count("*").alias("n"), F.round(F.avg(fu.rank_gain(F.col("gr"))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("gr") <= 5, 1.0).otherwise(0.0)), 6).alias("recall_at_5"))

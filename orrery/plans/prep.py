@@ -83,14 +83,36 @@ def tree_paths(spark, sf_dir):
     r = table(spark, sf_dir, "region").select(node("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     n = table(spark, sf_dir, "nation").select(node("n", "n_nationkey").alias("node"), node("r", "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
     c = table(spark, sf_dir, "customer").select(node("c", "c_custkey").alias("node"), node("n", "c_nationkey").alias("parent"), F.col("c_name").alias("name"))
-    return prep.tree_paths(r.unionByName(n).unionByName(c), 3).withColumn("depth", F.col("depth").cast("long"))
+    return prep.tree_paths(r.unionByName(n).unionByName(c)).withColumn("depth", F.col("depth").cast("long"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 'promotion' WHEN p_type LIKE '%BRASS' OR p_type LIKE '%COPPER' THEN 'red metal' WHEN p_size <= 10 THEN 'small' ELSE 'other' END AS role FROM part")
+@query("SELECT 'c' || c_custkey AS node, 2::BIGINT AS depth, r_name || '|' || n_name || '|' || c_mktsegment AS notes FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '|' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, 0, r_name FROM region")
+def tree_inherited_notes(spark, sf_dir):
+    """Lists that nodes inherit from all nodes above."""
+    node = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    row = lambda n, p, name: (n.alias("node"), p.alias("parent"), F.col(name).alias("name"), F.array(name).alias("notes"))
+    r = table(spark, sf_dir, "region").select(*row(node("r", "r_regionkey"), F.lit(None).cast("string"), "r_name"))
+    n = table(spark, sf_dir, "nation").select(*row(node("n", "n_nationkey"), node("r", "n_regionkey"), "n_name"))
+    c = table(spark, sf_dir, "customer").select(*row(node("c", "c_custkey"), node("n", "c_nationkey"), "c_mktsegment"))
+    out = prep.tree_paths(r.unionByName(n).unionByName(c), "notes")
+    return out.select("node", F.col("depth").cast("long").alias("depth"), F.array_join("notes", "|").alias("notes"))
+
+
+RULES = [("prefix", "PROMO", "promotion"), ("suffix", "BRASS", "red metal"), ("suffix", "COPPER", "red metal"), ("pattern", "^(SMALL|MEDIUM)", "small"), ("inside", "POLISHED", "polished")]
+
+
+@query("SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 'promotion' WHEN p_type LIKE '%BRASS' OR p_type LIKE '%COPPER' THEN 'red metal' WHEN p_type LIKE 'SMALL%' OR p_type LIKE 'MEDIUM%' THEN 'small' WHEN p_type LIKE '%POLISHED%' THEN 'polished' ELSE 'other' END AS role FROM part")
 def case_classifier(spark, sf_dir):
-    t = F.col("p_type")
-    role = F.when(t.startswith("PROMO"), "promotion").when(t.endswith("BRASS") | t.endswith("COPPER"), "red metal").when(F.col("p_size") <= 10, "small").otherwise("other")
-    return table(spark, sf_dir, "part").select("p_partkey", role.alias("role"))
+    """The first rule that a type meets."""
+    return table(spark, sf_dir, "part").select("p_partkey", prep.by_rules(F.col("p_type"), RULES, "other").alias("role"))
+
+
+@query("WITH g AS (SELECT l_suppkey, l_quantity, list_sort(list(DISTINCT l_partkey)) AS golds FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(len(golds), 0) AS n_golds, golds[1] AS first_gold FROM lineitem LEFT JOIN g USING (l_suppkey, l_quantity) WHERE l_returnflag = 'A'")
+def gold_pair_lookup(spark, sf_dir):
+    """The parts that a supplier's returned lines of equal quantity name, none or several."""
+    lines = table(spark, sf_dir, "lineitem")
+    out = prep.gold_lookup(lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"), ["l_suppkey", "l_quantity"], "l_partkey")
+    return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "n_golds", F.get("golds", F.lit(0)).alias("first_gold"))
 
 
 @query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
@@ -117,6 +139,13 @@ def html_table_cells(spark, sf_dir):
     return prep.html_cells(pages, "page_id", "html")
 
 
+@query()
+def html_table_context(spark, sf_dir):
+    """Numbers in tables built from each page's list items, with the labels of their row and column."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit("<table><tr><th>Item</th><th>2023</th><th>Year ended 2024</th></tr><tr>"), F.regexp_replace(F.regexp_replace("html", "<li>", "<td>Label</td><td>1,234</td><td>(5.6) "), "</li>", "</td></tr><tr>"), F.lit("</tr></table>")))
+    return prep.table_context(prep.html_cells(pages, "page_id", "html"), ["page_id", "table"])
+
+
 @query()
 def bipartite_match(spark, sf_dir):
     """How many turns of users find a turn of the assistant like them, one to one."""

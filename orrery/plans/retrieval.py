@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orrery.functions.text import label_tokens, tokens
+from orrery.functions.text import STOP_WORDS, label_tokens, tokens
 from orrery.operators.dense import cosine_topk as nearest
 from orrery.operators.fusion import fused_ranking, rrf
 from orrery.operators.retrieval import bm25, bm25_topk as topk, coverage_rescore as rescore, padded_topk, ranked, scope_or_all, typed_scopes
@@ -21,7 +21,7 @@ DOCS = f"c AS (SELECT '*' AS scope, doc_id AS doc, {TOK.format('text')} AS ts FR
 ITEMS = f"q AS (SELECT item_id AS query, '*' AS scope, {TOK.format('text')} AS ts FROM benchmark)"
 #: The tokenizer for labels, in functions that DuckDB has.
 CAMEL = "regexp_replace(regexp_replace({0}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
-STOP = "['a','an','and','as','at','by','for','from','in','into','is','of','on','or','per','that','the','this','to','with']"
+STOP = f"[{','.join(repr(w) for w in STOP_WORDS)}]"
 LABEL = (
     "list_filter(list_transform(regexp_extract_all({0} || ' ' || " + CAMEL + ", '[A-Za-z0-9]+'), lambda x: CASE "
     "WHEN length(x) > 4 AND lower(x) LIKE '%ies' THEN lower(x)[:-4] || 'y' WHEN length(x) > 3 AND lower(x) LIKE '%s' AND lower(x) NOT LIKE '%ss' THEN lower(x)[:-2] ELSE lower(x) END), "
@@ -87,9 +87,23 @@ def bm25_zero_padding(spark, sf_dir):
     return _rounded(padded_topk(asked, _corpus(spark, sf_dir), 20), "score").withColumnsRenamed({"query": "item_id", "doc": "doc_id"})
 
 
+@query(
+    f"""WITH c AS (SELECT p_brand AS scope, p_partkey AS doc, {LABEL.format("p_type || ' ' || replace(p_name, ' ', '')")} AS ts FROM part),
+    q AS (SELECT p_partkey AS query, p_brand AS scope, {LABEL.format("p_name || ' of the ' || p_type")} AS ts FROM part WHERE p_partkey % 100 = 0), {SCORES}
+    SELECT query, doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s) WHERE rank <= 10"""
+)
+def bm25_label_tokens(spark, sf_dir):
+    """BM25 over label tokens: camel parts count beside their word, plurals and stop words fall off."""
+    part = table(spark, sf_dir, "part")
+    label = F.concat("p_type", F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("")))
+    corpus = part.select(F.col("p_brand").alias("scope"), F.col("p_partkey").alias("doc"), label_tokens(label).alias("tokens"))
+    asked = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query"), F.col("p_brand").alias("scope"), label_tokens(F.concat("p_name", F.lit(" of the "), "p_type")).alias("tokens"))
+    return _rounded(topk(asked, corpus, 10), "score")
+
+
 @query(
     f"""WITH {DOCS}, {ITEMS}, {SCORES},
-    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS r FROM s) WHERE r <= 50),
+    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS r FROM s) WHERE r <= 100),
     l AS (SELECT doc_id AS doc, {LABEL.format("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS label FROM documents),
     qt AS (SELECT item_id AS query, {LABEL.format('text')} AS ts FROM benchmark),
     f AS (SELECT query, doc, score, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS norm,
@@ -100,8 +114,8 @@ def bm25_zero_padding(spark, sf_dir):
     SELECT query AS item_id, doc AS doc_id, rank, round(score, 6) AS score, round(norm, 6)::DOUBLE AS bm25_normalized, round(cov, 6)::DOUBLE AS label_coverage, round(qcov, 6)::DOUBLE AS query_coverage, round(norm + cov + qcov, 6)::DOUBLE AS retrieval FROM g WHERE rank <= 10"""
 )
 def coverage_rescore(spark, sf_dir):
-    """BM25 pools re-ranked with the coverage between query and label, a document's first eight words."""
-    pool = topk(_items(spark, sf_dir), _corpus(spark, sf_dir), 50).drop("rank")
+    """BM25 pools of ten times the results, re-ranked with the coverage between query and label, a document's first eight words."""
+    pool = topk(_items(spark, sf_dir), _corpus(spark, sf_dir), 10 * 10).drop("rank")
     head = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
     labels = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), label_tokens(head).alias("label"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), label_tokens(F.col("text")).alias("tokens"))

@@ -3,7 +3,6 @@
 from pyspark.sql import Window as W, functions as F
 
 from orrery.operators import stats as st
-from orrery.operators.retrieval import ranked
 from orrery.plans.registry import query
 from orrery.session import table
 
@@ -49,7 +48,7 @@ PERMS = 20
 def permutation_null(spark, sf_dir):
     """Each fact borrows another fact's value of its arm; how often that beats its own, and both p values of one half."""
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("event_id").alias("fact"), "value")
-    placed = ranked(rows, ["arm"], [F.col("fact")]).withColumn("i", F.col("rank") - 1).join(rows.groupBy("arm").agg(F.count("*").alias("n")), "arm")
+    placed = st.placed(rows, ["arm"], ["fact"], "rank").withColumn("i", F.col("rank") - 1).join(rows.groupBy("arm").agg(F.count("*").alias("n")), "arm")
     shift = st.draw(F.greatest(F.col("n") - 1, F.lit(1)), F.col("perm"), F.col("fact"))
     asked = placed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMS - 1)))).withColumn("i", (F.col("i") + 1 + shift) % F.col("n")).select("arm", "perm", "i", F.col("value").alias("own"))
     gains = asked.join(placed.select("arm", "i", "value"), ["arm", "i"]).groupBy("arm", "perm").agg(F.avg(F.when(F.col("value") > F.col("own"), 1.0).otherwise(0.0)).alias("gain"))
@@ -95,16 +94,23 @@ QUOTA = 100
 
 
 @query(
-    f"""WITH c AS (SELECT c_custkey, c_mktsegment, md5(concat('7-', c_custkey)) AS h FROM customer), n AS (SELECT c_mktsegment, greatest(1, floor({QUOTA} * count(*) / sum(count(*)) OVER ()))::BIGINT AS quota FROM c GROUP BY 1)
-    SELECT c_custkey, c_mktsegment, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY h, c_custkey) <= quota THEN 'test' ELSE 'train' END AS split FROM c JOIN n USING (c_mktsegment)"""
+    f"""WITH o AS (SELECT o_custkey AS k, list_distinct(list(o_orderpriority)) AS kinds FROM orders GROUP BY 1), e AS (SELECT k, unnest(kinds) AS kind FROM o), f AS (SELECT kind, count(*) AS n FROM e GROUP BY 1),
+    s AS (SELECT k, min_by(kind, row(n, kind)) AS stratum FROM e JOIN f USING (kind) GROUP BY k), z AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS total FROM s GROUP BY 1),
+    slots AS (SELECT stratum, j.range AS j, row_number() OVER (ORDER BY round(j.range - 1 - {QUOTA}.0::DOUBLE * n / total, 9), stratum) AS r FROM z, range(2, {QUOTA} + 1) j WHERE j.range <= n),
+    q AS (SELECT z.stratum, 1 + count(r) AS quota FROM z LEFT JOIN slots ON slots.stratum = z.stratum AND r <= least({QUOTA}, total) - (SELECT count(*) FROM z) GROUP BY z.stratum),
+    p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat('7-', k)), k) <= quota AS test FROM s JOIN q USING (stratum)),
+    seen AS (SELECT DISTINCT kind FROM p JOIN e USING (k) WHERE NOT test), lost AS (SELECT DISTINCT k FROM p JOIN e USING (k) WHERE test AND kind NOT IN (SELECT kind FROM seen))
+    SELECT k AS o_custkey, stratum, CASE WHEN NOT test THEN 'train' WHEN k IN (SELECT k FROM lost) THEN 'excluded' ELSE 'test' END AS split FROM p"""
 )
 def stratified_split(spark, sf_dir):
-    """A test split of about 100 customers with each segment's share, chosen by a hash."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    n = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    n = n.withColumn("quota", F.greatest(F.lit(1), F.floor(QUOTA * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))))))
-    placed = ranked(c.withColumn("h", F.md5(F.concat(F.lit("7-"), F.col("c_custkey").cast("string")))), ["c_mktsegment"], [F.col("h"), F.col("c_custkey")])
-    return placed.join(F.broadcast(n), "c_mktsegment").select("c_custkey", "c_mktsegment", F.when(F.col("rank") <= F.col("quota"), "test").otherwise("train").alias("split"))
+    """A test split of 100 customers: strata by the rarest priority of a customer's orders, quotas by the
+    largest deficit, rows by a hash; a test row with a priority that training never has is excluded."""
+    kinds = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("kinds"))
+    rows = st.quota_sample(st.stratum(kinds, "k", "kinds"), "stratum", [F.md5(F.concat(F.lit("7-"), F.col("k").cast("string")))], QUOTA, "k")
+    each = rows.join(kinds, "k").select("k", "chosen", F.explode("kinds").alias("kind"))
+    lost = each.where("chosen").join(each.where("not chosen").select("kind").distinct(), "kind", "left_anti").select("k").distinct().withColumn("lost", F.lit(True))
+    split = F.when(~F.col("chosen"), "train").when(F.col("lost"), "excluded").otherwise("test")
+    return rows.join(lost, "k", "left").select(F.col("k").alias("o_custkey"), "stratum", split.alias("split"))
 
 
 @query("SELECT * FROM (SELECT doc_id, lang, toxic::BIGINT AS toxic, row_number() OVER (ORDER BY md5(concat('9-', doc_id)), doc_id) AS nth FROM documents LEFT JOIN labels USING (doc_id)) WHERE nth <= 50")
@@ -116,11 +122,11 @@ def spot_check_sample(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT *, CASE WHEN l_quantity > 40 THEN 'wide' WHEN l_quantity > 20 THEN 'medium' ELSE 'narrow' END AS gate FROM lineitem), g AS (SELECT gate, avg(l_discount) AS m, count(*) AS n FROM b GROUP BY gate)
-    SELECT gate, n, round(m, 6) AS mean, CASE WHEN m > 0.0505 THEN 'pass' WHEN m < 0.0495 THEN 'fail' ELSE 'inconclusive' END AS decision FROM g"""
+    """WITH g AS (SELECT l_returnflag || l_linestatus AS gate, avg(l_discount) AS m, count(*) AS n, 1.959963984540054::DOUBLE * stddev_samp(l_discount) / sqrt(count(*)) AS h FROM lineitem GROUP BY 1)
+    SELECT gate, n, round(m - h, 6) AS low, round(m + h, 6) AS high, CASE WHEN m - h > 0.0495 THEN 'pass' WHEN m + h < 0.0495 THEN 'fail' ELSE 'inconclusive' END AS decision FROM g"""
 )
 def decision_gates(spark, sf_dir):
-    """Verdicts from thresholds on a mean."""
-    gate = F.when(F.col("l_quantity") > 40, "wide").when(F.col("l_quantity") > 20, "medium").otherwise("narrow")
-    m = F.avg("l_discount")
-    return table(spark, sf_dir, "lineitem").groupBy(gate.alias("gate")).agg(F.count("*").alias("n"), F.round(m, 6).alias("mean"), F.when(m > 0.0505, "pass").when(m < 0.0495, "fail").otherwise("inconclusive").alias("decision"))
+    """Verdicts from where a mean's interval lies."""
+    low, high = st.normal_interval("l_discount")
+    g = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("gate")).agg(F.count("*").alias("n"), low.alias("low"), high.alias("high"))
+    return g.select("gate", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), st.gate(F.col("low"), F.col("high"), 0.0495).alias("decision"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from orrery.functions import text as tx
+from orrery.operators.passages import containing
 from orrery.plans.registry import query
 from orrery.plans.retrieval import LABEL, TOK
 from orrery.session import table
@@ -67,9 +68,43 @@ def range_parse(spark, sf_dir):
 
 @query("SELECT doc_id, text_in.item_id IS NOT NULL AS found, item_id FROM documents JOIN benchmark text_in ON contains(documents.text, text_in.text)")
 def exact_substring(spark, sf_dir):
-    """Documents that hold a benchmark passage word for word; the passages are a bounded set."""
+    """Documents that hold a benchmark passage word for word."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return table(spark, sf_dir, "documents").join(items, F.contains("text", "passage")).select("doc_id", F.lit(True).alias("found"), "item_id")
+    return containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", items, "passage").select("doc_id", F.lit(True).alias("found"), "item_id")
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 5 THEN '' WHEN 3 THEN '-' WHEN 4 THEN '-' || floor(o_totalprice)::BIGINT::VARCHAR ELSE floor(o_totalprice)::BIGINT::VARCHAR END AS plain,
+    CASE o_orderkey % 6 WHEN 5 THEN 'false' WHEN 3 THEN 'false' WHEN 4 THEN 'true' ELSE 'true' END = 'true' AS numeric FROM orders"""
+)
+def dataset_numbers(spark, sf_dir):
+    """Amounts as cells of a table show them, some twice, some with words."""
+    amount, way = F.format_number(F.floor("o_totalprice"), 0), F.col("o_orderkey") % 6
+    shown = (
+        F.when(way == 0, F.concat(F.lit("$ "), amount, F.lit(" $  "), amount)).when(way == 1, F.concat(F.lit("("), amount, F.lit(")")))
+        .when(way == 2, F.concat(amount, F.lit(" % "), amount, F.lit(" , "), amount)).when(way == 3, F.lit(" \u2014 ")).when(way == 4, F.concat(F.lit("\u2212"), amount, F.lit("%"))).otherwise(F.concat(F.lit("about "), amount))
+    )
+    plain = tx.dataset_number(shown)
+    return table(spark, sf_dir, "orders").select("o_orderkey", plain.alias("plain"), plain.rlike(r"\d").alias("numeric"))
+
+
+@query("SELECT p_partkey, lower(p_brand) || '|' || p_type || '|' || p_size AS parts, 3 + (p_size % 2) AS n, p_size % 2 = 1 AS flag FROM part".replace("3 + (p_size % 2)", "3::BIGINT"))
+def coercions(spark, sf_dir):
+    """Lists and flags written as text."""
+    text = F.concat(F.lit(" "), F.lower("p_brand"), F.lit(" ,; "), F.col("p_type"), F.lit(";"), F.col("p_size").cast("string"), F.lit(" , "))
+    parts = tx.listed(text)
+    flag = F.when(F.col("p_size") % 2 == 1, F.lit(" Yes ")).otherwise("no")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(parts, "|").alias("parts"), F.size(parts).cast("long").alias("n"), tx.truthy(flag).alias("flag"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'us:Item' || p_size WHEN 1 THEN 'us:Item' || (p_size + 1) ELSE '' END AS tag FROM part")
+def tag_from_text(spark, sf_dir):
+    """The candidate that an answer in words names, in full or without its prefix."""
+    size = F.col("p_size")
+    item = lambda n: F.concat(F.lit("Item"), n.cast("string"))
+    tags = F.array(F.concat(F.lit("us:"), item(size)), F.concat(F.lit("us:"), item(size + 1)))
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("not us:Other, Item"), (size + 1).cast("string"), F.lit(" but us:"), item(size), F.lit("."))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("I say "), item(size + 1), F.lit(" then us:None"))).otherwise("none of them")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.tag_in(text, tags, "us:[A-Za-z][A-Za-z0-9_]*").alias("tag"))
 
 
 @query("SELECT event_id, lower(trim(event_type)) IN ('purchase', 'n/a', '') AS unresolved, coalesce(CASE WHEN event_type = 'click' THEN 'CONTEXT' WHEN event_type = 'view' THEN 'FAMILY' END, upper(event_type)) AS dimension FROM events")

@@ -74,14 +74,15 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for .{suffix}")
 
 
-def match_predictions(samples: DataFrame, found: DataFrame) -> DataFrame:
+def match_predictions(samples: DataFrame, found: DataFrame, position: str | None = None) -> DataFrame:
     """``samples`` with column prediction, joined on the first id column that both have.
 
-    Raises where a sample has no prediction.  Positions are never guessed: tables
-    without a common id need one of their own.
+    Raises where a sample has no prediction.  Without a common id both sides are
+    joined on ``position``, a column that numbers their rows; rows of a table
+    have no order of their own, so positions are never guessed.
     """
     name = next((c for c in PREDICTION_COLUMNS if c in found.columns), None)
-    key = next((c for c in ID_COLUMNS if c in found.columns and c in samples.columns), None)
+    key = next((c for c in (*ID_COLUMNS, position) if c in found.columns and c in samples.columns), None)
     if name is None or key is None:
         raise ValueError(f"no prediction or id column among {found.columns}")
     rows = samples.join(found.select(F.col(key), F.col(name).alias("prediction"), F.lit(True).alias("_found")).dropDuplicates([key]), key, "left")
@@ -90,9 +91,43 @@ def match_predictions(samples: DataFrame, found: DataFrame) -> DataFrame:
     return rows.drop("_found")
 
 
-def remaining(samples: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """What a resumed run still has to do."""
-    return samples.join(done.select(key), key, "left_anti")
+def remaining(samples: DataFrame, done: DataFrame, key: str, *, failed: str | None = None, settings: dict | None = None) -> DataFrame:
+    """What a resumed run still has to do: samples without a row in ``done``.
+
+    Rows whose column ``failed`` is true are to be done again.  Raises if a row was
+    made under other ``settings`` (column: value), such as a mode or a number of results.
+    """
+    for name, value in (settings or {}).items():
+        if not (other := done.where(~F.col(name).eqNullSafe(F.lit(value)))).isEmpty():
+            raise ValueError(f"cannot resume: {name} was {other.first()[name]!r}, now {value!r}")
+    if failed:
+        done = done.where(~F.coalesce(F.col(failed), F.lit(False)))
+    return samples.join(done.select(key).distinct(), key, "left_anti")
+
+
+def rows_by_key(rows: DataFrame, key: str, keys: DataFrame, at_once: int = 1000) -> DataFrame:
+    """Rows whose ``key`` is in the table ``keys``.  Up to ``at_once`` keys become a
+    filter that the Parquet reader skips row groups by; more are a semi join."""
+    some = [r[0] for r in keys.select(key).distinct().limit(at_once + 1).collect()]
+    if len(some) <= at_once:
+        return rows.where(F.col(key).isin([k for k in some if k is not None]))
+    return rows.join(keys.select(key), key, "left_semi")
+
+
+def save_dataset(splits: dict[str, DataFrame], path: str) -> None:
+    """Named splits as Parquet folders beside each other."""
+    for name, rows in splits.items():
+        rows.write.mode("overwrite").parquet(f"{path}/split={name}")
+
+
+def load_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """A split that ``save_dataset`` wrote, or all of them with column split."""
+    return spark.read.parquet(path if split is None else f"{path}/split={split}")
+
+
+def write_report(tables: list[DataFrame], path: str) -> None:
+    """Tables under one header as a single CSV file; reports are small."""
+    union_report(tables).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def xml_elements(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
