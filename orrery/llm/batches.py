@@ -23,7 +23,7 @@ def whole_texts(docs):
     conf = docs.sparkSession.conf
     for way in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
         name = f"spark.sql.execution.arrow.{way}"
-        if not 0 < int(str(conf.get(name, "-1")).rstrip("b")) <= BATCH_BYTES:
+        if not 0 < int(conf.get(name).rstrip("b")) <= BATCH_BYTES:
             conf.set(name, f"{BATCH_BYTES}b")
     return docs
 
