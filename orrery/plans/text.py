@@ -82,7 +82,7 @@ def dataset_numbers(spark, sf_dir):
     amount, way = F.format_number(F.floor("o_totalprice"), 0), F.col("o_orderkey") % 6
     shown = (
         F.when(way == 0, F.concat(F.lit("$ "), amount, F.lit(" $  "), amount)).when(way == 1, F.concat(F.lit("("), amount, F.lit(")")))
-        .when(way == 2, F.concat(amount, F.lit(" % "), amount, F.lit(" , "), amount)).when(way == 3, F.lit(" \u2014 ")).when(way == 4, F.concat(F.lit("\u2212"), amount, F.lit("%"))).otherwise(F.concat(F.lit("about "), amount))
+        .when(way == 2, F.concat(amount, F.lit(" % "), amount)).when(way == 3, F.lit(" \u2014 ")).when(way == 4, F.concat(F.lit("\u2212"), amount, F.lit("%"))).otherwise(F.concat(F.lit("about "), amount))
     )
     plain = tx.dataset_number(shown)
     return table(spark, sf_dir, "orders").select("o_orderkey", plain.alias("plain"), plain.rlike(r"\d").alias("numeric"))
