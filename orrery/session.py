@@ -30,9 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; an own one only where it is unset."""
+    """The folder named by spark.checkpoint.dir.  Where it is unset a session on one machine
+    gets a folder of its own; a cluster, whose machines would not share it, gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
