@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from orrery.llm.bpe import encode_decode
 from orrery.llm.exact_dedup import exact_groups
 from orrery.llm.fingerprints import edited_fingerprints
+from orrery.llm.hard_negatives import hard_negatives, participants
 from orrery.llm.hmm import score_texts
 from orrery.llm.licenses import scan
 from orrery.llm.line_dedup import drop_boilerplate
 from orrery.llm.packing import pack_documents
+from orrery.llm.periodic import periodic_runs
+from orrery.llm.personal_data import KINDS, personal_data
 from orrery.llm.sharding import shard_documents
 from orrery.llm.simhash import near_groups
 from orrery.llm.toxicity import fit, held_out, score
@@ -87,7 +90,50 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ring_shards, op3_exact_dedup, op4_pack_min_slack, op5_bpe_round_trip, op6_simhash_groups, op7_license_scan, op8_fingerprints, op9_line_dedup, op10_hmm_scores)}
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def number(k):
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    every = F.sort_array(F.concat("base", "added"))
+    return rows.select("doc_id", *[number(k) for k in range(len(KINDS))], F.sha2(written(F.sort_array("base")), 256).alias("base_sha256"), written(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of the texts with crc32(doc_id) % 10 = 0, words from a place on repeat a stretch."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    marked = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    n = F.size("words")
+    at = marked.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return at.select("doc_id", F.when(n > 0, F.array_join(F.transform("words", place), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs(looped(table(spark, sf_dir, "documents")), least=24, times=3)
+    # Ratios of numbers under 2^26 differ as doubles if they differ.
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("e"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("n"))))
+    written = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    at = rows.withColumn("best", best)
+    return at.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"), (-F.col("best.p")).alias("period"),
+        F.expr("(1000 * best.n) div (-best.p)").alias("exponent_milli"), F.sha2(written, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = participants(table(spark, sf_dir, "embeddings"))
+    noisy = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(noisy, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ring_shards, op3_exact_dedup, op4_pack_min_slack, op5_bpe_round_trip, op6_simhash_groups, op7_license_scan, op8_fingerprints, op9_line_dedup, op10_hmm_scores, op11_personal_data, op12_periodic_runs, op13_hard_negatives)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
@@ -109,4 +155,12 @@ ORACLES = {
                CASE WHEN text IS NULL THEN 0 ELSE len(ls) - len(rest) END::BIGINT AS n_dropped,
                CASE WHEN text IS NOT NULL THEN sha256(array_to_string(rest, chr(10))) END AS text_sha256
         FROM c""",
+    "op13_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, a.label AS al, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE al = label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+             n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE al <> label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, row_number() OVER w AS rank, negative_id, positive_score, negative_score FROM n
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) QUALIFY row_number() OVER w <= 10""",
 }

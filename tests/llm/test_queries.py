@@ -25,6 +25,8 @@ def tables(spark, frame, odd, tmp_path_factory):
         frame([(i, t, f"s{(i or 0) % 3}") for i, t in rows]).write.parquet(f"{folder}/documents.parquet")
         marks = [(i, i % 2, int(i % 5 == 0)) for i, _ in rows if i is not None and i >= 100]
         spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        vectors = [(i, [((i * k) % 7) / 7 - 0.2 for k in range(1, 9)], i % 3) for i, _ in rows if i is not None]
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return full, named, empty
 
 
