@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Words that carry no meaning for matching labels; they must be these for equal tokens.
 STOP_WORDS = (
@@ -170,10 +170,32 @@ def relaxed_match(a: Column, b: Column, threshold: float) -> Column:
     return (x == y) | inside | (jaccard(context_tokens(a), context_tokens(b), 1.0) >= threshold)
 
 
+# What may follow a sentence's end and the white space after it.
+NEXT_SENTENCE = "[A-Z0-9($]"
+
+
 def sentences(text: Column) -> Column:
-    """Splits after . ! ? where white space and a capital, digit, quote or bracket follow."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"""(?<=[.!?])\s+(?=[A-Z0-9"'(\[])""")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    """Splits after . ! ? where white space and a capital, a digit, "(" or "$" follow; parts without white space at their ends."""
+    parts = F.split(F.coalesce(text, F.lit("")), rf"(?U)(?<=[.!?])\s+(?={NEXT_SENTENCE})")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
+# What may follow a mark that ends a sentence, besides the text's end: capitals, digits, an opening quote or mark.
+AFTER_MARK = '\\p{IsUppercase}\\p{IsDigit}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089"\u00bf\u00a1'
+
+
+def scanned_sentences(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, pos, start, end, sentence: a mark of . ! ? ends a sentence where, after any white space, the text
+    ends or a capital, a digit, a quote or an inverted mark follows, unless it is the dot after a
+    capital that itself comes after a dot.  Places are in characters of the text; sentences are squeezed, empty ones left out.
+
+    ``key`` names rows; the sentences of a row are put in order together.
+    """
+    edge = rf"(?<=[.!?])(?<!\.\p{{IsUppercase}}\.)(?=[\s\x1c-\x1f\x85\xa0]*(?:\z|[{AFTER_MARK}]))"
+    parts = rows.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), edge)).alias("_at", "_part"))
+    w = W.partitionBy(key).orderBy("_at")
+    placed = parts.withColumn("end", F.sum(F.char_length("_part")).over(w)).withColumn("start", F.col("end") - F.char_length("_part")).withColumn("sentence", squeeze(F.col("_part"))).where("sentence <> ''")
+    return placed.select(key, (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "sentence")
 
 
 def ranges(position: Column) -> Column:

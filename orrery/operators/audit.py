@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.functions.text import squeeze
-from orrery.operators.symbolic import feedback
+from orrery.operators.stats import draw, placed
+from orrery.operators.symbolic import feedback, merge_feedback
 
 
 def verdict_truth(verdicts: DataFrame, gold: DataFrame) -> DataFrame:
@@ -17,6 +18,34 @@ def verdict_truth(verdicts: DataFrame, gold: DataFrame) -> DataFrame:
     return feedback(verdicts, ["fact", "hyp"]).join(truth, ["fact", "hyp", "dimension"]).select("fact", "hyp", "dimension", "state", "disagrees")
 
 
+def verdict_layers(symbolic: DataFrame, model: DataFrame, truth: DataFrame) -> DataFrame:
+    """fact, hyp, dimension, layer, state, disagrees: what symbolic rulings, a model's, and both
+    merged made of a dimension, beside the truth (fact, hyp, dimension, disagrees).
+
+    A layer without rulings on a dimension leaves it unresolved, so all layers have
+    the same rows; dimensions without a truth are left out.
+    """
+    by, keys = ["fact", "hyp"], ["fact", "hyp", "dimension"]
+    own, told = feedback(symbolic, by), feedback(model, by)
+    layers = [("symbolic", own), ("model", told), ("merged", merge_feedback(own, told, by))]
+    rows = None
+    for name, states in layers:
+        one = truth.join(states.select(*keys, "state"), keys, "left").select(*keys, F.lit(name).alias("layer"), F.coalesce("state", F.lit("unresolved")).alias("state"), "disagrees")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def fired_rates(layers: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and how often contradictions and support were ruled and right, with precision and recall of contradictions; empty denominators give 0."""
+    count = lambda c: F.count(F.when(c, 1))
+    minus, plus, wrong = F.col("state") == "contradicted", F.col("state") == "supported", F.col("disagrees")
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return layers.groupBy(*by).agg(
+        F.count("*").alias("n"), count(wrong).alias("disagree"), count(minus).alias("fired_minus"), count(minus & wrong).alias("true_minus"), count(plus).alias("fired_plus"), count(plus & ~wrong).alias("true_plus"),
+        share(count(minus & wrong), count(minus)).alias("precision_minus"), share(count(minus & wrong), count(wrong)).alias("recall_minus"), share(count(minus | plus), F.count("*")).alias("ruled"),
+    )
+
+
 def closeness(tokens: Column, gold: Column) -> Column:
     """The share of a value's distinct tokens that the gold has; null where either has none."""
     n = F.size(F.array_distinct(tokens))
@@ -31,6 +60,25 @@ def revisions(rounds: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.withColumn("change", F.when(F.col("after") > F.col("before"), "improved").when(F.col("after") < F.col("before"), "worsened").otherwise("unchanged"))
 
 
+def random_revisions(events: DataFrame, pool: DataFrame, key: list[str], kind: str, draws: int) -> DataFrame:
+    """``events`` with what chance would have done: random_mean, random_improved, random_unchanged, random_worsened.
+
+    ``events``: ``key`` (names a row), ``kind``, gold (tokens), before (a closeness); ``pool``: ``kind``, value (tokens),
+    place (an order of its own).  Each event draws ``draws`` values of its kind by a
+    hash of its key; shares are of the draws that have a closeness, null without any.
+    """
+    known = placed(pool.select(kind, "value", "place"), [kind], ["place"], "at").withColumn("at", F.col("at") - 1)
+    sizes = known.groupBy(kind).agg(F.count("*").alias("_n"))
+    slots = events.select(*key, kind, "gold", "before", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d")).join(sizes, kind)
+    asked = slots.withColumn("at", draw(F.col("_n"), F.col("_d"), *[F.col(c) for c in key]))
+    change = closeness(F.col("value"), F.col("gold")) - F.col("before")
+    met = asked.join(known.select(kind, "at", "value"), [kind, "at"]).withColumn("_c", change)
+    share = lambda c: F.try_divide(F.count(F.when(c, 1)), F.count("_c"))
+    c = F.col("_c")
+    out = met.groupBy(*key).agg(F.avg("_c").alias("random_mean"), share(c > 0).alias("random_improved"), share(c == 0).alias("random_unchanged"), share(c < 0).alias("random_worsened"))
+    return events.join(out, key, "left")
+
+
 def relocate(rows: DataFrame, selected: str, candidate: str, scope: str) -> DataFrame:
     """``rows`` with found, entity and level: a selected substring counts if the candidate text has it, else the text stands in."""
     some = F.coalesce(F.col(selected), F.lit(""))
@@ -57,7 +105,7 @@ def assert_no_drift(expected: dict[str, str], declared: dict[str, str]) -> None:
         raise ValueError("settings differ: " + "; ".join(bad))
 
 
-#: Limits of a sample's differences from the whole, above which it is flagged, and the weight of each in its score.
+# Limits of a sample's differences from the whole, above which it is flagged, and the weight of each in its score.
 SAMPLE_LIMITS = {"kind_delta": 0.08, "class_l1": 0.15, "per_context_delta": 0.35, "concept_delta": 0.60}
 SAMPLE_WEIGHTS = {"kind_delta": 1.0, "class_l1": 0.5, "per_context_delta": 0.2, "concept_delta": 0.2}
 
@@ -71,12 +119,15 @@ def _summaries(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     return one, rows.groupBy(*by, "class").agg(F.count("*").alias("k"))
 
 
-def sample_quality(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+def sample_quality(rows: DataFrame, chosen: DataFrame, target: int = 0, target_weight: float = 1.0) -> DataFrame:
     """For each attempt how far its sample is from all ``rows``, its score, flags, and
-    whether it is the one to take: the first without a flag, or else the least score
-    of those before; of equals the first.
+    whether it is the one to take.
 
     ``rows``: context, kind (table or text), class, concept; ``chosen``: attempt, context.
+    The score sums the differences, rounded to six places, by their weights; with ``target``
+    also the relative distance of the sample's rows from that number.  Attempts are
+    looked at in order: the first whose score is the least so far and that has no flag
+    ends the search; without one, the least score is taken, of equals the first.
     """
     sample = rows.join(chosen, "context")
     one, classes = _summaries(sample, ["attempt"])
@@ -94,11 +145,15 @@ def sample_quality(rows: DataFrame, chosen: DataFrame) -> DataFrame:
         F.greatest(relative(per(c("tables"), c("table_contexts")), per(c("r_tables"), c("r_table_contexts"))), relative(per(c("n") - c("tables"), c("text_contexts")), per(c("r_n") - c("r_tables"), c("r_text_contexts")))).alias("per_context_delta"),
         relative(c("concepts") / c("contexts"), c("r_concepts") / c("r_contexts")).alias("concept_delta"),
     )
+    rows = rows.withColumns({k: F.round(c(k), 6) for k in SAMPLE_LIMITS})
     flags = F.filter(F.array(*[F.when(c(k) > v, k) for k, v in SAMPLE_LIMITS.items()]), lambda x: x.isNotNull())
-    rows = rows.withColumn("flags", F.array_join(flags, ",")).withColumn("score", sum((w * c(k) for k, w in SAMPLE_WEIGHTS.items()), F.lit(0.0)))
-    pick = F.struct((c("flags") != "").alias("flagged"), F.when(c("flags") != "", F.round("score", 9)).otherwise(0.0).alias("score"), "attempt")
-    best = rows.agg(F.min(pick)["attempt"].alias("best"))
-    return rows.crossJoin(F.broadcast(best)).withColumn("taken", c("attempt") == c("best")).drop("best")
+    score = sum((w * c(k) for k, w in SAMPLE_WEIGHTS.items()), F.lit(0.0))
+    score = score + target_weight * F.abs(c("n") - target) / target if target > 0 else score
+    rows = rows.withColumn("flags", F.array_join(flags, ",")).withColumn("score", score)
+    before = F.min(F.round("score", 9)).over(W.partitionBy(F.lit(1)).orderBy("attempt").rowsBetween(W.unboundedPreceding, -1))  # a row for each attempt
+    rows = rows.withColumn("_least", F.coalesce(F.round("score", 9) < before, F.lit(True)))
+    ends = rows.agg(F.coalesce(F.min(F.when(c("_least") & (c("flags") == ""), c("attempt"))), F.max(F.when(c("_least"), c("attempt")))).alias("_best"))  # one row
+    return rows.crossJoin(F.broadcast(ends)).withColumn("taken", c("attempt") == c("_best")).drop("_best", "_least")
 
 
 def indicators(datatype: Column, kind: Column, features: dict[str, Column]) -> dict[str, Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.functions.text import squeeze, with_prefix
 from orrery.operators.retrieval import minmax, ranked
 
 KAPPA = 60
@@ -110,12 +111,12 @@ def config_grid(rankings: DataFrame, configs: DataFrame, consensus: DataFrame, k
     return fused_ranking(fused.withColumn("final", final), score="final", by=keys)
 
 
-def named_candidates(answers: DataFrame, candidates: DataFrame) -> DataFrame:
+def named_candidates(answers: DataFrame, candidates: DataFrame, prefix: str = "") -> DataFrame:
     """fact, tag, priority, pos for ``composite`` from a model's answers (fact, answer in JSON).
 
     A selected index or tag comes first, then ranked indices, then ranked tags; indices are
     candidates' ranks, what is no candidate counts for nothing.  The keys
-    are those that ``RANKED_KEYS`` lists.
+    are those that ``RANKED_KEYS`` lists.  Tags are squeezed and get ``prefix`` where they lack it.
     """
     a = F.col("answer")
     texts = lambda key: F.from_json(F.get_json_object(a, f"$.{key}"), "array<string>")
@@ -127,7 +128,8 @@ def named_candidates(answers: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    by_rank, by_tag = F.col("key").contains("ind") | (F.col("key") == "ranking"), F.col("named") == F.col("tag").cast("string")
+    plain = lambda c: with_prefix(squeeze(c), prefix)
+    by_rank, by_tag = (F.col("key") == "selected_index") | (F.col("what") == "indices"), plain(F.col("named")) == plain(F.col("tag").cast("string"))
     met = rows.join(candidates.select("fact", "tag", F.col("rank").alias("candidate")), "fact").where(F.when(by_rank, F.col("named").try_cast("int") == F.col("candidate")).otherwise(by_tag))
     selected = F.col("what") == "selected"
     first = met.where(selected).groupBy("fact").agg(F.min(F.struct("nth", "tag"))["tag"].alias("tag")).withColumn("priority", F.lit(0)).withColumn("pos", F.lit(0).cast("long"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from orrery.operators.stats import draw, placed
+from orrery.operators.stats import placed, times_drawn
 from orrery.session import staged
 
 
@@ -15,13 +15,6 @@ def numbered(rows: DataFrame, cluster: str) -> DataFrame:
     return placed(rows.select(cluster).distinct(), [], [cluster], "at").withColumn("at", F.col("at") - 1)
 
 
-def times_drawn(size: int, draws: int, spark) -> DataFrame:
-    """draw, at, times: of each draw of ``size`` clusters with replacement, how often each one that it has came."""
-    slots = spark.range(draws * size).select(F.floor(F.col("id") / max(size, 1)).cast("long").alias("draw"), (F.col("id") % max(size, 1)).alias("slot"))
-    at = draw(F.lit(size).cast("long"), F.col("draw"), F.col("slot"))
-    return slots.select("draw", at.alias("at")).groupBy("draw", "at").agg(F.count("*").alias("times"))
-
-
 def resampled(clusters: DataFrame, sums: list[str], draws: int) -> DataFrame:
     """draw and the ``sums`` of the clusters (at, ...) that it holds.
 

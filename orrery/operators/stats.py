@@ -20,13 +20,13 @@ def placed(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     group that holds all rows is not sorted by one task, as a window would.
     """
     keys = [*by, *order]
-    local = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
+    local = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id())
     local = staged(local, "ordered")
-    sizes = local.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))  # a row for each range and group
-    base = sizes.withColumn("_base", F.sum("_n").over(W.partitionBy(*by or [F.lit(1)]).orderBy("_part")) - F.col("_n"))
-    base = base.select("_base", "_first", F.col("_part").alias("_p"), *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)])
-    match = [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by))]
-    return local.join(base, match).select(*rows.columns, (F.col("_base") + F.col("_in") - F.col("_first") + 1).alias(name))
+    sizes = local.groupBy("__part", *by).agg(F.count("*").alias("__n"), F.min("__in").alias("__first"))  # a row for each range and group
+    base = sizes.withColumn("__base", F.sum("__n").over(W.partitionBy(*by or [F.lit(1)]).orderBy("__part")) - F.col("__n"))
+    base = base.select("__base", "__first", F.col("__part").alias("__p"), *[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)])
+    match = [F.col("__part") == F.col("__p"), *(F.col(c).eqNullSafe(F.col(f"__by{k}")) for k, c in enumerate(by))]
+    return local.join(base, match).select(*rows.columns, (F.col("__base") + F.col("__in") - F.col("__first") + 1).alias(name))
 
 
 def by_cluster(rows: DataFrame, cluster: str, value: str) -> DataFrame:
@@ -35,15 +35,21 @@ def by_cluster(rows: DataFrame, cluster: str, value: str) -> DataFrame:
     return placed(sums, [], [cluster], "at").select((F.col("at") - 1).alias("at"), "total", "n")
 
 
+def times_drawn(size: int, draws: int, spark) -> DataFrame:
+    """draw, at, times: of each draw of ``size`` clusters with replacement, how often each one that it has came."""
+    slots = spark.range(draws * size).select(F.floor(F.col("id") / max(size, 1)).cast("long").alias("draw"), (F.col("id") % max(size, 1)).alias("slot"))
+    at = draw(F.lit(size).cast("long"), F.col("draw"), F.col("slot"))
+    return slots.select("draw", at.alias("at")).groupBy("draw", "at").agg(F.count("*").alias("times"))
+
+
 def bootstrap(clusters: DataFrame, draws: int) -> DataFrame:
     """draw, statistic: the ratio of sums over as many clusters as there are, drawn with replacement.
 
-    Clusters are summed beforehand, so the work is draws times clusters.
+    Clusters are summed beforehand, so the work is draws times clusters; how often a draw
+    has a cluster is counted before it is met with the cluster's sums.
     """
-    size = clusters.agg(F.count("*").alias("size"))  # one row
-    grid = clusters.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-    picked = grid.withColumn("at", draw(F.col("size"), F.col("draw"), F.col("slot"))).join(clusters, "at")
-    return picked.groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("statistic"))
+    met = times_drawn(clusters.count(), draws, clusters.sparkSession).join(clusters, "at")
+    return met.groupBy("draw").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("statistic"))
 
 
 def interval(samples: DataFrame, value: str = "statistic") -> list[Column]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from orrery.functions.text import label_tokens
+from orrery.functions.text import label_tokens, squeeze
+from orrery.operators.passages import phrase_candidates
 from orrery.operators.retrieval import ranked
 
 
@@ -14,16 +15,35 @@ def vocabulary(spark, entries: dict[str, dict[str, list[str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "dimension string, category string, phrase string").withColumn("phrase_tokens", F.array_distinct(label_tokens(F.col("phrase"))))
 
 
+FEW_PHRASES = 2_000  # that are sent to every task
+
+
 def phrase_categories(texts: DataFrame, vocab: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, dimension, categories: a category matches where one of its phrases is
     part of the lower-case text, or all the phrase's tokens are among the text's.
 
-    Texts meet a vocabulary of fixed size in a nested loop; do this once for each
-    distinct text, not for each fact that shows it.
+    A vocabulary of at most ``FEW_PHRASES`` is sent to the texts; a larger one meets
+    them through an index of rare tokens and characters, with the same result.  Do this
+    once for each distinct text, not for each fact that shows it; ``key`` names a row.
     """
-    rows = texts.select(key, F.lower(text).alias("_text"), F.array_distinct(label_tokens(F.col(text))).alias("_tokens"))
-    hit = F.contains("_text", "phrase") | ((F.size("phrase_tokens") > 0) & (F.size(F.array_except("phrase_tokens", "_tokens")) == 0))
-    return rows.join(F.broadcast(vocab), hit).groupBy(key, "dimension").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+    rows = texts.select(F.col(key).alias("key"), F.lower(text).alias("text"), F.array_distinct(label_tokens(F.col(text))).alias("tokens"))
+    hit = F.contains("text", "phrase") | ((F.size("phrase_tokens") > 0) & (F.size(F.array_except("phrase_tokens", "tokens")) == 0))
+    if vocab.count() <= FEW_PHRASES:
+        met = rows.join(F.broadcast(vocab), hit)
+    else:
+        phrases = vocab.select("phrase", "phrase_tokens").distinct()
+        pairs = phrase_candidates(rows, phrases).join(phrases, "phrase")
+        met = pairs.join(rows, "key").where(hit).select("key", "phrase").join(vocab, "phrase")
+    return met.groupBy(F.col("key").alias(key), "dimension").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+
+
+def metadata(aliases: dict[str, list[str]], columns: list[str]) -> dict[str, Column]:
+    """For each name the first of its aliases among ``columns`` that holds more than white space, squeezed; else null."""
+    def first(names: list[str]) -> Column:
+        there = [F.nullif(squeeze(F.col(c).cast("string")), F.lit("")) for c in names if c in columns]
+        return F.coalesce(*there) if there else F.lit(None).cast("string")
+
+    return {name: first(names) for name, names in aliases.items()}
 
 
 def dimension_verdict(hyp_categories: Column, cand_categories: Column, hyp_tokens: Column, cand_tokens: Column) -> Column:

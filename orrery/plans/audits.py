@@ -7,6 +7,7 @@ from orrery.operators import audit, compat
 from orrery.plans.registry import query
 from orrery.plans.rerank import GOLD, POOL, VERDICTS, gold, pool, verdicts
 from orrery.plans.retrieval import TOK
+from orrery.plans.statistics import DRAW
 from orrery.session import table
 
 
@@ -44,6 +45,52 @@ def revision_effectiveness(spark, sf_dir):
     return out.groupBy("role", "change").agg(F.count("*").alias("n"), F.round(F.avg(F.col("after") - F.col("before")), 6).alias("mean_delta"))
 
 
+FIRED = """count(*) AS n, count(*) FILTER (disagrees) AS disagree, count(*) FILTER (state = 'contradicted') AS fired_minus, count(*) FILTER (state = 'contradicted' AND disagrees) AS true_minus, count(*) FILTER (state = 'supported') AS fired_plus, count(*) FILTER (state = 'supported' AND NOT disagrees) AS true_plus,
+           round(coalesce(count(*) FILTER (state = 'contradicted' AND disagrees) / nullif(count(*) FILTER (state = 'contradicted'), 0), 0), 6)::DOUBLE AS precision_minus, round(coalesce(count(*) FILTER (state = 'contradicted' AND disagrees) / nullif(count(*) FILTER (disagrees), 0), 0), 6)::DOUBLE AS recall_minus, round(count(*) FILTER (state <> 'unresolved') / count(*), 6)::DOUBLE AS ruled"""
+
+
+@query(
+    f"""WITH {POOL}, {VERDICTS}, {GOLD}, t AS (SELECT fact, hyp, dimension, NOT verdict AS disagrees FROM v JOIN gold USING (fact) WHERE tag = gold AND verdict IS NOT NULL),
+    lf AS (SELECT layer, fact, hyp, dimension, avg(verdict::INT::DOUBLE) AS s FROM (SELECT 's' AS layer, * FROM v WHERE dimension <> 'C' UNION ALL SELECT 'm', * FROM v WHERE tag % 3 <> 0) GROUP BY ALL),
+    lg AS (SELECT *, CASE WHEN s >= 0.6 THEN 'supported' WHEN s <= 0.25 THEN 'contradicted' ELSE 'unresolved' END AS st FROM lf),
+    lo AS (SELECT t.*, coalesce(a.st, 'unresolved') AS s, coalesce(b.st, 'unresolved') AS m FROM t LEFT JOIN lg a ON a.layer = 's' AND a.fact = t.fact AND a.hyp = t.hyp AND a.dimension = t.dimension LEFT JOIN lg b ON b.layer = 'm' AND b.fact = t.fact AND b.hyp = t.hyp AND b.dimension = t.dimension),
+    ll AS (SELECT 'symbolic' AS layer, dimension, s AS state, disagrees FROM lo UNION ALL SELECT 'model', dimension, m, disagrees FROM lo UNION ALL SELECT 'merged', dimension, CASE WHEN s <> 'unresolved' THEN s ELSE m END, disagrees FROM lo)
+    SELECT layer, dimension, {FIRED} FROM ll GROUP BY layer, dimension"""
+)
+def verdict_truth_layers(spark, sf_dir):
+    """How often symbolic rulings, a model's and both merged are what the gold candidate's ruling says."""
+    v = verdicts(pool(spark, sf_dir))
+    truth = v.join(gold(spark, sf_dir), "fact").where((F.col("tag") == F.col("gold")) & F.col("verdict").isNotNull()).select("fact", "hyp", "dimension", (~F.col("verdict")).alias("disagrees"))
+    return audit.fired_rates(audit.verdict_layers(v.where("dimension <> 'C'"), v.where("tag % 3 <> 0"), truth), ["layer", "dimension"])
+
+
+REVISION_DRAWS = 20
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, role, turn, list_distinct({TOK.format('text')}) AS ts FROM conversations), l AS (SELECT conv_id, role, max_by(ts, turn) AS gold FROM t GROUP BY ALL),
+    c AS (SELECT conv_id, role, turn, gold, CASE WHEN len(ts) > 0 AND len(gold) > 0 THEN len(list_intersect(ts, gold)) / len(ts) END AS c FROM t JOIN l USING (conv_id, role)),
+    e AS (SELECT * FROM (SELECT conv_id, role, turn, gold, c AS before, lead(c) OVER (PARTITION BY conv_id, role ORDER BY turn) AS after FROM c) WHERE before IS NOT NULL AND after IS NOT NULL),
+    k AS (SELECT role, ts, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS at_, count(*) OVER (PARTITION BY role) AS n FROM t),
+    d AS (SELECT e.*, {DRAW.format("j.range, '-', e.conv_id, '-', e.role, '-', e.turn", "z.n")} AS at_ FROM e JOIN (SELECT DISTINCT role, n FROM k) z USING (role), range({REVISION_DRAWS}) j),
+    r AS (SELECT conv_id, role, turn, avg(x) AS m, count(*) FILTER (x > 0) / nullif(count(x), 0) AS up, count(*) FILTER (x = 0) / nullif(count(x), 0) AS same, count(*) FILTER (x < 0) / nullif(count(x), 0) AS down
+          FROM (SELECT d.*, CASE WHEN len(k.ts) > 0 AND len(gold) > 0 THEN len(list_intersect(k.ts, gold)) / len(k.ts) END - before AS x FROM d JOIN k USING (role, at_)) GROUP BY ALL)
+    SELECT role, count(*) AS n, round(avg((after > before)::INT), 6) AS improved, round(avg((after = before)::INT), 6) AS unchanged, round(avg((after < before)::INT), 6) AS worsened, round(avg(after - before), 6) AS mean_delta,
+           round(avg(up), 6) AS random_improved, round(avg(same), 6) AS random_unchanged, round(avg(down), 6) AS random_worsened, round(avg(m), 6) AS random_mean_delta FROM e JOIN r USING (conv_id, role, turn) GROUP BY role"""
+)
+def revision_baseline(spark, sf_dir):
+    """How often a role's next turn comes closer to its last one, beside twenty other turns of the role drawn at random."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.array_distinct(tokens(F.col("text"))).alias("ts"))
+    last = t.groupBy("conv_id", "role").agg(F.max_by("ts", "turn").alias("gold"))
+    rounds = t.join(last, ["conv_id", "role"]).withColumn("closeness", audit.closeness(F.col("ts"), F.col("gold")))
+    key = ["conv_id", "role", "turn"]
+    events = audit.revisions(rounds, ["conv_id", "role"], "turn").join(rounds.select(*key, "gold"), key).withColumn("kind", F.col("role"))
+    drawn = audit.random_revisions(events, t.select(F.col("role").alias("kind"), F.col("ts").alias("value"), F.struct("conv_id", "turn").alias("place")), key, "kind", REVISION_DRAWS)
+    share = lambda c: F.round(F.avg(F.when(F.col("change") == c, 1.0).otherwise(0.0)), 6).alias(c)
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return drawn.groupBy("role").agg(F.count("*").alias("n"), share("improved"), share("unchanged"), share("worsened"), mean(F.col("after") - F.col("before"), "mean_delta"), *[mean(f"random_{c}", f"random_{c}") for c in ("improved", "unchanged", "worsened")], mean("random_mean", "random_mean_delta"))
+
+
 @query(
     """WITH x AS (SELECT lang, substr(text, 1, 200) AS cand, CASE WHEN doc_id % 3 = 0 THEN substr(text, 11, 20) WHEN doc_id % 3 = 1 THEN 'nowhere ' || doc_id END AS sel FROM documents),
     y AS (SELECT CASE WHEN coalesce(sel, '') <> '' AND contains(coalesce(cand, ''), sel) THEN 'exact_substring' ELSE 'fallback_' || lang END AS level FROM x)
@@ -66,6 +113,7 @@ def config_drift(spark, sf_dir):
 
 
 ATTEMPTS, TABLES, TEXTS = 8, 30, 20
+TARGET, TARGET_WEIGHT = 200, 0.5  # rows of a sample
 ORDERS = "x AS (SELECT o_custkey AS context, CASE WHEN o_custkey % 3 = 0 THEN 'text' ELSE 'table' END AS kind, o_orderpriority AS class, o_orderstatus || (o_orderkey % 50) AS concept FROM orders)"
 
 
@@ -76,10 +124,10 @@ ORDERS = "x AS (SELECT o_custkey AS context, CASE WHEN o_custkey % 3 = 0 THEN 't
     m AS (SELECT attempt, count(*) AS n, count(DISTINCT context) AS cx, count(DISTINCT concept) AS cc, count(*) FILTER (kind = 'table') AS tb, count(DISTINCT context) FILTER (kind = 'table') AS tc, count(DISTINCT context) FILTER (kind <> 'table') AS xc FROM s GROUP BY attempt),
     w AS (SELECT * FROM m WHERE attempt = -1), q AS (SELECT attempt, class, count(*) AS k FROM s GROUP BY ALL),
     l AS (SELECT m.attempt, sum(abs(coalesce(q.k, 0) / m.n - r.k / w.n)) AS class_l1 FROM m, w, (SELECT * FROM q WHERE attempt = -1) r LEFT JOIN q ON q.attempt = m.attempt AND q.class = r.class WHERE m.attempt >= 0 GROUP BY m.attempt),
-    d AS (SELECT m.attempt, m.n, abs(m.tb / m.n - w.tb / w.n) AS kind_delta, class_l1, greatest(abs(m.tb / m.tc - w.tb / w.tc) / (w.tb / w.tc), abs((m.n - m.tb) / m.xc - (w.n - w.tb) / w.xc) / ((w.n - w.tb) / w.xc)) AS per_context_delta, abs(m.cc / m.cx - w.cc / w.cx) / (w.cc / w.cx) AS concept_delta FROM m JOIN l USING (attempt), w),
-    f AS (SELECT *, concat_ws(',', CASE WHEN kind_delta > 0.08 THEN 'kind_delta' END, CASE WHEN class_l1 > 0.15 THEN 'class_l1' END, CASE WHEN per_context_delta > 0.35 THEN 'per_context_delta' END, CASE WHEN concept_delta > 0.60 THEN 'concept_delta' END) AS flags, kind_delta + 0.5 * class_l1 + 0.2 * per_context_delta + 0.2 * concept_delta AS score FROM d)
-    SELECT attempt, n, round(kind_delta, 6) AS kind_delta, round(class_l1, 6) AS class_l1, round(per_context_delta, 6) AS per_context_delta, round(concept_delta, 6) AS concept_delta, flags, round(score, 6) AS score,
-           attempt = (SELECT min_by(attempt, row(flags <> '', CASE WHEN flags <> '' THEN round(score, 9) ELSE 0 END, attempt)) FROM f) AS taken FROM f"""
+    d AS (SELECT m.attempt, m.n, round(abs(m.tb / m.n - w.tb / w.n), 6) AS kind_delta, round(class_l1, 6) AS class_l1, round(greatest(abs(m.tb / m.tc - w.tb / w.tc) / (w.tb / w.tc), abs((m.n - m.tb) / m.xc - (w.n - w.tb) / w.xc) / ((w.n - w.tb) / w.xc)), 6) AS per_context_delta, round(abs(m.cc / m.cx - w.cc / w.cx) / (w.cc / w.cx), 6) AS concept_delta FROM m JOIN l USING (attempt), w),
+    f AS (SELECT *, concat_ws(',', CASE WHEN kind_delta > 0.08 THEN 'kind_delta' END, CASE WHEN class_l1 > 0.15 THEN 'class_l1' END, CASE WHEN per_context_delta > 0.35 THEN 'per_context_delta' END, CASE WHEN concept_delta > 0.60 THEN 'concept_delta' END) AS flags, kind_delta + 0.5 * class_l1 + 0.2 * per_context_delta + 0.2 * concept_delta + {TARGET_WEIGHT} * abs(n - {TARGET}) / {TARGET} AS score FROM d),
+    g AS (SELECT *, coalesce(round(score, 9) < min(round(score, 9)) OVER (ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS least FROM f)
+    SELECT attempt, n, kind_delta, class_l1, per_context_delta, concept_delta, flags, round(score, 6) AS score, attempt = coalesce((SELECT min(attempt) FROM g WHERE least AND flags = ''), (SELECT max(attempt) FROM g WHERE least)) AS taken FROM f"""
 )
 def context_sample_quality(spark, sf_dir):
     """Samples of customers drawn by a hash, how far each is from all, and the one to take."""
@@ -87,7 +135,7 @@ def context_sample_quality(spark, sf_dir):
     drawn = rows.select("context", "kind").distinct().withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ATTEMPTS - 1).cast("long"))))
     place = F.row_number().over(W.partitionBy("attempt", "kind").orderBy(F.md5(F.concat_ws("-", F.col("attempt").cast("string"), F.col("context").cast("string"))), "context"))
     chosen = drawn.withColumn("r", place).where(F.col("r") <= F.when(F.col("kind") == "table", TABLES).otherwise(TEXTS)).select("attempt", "context")
-    return audit.sample_quality(rows, chosen).withColumns({c: F.round(c, 6) for c in ("kind_delta", "class_l1", "per_context_delta", "concept_delta", "score")})
+    return audit.sample_quality(rows, chosen, TARGET, TARGET_WEIGHT).withColumns({c: F.round(c, 6) for c in ("kind_delta", "class_l1", "per_context_delta", "concept_delta", "score")})
 
 
 DATATYPES = ("monetaryItemType", "sharesItemType", "perShareItemType", "percentItemType", "stringItemType")

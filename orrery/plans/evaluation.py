@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from orrery.functions.text import tokens
-from orrery.operators import fusion as fu, metrics as me, rerank as rr
+from orrery.operators import fusion as fu, metrics as me, panels, rerank as rr
 from orrery.operators.passages import containing
 from orrery.operators.retrieval import bm25_topk, ranked
 from orrery.plans.fusion import R, rankings
 from orrery.plans.registry import query
 from orrery.plans.rerank import GOLD, POOL, VERDICTS, gold, pool, verdicts
 from orrery.plans.retrieval import SCORES, TOK
+from orrery.plans.statistics import DRAW
 from orrery.session import table
 
 CALLS = f"WITH {POOL}, {VERDICTS}, {GOLD}, j AS (SELECT v.*, v.tag = gold AS is_gold FROM v JOIN gold USING (fact)), s AS (SELECT fact, hyp, is_gold, avg(verdict::INT::DOUBLE) AS s, count(verdict) AS n, count(*) FILTER (verdict) AS yes FROM j GROUP BY ALL)"
@@ -50,6 +51,53 @@ def calibration_panel(spark, sf_dir):
     return mean.join(me.auroc(x, ["hyp"], "doubt", "wrong"), "hyp").select(F.col("hyp").cast("long").alias("hyp"), "support_when_wrong", "support_when_right", F.round("auroc", 6).alias("auroc"))
 
 
+CONTEXTS = 41
+#: From contexts c(context, ...) to draws tm(draw, at_, times) over numbered contexts k(context, at_).
+TIMES = f"""k AS (SELECT context, row_number() OVER (ORDER BY context) - 1 AS at_ FROM (SELECT DISTINCT context FROM c)), z AS (SELECT count(*)::BIGINT AS m FROM k),
+    tm AS (SELECT draw, at_, count(*) AS times FROM (SELECT dr.range AS draw, {DRAW.format("dr.range, '-', sl.range", 'm')} AS at_ FROM range({panels.DRAWS}) dr, z, range((SELECT m FROM z)) sl) GROUP BY ALL)"""
+BOUNDS = "round(avg(x), 6) AS {0}_mean, round(quantile_cont(x, 0.025), 6) AS {0}_low, round(quantile_cont(x, 0.975), 6) AS {0}_high, (quantile_cont(x, 0.025) > 0 OR quantile_cont(x, 0.975) < 0) AS {0}_excludes_zero"
+
+
+@query(
+    CALLS
+    + f""", c AS (SELECT fact % {CONTEXTS} AS context, coalesce(sum(yes) FILTER (is_gold), 0) AS gy, coalesce(sum(n) FILTER (is_gold), 0) AS ga, coalesce(sum(yes) FILTER (NOT is_gold), 0) AS oy, coalesce(sum(n) FILTER (NOT is_gold), 0) AS oa FROM s GROUP BY fact, hyp), {TIMES},
+    b AS (SELECT draw, sum(times * gy) / nullif(sum(times * ga), 0) - sum(times * oy) / nullif(sum(times * oa), 0) AS x FROM tm JOIN k USING (at_) JOIN (SELECT context, sum(gy) AS gy, sum(ga) AS ga, sum(oy) AS oy, sum(oa) AS oa FROM c GROUP BY context) USING (context) GROUP BY draw),
+    p AS (SELECT *, CASE WHEN ga > 0 AND oa > 0 THEN gy / ga - oy / oa END AS pair FROM c)
+    SELECT count(*) AS calls, sum(ga)::BIGINT AS gold_judgements, sum(oa)::BIGINT AS other_judgements, round(sum(gy) / sum(ga), 6) AS gold_support, round(sum(oy) / sum(oa), 6) AS other_support, round(sum(gy) / sum(ga) - sum(oy) / sum(oa), 6) AS gap,
+           count(pair) AS paired, round(avg(pair), 6) AS paired_gap, round(100.0::DOUBLE * count(*) FILTER (pair > 0) / count(pair), 3) AS favouring, any_value(q.gap_mean) AS gap_mean, any_value(q.gap_low) AS gap_low, any_value(q.gap_high) AS gap_high, any_value(q.gap_excludes_zero) AS gap_excludes_zero
+    FROM p, (SELECT {BOUNDS.format('gap')} FROM b) q"""
+)
+def support_gap_intervals(spark, sf_dir):
+    """The support of gold candidates against others, with the gap's interval over 2,000 draws of contexts."""
+    v, is_gold = F.col("verdict"), F.col("is_gold")
+    count = lambda c: F.count(F.when(c, 1))
+    calls = _judged(spark, sf_dir).groupBy("fact", "hyp").agg(count(is_gold & v).alias("gold_yes"), count(is_gold & v.isNotNull()).alias("gold_all"), count(~is_gold & v).alias("other_yes"), count(~is_gold & v.isNotNull()).alias("other_all"))
+    return panels.support_panel(calls.withColumn("context", F.col("fact") % CONTEXTS))
+
+
+@query(
+    f"""WITH {POOL}, {VERDICTS}, {GOLD}, t AS (SELECT fact, hyp, avg(verdict::INT::DOUBLE) AS s FROM v WHERE tag % 2 = hyp GROUP BY ALL), w AS (SELECT fact, min_by(tag, row(-round(score, 12), tag)) AS top FROM pool GROUP BY fact),
+    o AS (SELECT fact % {CONTEXTS} AS context, fact * 2 + hyp AS key, s, top <> gold AS wrong FROM t JOIN w USING (fact) JOIN gold USING (fact)), c AS (SELECT * FROM o WHERE s IS NOT NULL), {TIMES},
+    db AS (SELECT draw, sum(times * s) FILTER (wrong) / nullif(sum(times) FILTER (wrong), 0) - sum(times * s) FILTER (NOT wrong) / nullif(sum(times) FILTER (NOT wrong), 0) AS x FROM tm JOIN k USING (at_) JOIN c USING (context) GROUP BY draw),
+    ab AS (SELECT draw, s, coalesce(sum(times) FILTER (wrong), 0) AS p, coalesce(sum(times) FILTER (NOT wrong), 0) AS q FROM tm JOIN k USING (at_) JOIN c USING (context) GROUP BY ALL),
+    ac AS (SELECT draw, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) - 0.5 AS x FROM (SELECT *, sum(q) OVER (PARTITION BY draw ORDER BY 1 - s) - q AS below FROM ab) GROUP BY draw),
+    a1 AS (SELECT sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS auroc FROM (SELECT *, sum(q) OVER (ORDER BY 1 - s) - q AS below FROM (SELECT s, count(*) FILTER (wrong) AS p, count(*) FILTER (NOT wrong) AS q FROM c GROUP BY s))),
+    ap AS (SELECT avg(h / r) AS ap FROM (SELECT wrong, row_number() OVER u AS r, sum(wrong::INT) OVER u AS h FROM c WINDOW u AS (ORDER BY s, key)) WHERE wrong)
+    SELECT count(*) AS n, count(s) AS judged, round(count(s) / count(*), 6) AS ruled_share, round(avg(wrong::INT), 6) AS wrong_share, round(avg(wrong::INT) FILTER (s IS NOT NULL), 6) AS wrong_share_judged,
+           round(avg(s) FILTER (wrong), 6) AS support_when_wrong, round(avg(s) FILTER (NOT wrong), 6) AS support_when_right, round(avg(s) FILTER (wrong) - avg(s) FILTER (NOT wrong), 6) + 0 AS difference,
+           (SELECT round(auroc, 6) FROM a1) AS auroc, (SELECT round(ap, 6) FROM ap) AS average_precision, any_value(q.difference_mean) AS difference_mean, any_value(q.difference_low) AS difference_low, any_value(q.difference_high) AS difference_high, any_value(q.difference_excludes_zero) AS difference_excludes_zero,
+           any_value(y.area_mean) AS area_mean, any_value(y.area_low) AS area_low, any_value(y.area_high) AS area_high, any_value(y.area_excludes_zero) AS area_excludes_zero
+    FROM o, (SELECT {BOUNDS.format('difference')} FROM db) q, (SELECT {BOUNDS.format('area')} FROM ac) y"""
+)
+def calibration_intervals(spark, sf_dir):
+    """Whether low support tells wrong hypotheses, with intervals of difference and area over 2,000 draws of contexts."""
+    rows = pool(spark, sf_dir)
+    t = verdicts(rows).where(F.col("tag") % 2 == F.col("hyp")).groupBy("fact", "hyp").agg(F.avg(F.col("verdict").cast("double")).alias("support"))
+    top = rows.groupBy("fact").agg(F.min_by("tag", F.struct(-F.round("score", 12), F.col("tag"))).alias("top"))
+    x = t.join(top, "fact").join(gold(spark, sf_dir), "fact")
+    return panels.calibration_panel(x.select((F.col("fact") % CONTEXTS).alias("context"), (F.col("fact") * 2 + F.col("hyp")).alias("key"), "support", (F.col("top") != F.col("gold")).alias("wrong")))
+
+
 @query(
     f"""WITH {POOL}, {VERDICTS}, d AS (SELECT fact, hyp, dimension, avg(verdict::INT::DOUBLE) AS s FROM v GROUP BY ALL), e AS (SELECT *, CASE WHEN s >= 0.6 THEN 'support' WHEN s <= 0.25 THEN 'contradict' ELSE 'unresolved' END AS state FROM d)
     SELECT fact, hyp::BIGINT AS hyp, count(*) FILTER (state = 'support') AS supported, count(*) FILTER (state = 'contradict') AS contradicted, count(*) FILTER (state = 'contradict' AND dimension IN ('A', 'B')) >= 2 AS mismatch FROM e GROUP BY fact, hyp"""
@@ -85,7 +133,7 @@ def query_form_contrast(spark, sf_dir):
     corpus = docs.select(F.lit("*").alias("scope"), F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("tokens"))
     found = bm25_topk(asked, corpus, 20).select(F.floor(F.col("query") / 10).alias("item_id"), (F.col("query") % 10).alias("form"), "doc", "rank")
     passages = items.select("item_id", F.col("text").alias("passage"))
-    g = containing(docs.select("doc_id", "text"), "text", passages, "passage").groupBy("item_id").agg(F.min("doc_id").alias("gold"))
+    g = containing(docs.select("doc_id", "text"), "doc_id", "text", passages, "passage").groupBy("item_id").agg(F.min("doc_id").alias("gold"))
     rows = g.withColumn("form", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)]))).join(found, ["item_id", "form"], "left")
     m = rows.groupBy("item_id", "form").agg(F.min(F.when(F.col("doc") == F.col("gold"), F.col("rank"))).alias("gr"))
     return m.groupBy("form").agg(F.count("*").alias("n"), F.round(F.avg(fu.rank_gain(F.col("gr"))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("gr") <= 5, 1.0).otherwise(0.0)), 6).alias("recall_at_5"))

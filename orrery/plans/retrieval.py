@@ -186,3 +186,29 @@ def hybrid_rrf(spark, sf_dir):
     dense = nearest(vectors.where("doc % 100 = 0").withColumnRenamed("doc", "query"), vectors, 50).select("query", "doc", "rank", F.lit(1).alias("list"))
     fused = rrf(lexical.unionByName(dense).withColumnsRenamed({"query": "fact", "doc": "tag"}))
     return ranked(fused, ["fact"], [F.desc(F.round("rrf", 12)), F.col("tag")], 10).select(F.col("fact").alias("query"), F.col("tag").alias("doc"), F.round("rrf", 9).alias("rrf"), "rank")
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings JOIN documents ON doc_id = vec_id),
+    c AS (SELECT '*' AS scope, doc_id AS doc, {TOK.format('text')} AS ts FROM documents WHERE doc_id IN (SELECT vec_id FROM e)), q AS (SELECT doc AS query, scope, ts FROM c WHERE doc % 100 = 0), {SCORES},
+    ds AS (SELECT a.vec_id AS query, b.vec_id AS doc, {COSINE} AS sim FROM e a, e b WHERE a.vec_id % 100 = 0),
+    r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS r FROM s UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, doc) FROM ds),
+    pool AS (SELECT query, doc, sum(1.0::DOUBLE / (60 + r)) AS score FROM r WHERE r <= 100 GROUP BY ALL),
+    l AS (SELECT doc_id AS doc, {LABEL.format("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS label, {LABEL.format('text')} AS ts FROM documents),
+    f AS (SELECT query, doc, score, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS norm,
+            CASE WHEN len(list_distinct(l.label)) = 0 THEN 0 ELSE len(list_intersect(l.label, k.ts)) / len(list_distinct(l.label)) END AS cov, CASE WHEN len(list_distinct(k.ts)) = 0 THEN 0 ELSE len(list_intersect(l.label, k.ts)) / len(list_distinct(k.ts)) END AS qcov
+          FROM pool JOIN l USING (doc) JOIN (SELECT doc AS query, ts FROM l) k USING (query) WINDOW w AS (PARTITION BY query)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(norm + cov + qcov, 9) DESC, round(cov, 9) DESC, round(qcov, 9) DESC, round(score, 9) DESC, doc) AS rank FROM f)
+    SELECT query, doc, rank, round(score, 9) AS score, round(norm, 6)::DOUBLE AS bm25_normalized, round(cov, 6)::DOUBLE AS label_coverage, round(qcov, 6)::DOUBLE AS query_coverage, round(norm + cov + qcov, 6)::DOUBLE AS retrieval FROM g WHERE rank <= 10"""
+)
+def hybrid_coverage(spark, sf_dir):
+    """Whole documents against documents: lexical and dense rankings without coverage, fused, and coverage once after that."""
+    vectors = _vectors(spark, sf_dir).select("doc", "vec").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc")), "doc", "left_semi")
+    corpus = _corpus(spark, sf_dir).join(vectors.select("doc"), "doc", "left_semi")
+    lexical = topk(corpus.where("doc % 100 = 0").select(F.col("doc").alias("query"), "scope", "tokens"), corpus, 100).select("query", "doc", "rank", F.lit(0).alias("list"))
+    dense = nearest(vectors.where("doc % 100 = 0").withColumnRenamed("doc", "query"), vectors, 100).select("query", "doc", "rank", F.lit(1).alias("list"))
+    fused = rrf(lexical.unionByName(dense).withColumnsRenamed({"query": "fact", "doc": "tag"})).select(F.col("fact").alias("query"), F.col("tag").alias("doc"), F.col("rrf").alias("score"))
+    docs = table(spark, sf_dir, "documents")
+    labels = docs.select(F.col("doc_id").alias("doc"), label_tokens(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("label"))
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), label_tokens(F.col("text")).alias("tokens"))
+    return _rounded(rescore(fused, labels, asked, 1.0, 10), "bm25_normalized", "label_coverage", "query_coverage", "retrieval").withColumn("score", F.round("score", 9))

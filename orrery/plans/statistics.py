@@ -2,11 +2,11 @@
 
 from pyspark.sql import Window as W, functions as F
 
-from orrery.operators import stats as st
+from orrery.operators import resample as rs, splits as sp, stats as st
 from orrery.plans.registry import query
 from orrery.session import table
 
-DRAWS = 200
+DRAWS = 2000
 DRAW = "(concat('0x', substr(md5(concat({0})), 1, 8))::UBIGINT % {1})::BIGINT"
 
 
@@ -35,7 +35,7 @@ def paired_bootstrap(spark, sf_dir):
     return samples.agg(*st.interval(samples)).crossJoin(rows.agg(F.round(F.avg("v"), 6).alias("mean")))
 
 
-PERMS = 20
+PERMS = 200
 
 
 @query(
@@ -59,7 +59,8 @@ def permutation_null(spark, sf_dir):
 @query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def percentile_linear(spark, sf_dir):
     """Exact percentiles by linear interpolation."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(q)), 6).alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
+    out = rs.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS variance, round(stddev_samp(l_quantity) / sqrt(count(*)), 9) AS se FROM lineitem GROUP BY 1")
@@ -113,6 +114,57 @@ def stratified_split(spark, sf_dir):
     return rows.join(lost, "k", "left").select(F.col("k").alias("o_custkey"), "stratum", split.alias("split"))
 
 
+SPLIT = dict(train=60, test=20, attempts=5, max_difference=0.1)
+
+
+def _quota_sql(name: str, groups: str, target: int) -> str:
+    return f"""{name}0 AS (SELECT *, least(sum(cap) OVER (PARTITION BY attempt), {target}) AS total, weight / sum(weight) OVER (PARTITION BY attempt) * least(sum(cap) OVER (PARTITION BY attempt), {target}) AS raw, count(*) OVER (PARTITION BY attempt) AS m FROM {groups} WHERE cap > 0),
+    {name}1 AS (SELECT attempt, stratum, total, m, row_number() OVER (PARTITION BY attempt ORDER BY round(raw - (j - 1), 9) DESC, weight DESC, stratum DESC) AS r FROM (SELECT *, unnest(range((CASE WHEN total >= m THEN 2 ELSE 1 END)::BIGINT, least(cap, total)::BIGINT + 1)) AS j FROM {name}0)),
+    {name} AS (SELECT x.attempt, x.stratum, CASE WHEN any_value(x.total) >= any_value(x.m) THEN 1 ELSE 0 END + count(r) AS quota FROM {name}0 x LEFT JOIN {name}1 y ON y.attempt = x.attempt AND y.stratum = x.stratum AND r <= y.total - CASE WHEN y.total >= y.m THEN y.m ELSE 0 END GROUP BY ALL)"""
+
+
+def _difference_sql(name: str, counts: str) -> str:
+    return f"{name} AS (SELECT attempt, max(abs(tr / nullif(sum_tr, 0) - te / nullif(sum_te, 0))) AS d FROM (SELECT *, sum(tr) OVER (PARTITION BY attempt) AS sum_tr, sum(te) OVER (PARTITION BY attempt) AS sum_te FROM (SELECT attempt, what, coalesce(sum(n) FILTER (split = 'train'), 0) AS tr, coalesce(sum(n) FILTER (split = 'test'), 0) AS te FROM ({counts}) GROUP BY ALL)) GROUP BY attempt)"
+
+
+SPLITS = f"""each AS (SELECT o_custkey AS key, o_orderpriority AS kind, count(*) AS n FROM orders GROUP BY ALL), pa AS (SELECT DISTINCT key, 'k:' || kind AS part FROM each UNION SELECT DISTINCT o_custkey, 'c:' || (o_orderkey % 150) FROM orders),
+    st AS (SELECT key, min_by(kind, row(often, kind)) AS stratum FROM each JOIN (SELECT kind, count(*) AS often FROM each GROUP BY kind) USING (kind) GROUP BY key), rw AS (SELECT st.*, a.range AS attempt FROM st, range({SPLIT["attempts"]}) a),
+    gz AS (SELECT attempt, stratum, count(*) AS weight, count(*) AS cap FROM rw GROUP BY ALL), {_quota_sql("qa", "gz", SPLIT["train"])},
+    tr AS (SELECT attempt, stratum, key FROM (SELECT *, row_number() OVER (PARTITION BY attempt, stratum ORDER BY md5(concat('7-train-', attempt, '-', key)), key) AS r FROM rw) JOIN qa USING (attempt, stratum) WHERE r <= quota),
+    kn AS (SELECT DISTINCT attempt, part FROM pa JOIN tr USING (key)), el AS (SELECT attempt, stratum, key FROM rw WHERE (attempt, key) NOT IN (SELECT (attempt, key) FROM tr) AND (SELECT count(*) FROM pa WHERE pa.key = rw.key) = (SELECT count(*) FROM pa JOIN kn USING (part) WHERE pa.key = rw.key AND kn.attempt = rw.attempt)),
+    gc AS (SELECT gz.attempt, gz.stratum, weight, count(*) AS cap FROM gz JOIN el USING (attempt, stratum) GROUP BY ALL), {_quota_sql("qb", "gc", SPLIT["test"])},
+    te AS (SELECT attempt, stratum, key FROM (SELECT *, row_number() OVER (PARTITION BY attempt, stratum ORDER BY md5(concat('7-test-', attempt, '-', key)), key) AS r FROM el) JOIN qb USING (attempt, stratum) WHERE r <= quota),
+    me AS (SELECT *, 'train' AS split FROM tr UNION ALL SELECT *, 'test' FROM te), nn AS (SELECT attempt, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test FROM me GROUP BY 1),
+    {_difference_sql("d1", "SELECT attempt, split, stratum AS what, 1 AS n FROM me")}, {_difference_sql("d2", "SELECT attempt, split, kind AS what, 1 AS n FROM me JOIN each USING (key)")}, {_difference_sql("d3", "SELECT attempt, split, kind AS what, n FROM me JOIN each USING (key)")},
+    mi AS (SELECT attempt, count(*) FILTER (t = 0) AS missing FROM (SELECT attempt, part, max((split = 'train')::INT) AS t FROM me JOIN pa USING (key) GROUP BY ALL) GROUP BY attempt),
+    rp AS (SELECT nn.*, d1.d AS stratum_difference, d2.d AS presence_difference, d3.d AS entity_difference, missing, 10 * abs(test - {SPLIT["test"]}) / {SPLIT["test"]} + 5 * abs(train - {SPLIT["train"]}) / {SPLIT["train"]} + 4 * d1.d + 2 * d2.d + d3.d AS score FROM nn JOIN d1 USING (attempt) JOIN d2 USING (attempt) JOIN d3 USING (attempt) JOIN mi USING (attempt)),
+    bs AS (SELECT min_by(attempt, row(round(score, 9), attempt)) AS best FROM rp)"""
+
+
+def _split(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderpriority", (F.col("o_orderkey") % 150).alias("concept"))
+    kinds = orders.groupBy("key", "o_orderpriority").agg(F.count("*").alias("n")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("o_orderpriority", "n"))).alias("k"))
+    concepts = orders.groupBy("key").agg(F.collect_set("concept").alias("concepts"))
+    samples = kinds.join(concepts, "key").select("key", F.col("key").alias("context"), "concepts", F.col("k.o_orderpriority").alias("kinds"), F.col("k.n").alias("kind_counts"))
+    return samples, *sp.split_attempts(samples, **SPLIT)
+
+
+@query(
+    f"WITH {SPLITS} SELECT attempt, train, test, 0::BIGINT AS shared_contexts, missing AS missing_in_train, round(stratum_difference, 6) AS stratum_difference, round(presence_difference, 6) AS presence_difference, round(entity_difference, 6) AS entity_difference, round(score, 6) AS score, missing = 0 AND round(stratum_difference, 9) <= {SPLIT['max_difference']} AS passed, attempt = best AS chosen FROM rp, bs"
+)
+def split_attempts(spark, sf_dir):
+    """Five attempts to split customers by the priorities and kinds of their orders, their checks and scores."""
+    _, _, report = _split(spark, sf_dir)
+    return report.withColumns({c: F.round(c, 6) for c in ("stratum_difference", "presence_difference", "entity_difference", "score")})
+
+
+@query(f"WITH {SPLITS} SELECT st.key AS o_custkey, coalesce(split, 'unused') AS split FROM st LEFT JOIN (SELECT key, split FROM me JOIN bs ON attempt = best) USING (key)")
+def best_split(spark, sf_dir):
+    """The members of the chosen attempt."""
+    samples, members, report = _split(spark, sf_dir)
+    return sp.chosen_split(samples, members, report).select(F.col("key").alias("o_custkey"), "split")
+
+
 @query("SELECT * FROM (SELECT doc_id, lang, toxic::BIGINT AS toxic, row_number() OVER (ORDER BY md5(concat('9-', doc_id)), doc_id) AS nth FROM documents LEFT JOIN labels USING (doc_id)) WHERE nth <= 50")
 def spot_check_sample(spark, sf_dir):
     """The first 50 documents in the order of a hash, with their label."""

@@ -70,15 +70,16 @@ def range_parse(spark, sf_dir):
 def exact_substring(spark, sf_dir):
     """Documents that hold a benchmark passage word for word."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", items, "passage").select("doc_id", F.lit(True).alias("found"), "item_id")
+    return containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "passage").select("doc_id", F.lit(True).alias("found"), "item_id")
 
 
 @query(
-    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 5 THEN '' WHEN 3 THEN '-' WHEN 4 THEN '-' || floor(o_totalprice)::BIGINT::VARCHAR ELSE floor(o_totalprice)::BIGINT::VARCHAR END AS plain,
-    CASE o_orderkey % 6 WHEN 5 THEN 'false' WHEN 3 THEN 'false' WHEN 4 THEN 'true' ELSE 'true' END = 'true' AS numeric FROM orders"""
+    """WITH a AS (SELECT o_orderkey, o_orderkey % 6 AS way, floor(o_totalprice)::BIGINT AS n FROM orders)
+    SELECT o_orderkey, CASE WHEN way = 5 THEN '' WHEN way = 3 THEN '-' WHEN way = 4 THEN '-' || n WHEN way = 0 AND n BETWEEN 100000 AND 999999 AND n // 1000 = n % 1000 THEN (n % 1000)::VARCHAR ELSE n::VARCHAR END AS plain, way NOT IN (3, 5) AS numeric FROM a"""
 )
 def dataset_numbers(spark, sf_dir):
-    """Amounts as cells of a table show them, some twice, some with words."""
+    """Amounts as cells of a table show them, some twice, some with words; where the signs before
+    an amount of two equal groups go, its groups are taken for a repeat."""
     amount, way = F.format_number(F.floor("o_totalprice"), 0), F.col("o_orderkey") % 6
     shown = (
         F.when(way == 0, F.concat(F.lit("$ "), amount, F.lit(" $  "), amount)).when(way == 1, F.concat(F.lit("("), amount, F.lit(")")))
@@ -115,8 +116,26 @@ def unresolved_and_alias(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.unresolved(value).alias("unresolved"), F.coalesce(F.try_element_at(names, F.col("event_type")), F.upper("event_type")).alias("dimension"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+([A-Z0-9($])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM documents),
+    t AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM p)
+    SELECT doc_id, pos, sentence, len(regexp_extract_all(sentence, '\\d[\\d,.]*'))::BIGINT AS numbers FROM (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS sentence FROM t)"""
+)
 def sentence_split(spark, sf_dir):
     """Sentences of each document with their place and numbers."""
     s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
     return s.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", F.size(F.regexp_extract_all("sentence", F.lit(r"\d[\d,.]*"), F.lit(0))).cast("long").alias("numbers"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, text, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM documents WHERE text <> ''),
+    n AS (SELECT *, lag(ch) OVER w AS p1, lag(ch, 2) OVER w AS p2, first_value(CASE WHEN NOT regexp_matches(ch, '\\s') THEN ch END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    b AS (SELECT *, ch IN ('.', '!', '?') AND NOT coalesce(ch = '.' AND p2 = '.' AND upper(p1) = p1 AND lower(p1) <> p1, false) AND (nx IS NULL OR (upper(nx) = nx AND lower(nx) <> nx) OR nx BETWEEN '0' AND '9' OR nx IN ('"', '¿', '¡')) AS edge FROM n),
+    g AS (SELECT *, coalesce(sum(edge::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM b),
+    s AS (SELECT doc_id, nth, min(pos) - 1 AS start, max(pos) AS stop, any_value(text) AS text FROM g GROUP BY doc_id, nth),
+    r AS (SELECT doc_id, start, stop, regexp_replace(regexp_replace(substr(text, start + 1, stop - start), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS sentence FROM s)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS pos, start::BIGINT AS start, stop::BIGINT AS stop, sentence FROM r WHERE sentence <> ''"""
+)
+def sentence_scan(spark, sf_dir):
+    """Sentences with their places, by the marks that end them; a dotted initial ends none."""
+    return tx.scanned_sentences(table(spark, sf_dir, "documents").where("text <> ''"), "doc_id", "text").select("doc_id", "pos", "start", F.col("end").alias("stop"), "sentence")
