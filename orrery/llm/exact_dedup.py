@@ -28,8 +28,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     down to (run, digest), so a hot text stays spread over all runs.
 
     Null texts count as empty, so null, empty and blank texts form one group.
-    Null ids come last among ties; rows that repeat an id and a text share one
-    flag.  An empty table gives an empty result.  Other columns are not read.
+    Null ids come last among ties; rows that repeat an id and a text, or only
+    swap its white space, share one flag, other rows of the id have their own.  An empty table gives an empty result.  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.translate(text, SPACE, "")
@@ -38,7 +38,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         flat.select(
             "doc_id",
             "n_chars",
-            F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(runs)).cast("int").alias("run"),
+            F.pmod(F.xxhash64("doc_id", "n_chars", F.spark_partition_id()), F.lit(runs)).cast("int").alias("run"),
             F.unhex(F.sha2("bare", 256)).alias("digest"),
             F.octet_length("bare").alias("norm_bytes"),
             F.xxhash64("bare").alias("check"),
@@ -52,12 +52,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     while left > 1:
         merged = _merge(merged, F.floor(F.col("run") / fan_in))
         left = -(-left // fan_in)
-    won = merged.select(*KEY, F.col("n").alias("group_size"), F.col("best.doc_id").alias("keep_id"))
+    won = merged.select(*KEY, F.col("n").alias("group_size"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.shorter")).alias("most"))
     down = first.select("run", *KEY).join(won, KEY)
     return leaf.join(down, ["run", *KEY]).select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -88,26 +88,27 @@ def with_next(docs: DataFrame, carried: list[str], *, prepare=lambda df: df, id_
     Ids are cut at quantiles into buckets that grow in number with the bytes of
     text; each is ordered on its own, and gets a copy of the row that follows its
     last.  So every text moves once and no task orders more than a bucket.  Null
-    ids come last; rows with equal ids are ordered by a hash of the text.
+    ids, and texts that are no whole numbers, come last; rows with equal ids are
+    ordered by a hash of the text.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_tie", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    plain = docs.select("_k", "_tie", text_col)
+    docs = docs.withColumn("__k", F.coalesce(F.col(id_col).try_cast("long"), F.lit(NO_ID))).withColumn("__tie", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    plain = docs.select("__k", "__tie", text_col)
     total = plain.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     count = min(MOST_BUCKETS, max(total // BUCKET_BYTES, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = plain.agg(F.percentile_approx("_k", [i / count for i in range(1, count)], 10 * count)).first()[0] or []
+    cuts = plain.agg(F.percentile_approx("__k", [i / count for i in range(1, count)], 10 * count)).first()[0] or []
     bounds = sorted(set(cuts))
-    heads = _with_bucket(plain.select("_k", "_tie"), "_k", bounds, "b").groupBy("b").agg(F.max(F.struct("_k", "_tie")).alias("h")).collect()  # a row for each bucket
+    heads = _with_bucket(plain.select("__k", "__tie"), "__k", bounds, "b").groupBy("b").agg(F.max(F.struct("__k", "__tie")).alias("h")).collect()  # a row for each bucket
     order = sorted(heads, key=lambda r: r["b"])
-    steps = [(r["h"]["_k"], r["h"]["_tie"], order[(i + 1) % len(order)]["b"]) for i, r in enumerate(order)]
-    follows = spark.createDataFrame(steps, "_k long, _tie long, _b int")
-    rows = prepare(_with_bucket(docs, "_k", bounds, "_b").withColumn("_copy", F.lit(False)))
-    copies = prepare(docs.join(F.broadcast(follows), ["_k", "_tie"]).withColumn("_copy", F.lit(True)))
-    w = W.partitionBy("_b").orderBy("_copy", F.desc("_k"), F.desc("_tie"))
+    steps = [(r["h"]["__k"], r["h"]["__tie"], order[(i + 1) % len(order)]["b"]) for i, r in enumerate(order)]
+    follows = spark.createDataFrame(steps, "__k long, __tie long, __b int")
+    rows = prepare(_with_bucket(docs, "__k", bounds, "__b").withColumn("__copy", F.lit(False)))
+    copies = prepare(docs.join(F.broadcast(follows), ["__k", "__tie"]).withColumn("__copy", F.lit(True)))
+    w = W.partitionBy("__b").orderBy("__copy", F.desc("__k"), F.desc("__tie"))
     both = rows.unionByName(copies.select(*rows.columns))
     for c in carried:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    return both.where(~F.col("_copy")).drop("_b", "_k", "_tie", "_copy")
+    return both.where(~F.col("__copy")).drop("__b", "__k", "__tie", "__copy")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,20 +93,22 @@ def pack(pieces: DataFrame, *, capacity: int, length_col: str = "length", order:
     ``capacity`` numbers.  Pieces of one length are numbered within salted groups
     and the groups put end to end, so a length that many pieces share is numbered
     by many tasks.  Ties in ``order`` are broken arbitrarily; every piece gets a
-    place of its own.  An empty table gives an empty result.
+    place of its own.  An empty table gives an empty result.  Columns sequence_id
+    and offset replace input columns of those names; all others stay.
     """
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    by_salt = pieces.groupBy(length_col, "_salt").agg(F.count("*").alias("_n"))
-    base = by_salt.withColumn("_base", F.sum("_n").over(W.partitionBy(length_col).orderBy("_salt")) - F.col("_n")).drop("_n")
+    pieces = pieces.drop(*{"sequence_id", "offset"} - {length_col, *order})
+    pieces = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+    by_salt = pieces.groupBy(length_col, "__salt").agg(F.count("*").alias("__n"))
+    base = by_salt.withColumn("__base", F.sum("__n").over(W.partitionBy(length_col).orderBy("__salt")) - F.col("__n")).drop("__n")
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(length_col).count().collect()}
     where = _places(plan_bins(counts, capacity), capacity)
-    nth = F.row_number().over(W.partitionBy(length_col, "_salt").orderBy(*order))
-    ranked = pieces.join(base, [length_col, "_salt"]).withColumn("_rank", F.col("_base") + nth - 1).drop("_salt", "_base")
-    names = [c for c in ranked.columns if c != "_rank"]
+    nth = F.row_number().over(W.partitionBy(length_col, "__salt").orderBy(*order))
+    ranked = pieces.join(base, [length_col, "__salt"]).withColumn("__rank", F.col("__base") + nth - 1).drop("__salt", "__base")
+    names = [c for c in ranked.columns if c != "__rank"]
 
     def run(batches):
         for b in batches:
-            length, rank = b.column(length_col).to_numpy().astype(np.int64), b.column("_rank").to_numpy()
+            length, rank = b.column(length_col).to_numpy().astype(np.int64), b.column("__rank").to_numpy()
             at = np.searchsorted(where["key"], (length << 48) + rank, side="right") - 1
             cols = [b.column(c) for c in names] + [pa.array(where["bin"][at] + rank - where["start"][at]), pa.array(where["offset"][at])]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "sequence_id", "offset"])
