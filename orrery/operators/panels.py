@@ -19,7 +19,7 @@ def _resampled_sums(rows: DataFrame, context: str, sums: list[str], draws: int)
 
 def _interval(samples: DataFrame, name: str) -> DataFrame:
     """One row: mean and bounds of ``statistic`` over the draws that have one."""
-    return samples.agg(F.round(F.avg("statistic"), 6).alias(f"{name}_mean"), *bounds(samples, "statistic", name))
+    return samples.agg(F.round(F.avg("statistic"), 6).alias(f"{name}_mean"), *bounds("statistic", name))
 
 
 def support_panel(calls: DataFrame, draws: int = DRAWS) -> DataFrame:

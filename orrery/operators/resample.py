@@ -89,7 +89,7 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     return met.groupBy(*one).agg(*[F.sum(F.when(F.col("_name") == name, F.col("_w") * F.col("_v"))).alias(name) for name in shares]).select(*by, *shares)
 
 
-def bounds(samples: DataFrame, value: str, name: str) -> list[Column]:
+def bounds(value: str, name: str) -> list[Column]:
     """Bounds of the central 95 % of a few thousand draws by linear interpolation, and whether they leave out 0."""
     low, high = F.percentile(value, F.lit(0.025)), F.percentile(value, F.lit(0.975))
     return [F.round(low, 6).alias(f"{name}_low"), F.round(high, 6).alias(f"{name}_high"), ((low > 0) | (high < 0)).alias(f"{name}_excludes_zero")]
