@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from orrery.functions.text import STOP_WORDS, label_tokens, tokens
 from orrery.operators.dense import cosine_topk as nearest
 from orrery.operators.fusion import fused_ranking, rrf
+from orrery.operators.robustness import grid_metrics, variant_ranks
 from orrery.operators.retrieval import bm25, bm25_topk as topk, coverage_rescore as rescore, padded_topk, ranked, scope_or_all, typed_scopes
 from orrery.plans.registry import query
 from orrery.session import table
@@ -212,3 +213,57 @@ def hybrid_coverage(spark, sf_dir):
     labels = docs.select(F.col("doc_id").alias("doc"), label_tokens(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("label"))
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), label_tokens(F.col("text")).alias("tokens"))
     return _rounded(rescore(fused, labels, asked, 1.0, 10), "bm25_normalized", "label_coverage", "query_coverage", "retrieval").withColumn("score", F.round("score", 9))
+
+
+ROBUST = dict(weights=[0.0, 1.0], pool=100, k=50, draws=2000)
+_NORM = "CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 1 END"
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings JOIN documents ON doc_id = vec_id), dd AS (SELECT doc_id AS doc, text, lang, source, {TOK.format('text')} AS ts FROM documents WHERE doc_id IN (SELECT vec_id FROM e)),
+    c AS (SELECT '*' AS scope, doc, ts FROM dd), q AS (SELECT doc * 10 AS query, '*' AS scope, ts FROM c WHERE doc % 100 = 0 UNION ALL SELECT doc * 10 + 1, '*', ts[1:12] FROM c WHERE doc % 100 = 0), {SCORES},
+    ll AS (SELECT query // 10 AS query, query % 10 AS rendering, doc, score AS s, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS r FROM s WHERE doc <> query // 10),
+    ds AS (SELECT a.vec_id AS query, b.vec_id AS doc, {COSINE} AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    dn AS (SELECT query, g.range AS rendering, doc, sim AS s, row_number() OVER (PARTITION BY query, g.range ORDER BY round(sim, 9) DESC, doc) AS r FROM ds, range(2) g),
+    pl AS (SELECT 'lexical' AS kind, * FROM ll WHERE r <= 100 UNION ALL SELECT 'dense', * FROM dn WHERE r <= 100),
+    po AS (SELECT kind, query, rendering, doc, s FROM pl UNION ALL SELECT 'hybrid', query, rendering, doc, sum(1.0::DOUBLE / (60 + r)) FROM pl GROUP BY query, rendering, doc),
+    lb AS (SELECT doc, {LABEL.format("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS label FROM dd),
+    qt AS (SELECT doc AS query, 0 AS rendering, {LABEL.format('text')} AS ts FROM dd UNION ALL SELECT doc, 1, {LABEL.format("array_to_string(ts[1:12], ' ')")} FROM dd),
+    nm AS (SELECT kind, query, rendering, doc, s, {_NORM} AS norm FROM (SELECT *, round(s, 12) AS x FROM po) WINDOW w AS (PARTITION BY kind, query, rendering)),
+    cv AS (SELECT nm.*, CASE WHEN len(list_distinct(label)) = 0 THEN 0 ELSE len(list_intersect(label, ts)) / len(list_distinct(label)) END AS cov, CASE WHEN len(list_distinct(ts)) = 0 THEN 0 ELSE len(list_intersect(label, ts)) / len(list_distinct(ts)) END AS qcov FROM nm JOIN lb USING (doc) JOIN qt USING (query, rendering)),
+    rk AS (SELECT * FROM (SELECT cv.*, weight, row_number() OVER (PARTITION BY kind, query, rendering, weight ORDER BY round(norm + weight * (cov + qcov), 9) DESC, weight * round(cov, 9) DESC, weight * round(qcov, 9) DESC, round(s, 12) DESC, doc) AS rank FROM cv, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) t(weight)) WHERE rank <= 50),
+    va AS (SELECT kind, 'onepass' AS method, weight, query, doc, rank FROM rk WHERE rendering = 0 UNION ALL
+           SELECT kind, 'rounds', weight, query, doc, row_number() OVER (PARTITION BY kind, weight, query ORDER BY round(x, 12) DESC, doc) FROM (SELECT kind, weight, query, doc, sum(1.0::DOUBLE / (60 + rank)) AS x FROM rk GROUP BY ALL)),
+    fi AS (SELECT kind, method, weight, va.query, min(rank) AS rank FROM va JOIN e a ON a.vec_id = va.query JOIN e b ON b.vec_id = va.doc WHERE a.label = b.label AND rank <= 50 GROUP BY ALL),
+    ev AS (SELECT v.kind, v.method, v.weight, dd.doc AS query, source AS context, lang, rank FROM dd CROSS JOIN (SELECT DISTINCT kind, method, weight FROM va) v LEFT JOIN fi ON fi.kind = v.kind AND fi.method = v.method AND fi.weight = v.weight AND fi.query = dd.doc WHERE dd.doc % 100 = 0),
+    ro AS (SELECT kind, method, weight, modality, context, unnest(['accuracy', 'mrr', 'recall_at_10']) AS metric, unnest([(coalesce(rank, 999) <= 1)::INT::DOUBLE, coalesce(1 / rank, 0), (coalesce(rank, 999) <= 10)::INT::DOUBLE]) AS v FROM (SELECT *, lang AS modality FROM ev UNION ALL SELECT *, 'pooled' FROM ev)),
+    pe AS (SELECT kind, method, weight, modality, metric, context, sum(v) AS total, count(*) AS n FROM ro GROUP BY ALL),
+    k AS (SELECT modality, context, row_number() OVER (PARTITION BY modality ORDER BY context) - 1 AS at_, count(*) OVER (PARTITION BY modality) AS m FROM (SELECT DISTINCT modality, context FROM pe)),
+    tm AS (SELECT modality, draw, at_, count(*) AS times FROM (SELECT modality, dr.range AS draw, (concat('0x', substr(md5(concat(dr.range, '-', sl.range)), 1, 8))::UBIGINT % m)::BIGINT AS at_ FROM range(2000) dr, (SELECT DISTINCT modality, m FROM k) z, range(1000) sl WHERE sl.range < m) GROUP BY ALL),
+    bs AS (SELECT kind, method, weight, modality, metric, draw, sum(times * total) / sum(times * n) AS x FROM tm JOIN k USING (modality, at_) JOIN pe USING (modality, context) GROUP BY ALL)
+    SELECT kind, method, weight, modality, metric, n, round(value, 6) AS value, round(quantile_cont(x, 0.025), 6) AS ci_low, round(quantile_cont(x, 0.975), 6) AS ci_high, (quantile_cont(x, 0.025) > 0 OR quantile_cont(x, 0.975) < 0) AS ci_excludes_zero
+    FROM bs JOIN (SELECT kind, method, weight, modality, metric, sum(n)::BIGINT AS n, sum(total) / sum(n) AS value FROM pe GROUP BY ALL) USING (kind, method, weight, modality, metric) GROUP BY kind, method, weight, modality, metric, n, value"""
+)
+def retriever_robustness(spark, sf_dir):
+    """Every hundredth document asked whole and by its first twelve words, of words, of vectors and of both, with and without
+    coverage: where the first document of its class stands, by language, with intervals over sources."""
+    docs = table(spark, sf_dir, "documents")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec"), "label").join(docs.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
+    own = docs.join(vectors.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    corpus = own.select(F.lit("*").alias("scope"), F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("tokens"))
+    some = own.where("doc_id % 100 = 0")
+    head = F.slice(tokens(F.col("text")), 1, 12)
+    both = F.explode(F.array(F.struct(F.lit(0).alias("rendering"), tokens(F.col("text")).alias("words"), F.col("text").alias("shown")), F.struct(F.lit(1).alias("rendering"), head.alias("words"), F.array_join(head, " ").alias("shown"))))
+    asked = some.select(F.col("doc_id").alias("query"), both.alias("r")).select("query", "r.*")
+    scores = bm25(asked.select((F.col("query") * 10 + F.col("rendering")).alias("query"), F.lit("*").alias("scope"), F.col("words").alias("tokens")), corpus)
+    lexical = ranked(scores.where("doc <> floor(query / 10)"), ["query"], [F.desc(F.round("score", 9)), F.col("doc")], ROBUST["pool"])
+    lexical = lexical.select(F.floor(F.col("query") / 10).alias("query"), (F.col("query") % 10).cast("int").alias("rendering"), "doc", "score", "rank")
+    near = nearest(vectors.where("doc % 100 = 0").select(F.col("doc").alias("query"), "vec"), vectors.select("doc", "vec"), ROBUST["pool"] + 1)
+    dense = ranked(near.where("doc <> query").drop("rank"), ["query"], [F.desc(F.round("similarity", 9)), F.col("doc")], ROBUST["pool"])
+    dense = dense.select("query", F.explode(F.array(F.lit(0), F.lit(1))).alias("rendering"), "doc", F.col("similarity").alias("score"), "rank")
+    labels = own.select(F.col("doc_id").alias("doc"), label_tokens(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("label"))
+    ranks = variant_ranks(lexical, dense, asked.select("query", "rendering", label_tokens(F.col("shown")).alias("tokens")), labels, ROBUST["weights"], ROBUST["k"])
+    kinds = vectors.select("doc", "label")
+    gold = ranks.select("query", "doc").distinct().join(kinds, "doc").join(kinds.select(F.col("doc").alias("query"), F.col("label").alias("own")), "query").where("label = own").select("query", "doc")
+    out = grid_metrics(ranks, gold, some.select(F.col("doc_id").alias("query"), "source", "lang"), F.col("source"), F.col("lang"), ROBUST["draws"])
+    return _rounded(out, "value")
