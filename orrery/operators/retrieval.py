@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orrery.functions.text import coverage
 from orrery.session import staged
@@ -22,21 +25,27 @@ def postings(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     return met.groupBy("scope", "token", "doc", "doc_len").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query, doc, score of every document that shares a token with the query in its scope.
-
-    ``queries``: query, scope, tokens (a set counts).  Document numbers and mean
-    lengths are those of the scope.  The postings are written once.
-    """
+def _weighted(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, scope, token, avg_len, idf; scope, token, doc, doc_len, tf): what the queries ask for and where it stands, written once."""
     asked = queries.select("query", "scope", F.explode(F.array_distinct("tokens")).alias("token"))
     found = staged(postings(corpus, asked), "postings")
     stats = found.where("token is null").groupBy("scope").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("doc_len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
     found = found.where("token is not null")
     df = found.groupBy("scope", "token").agg(F.count("*").alias("df"))
     weighted = df.join(stats, "scope").select("scope", "token", "avg_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return asked.join(weighted, ["scope", "token"]), found
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query, doc, score of every document that shares a token with the query in its scope.
+
+    ``queries``: query, scope, tokens (a set counts).  Document numbers and mean
+    lengths are those of the scope.  The postings are written once.
+    """
+    asked, found = _weighted(queries, corpus)
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
-    return asked.join(weighted, ["scope", "token"]).join(found, ["scope", "token"]).groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    return asked.join(found, ["scope", "token"]).groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
 def ranked(scores: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
@@ -45,9 +54,64 @@ def ranked(scores: DataFrame, by: list[str], order: list[Column], k: int | None
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, **weights) -> DataFrame:
-    """query, doc, score, rank: ties by the smaller document."""
-    return ranked(bm25(queries, corpus, **weights), ["query"], [F.desc(F.round("score", 9)), F.col("doc")], k)
+QUERY_BLOCK, DOC_BLOCK = 1024, 4096  # that meet in a group, with a score for each pair
+
+
+def _lists(t: pa.Table, name: str) -> tuple[np.ndarray, pa.StructArray]:
+    column = t.column(name).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten()
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query, doc, score, rank: the ``k`` best of those that share a token, ties by the smaller document.
+
+    Blocks of queries and documents of a scope meet in groups that add up the scores of
+    all their pairs token by token, in arrays, and hand on ``k`` documents of each
+    query, so that matches are neither joined nor shuffled one by one.
+    """
+    asked, found = _weighted(queries, corpus)
+    query_type, doc_type = (df.schema[c].dataType for df, c in ((queries, "query"), (corpus, "doc")))
+    token = F.xxhash64("token").alias("token")
+    left = asked.groupBy("scope", "query").agg(F.first("avg_len").alias("avg_len"), F.collect_list(F.struct(token, "idf")).alias("wanted"))
+    right = found.groupBy("scope", "doc", "doc_len").agg(F.collect_list(F.struct(token, F.col("tf").cast("double").alias("tf"))).alias("held"))
+    left, right = staged(left, "asked"), staged(right, "held")
+    parts = [max(1, -(-df.count() // n)) for df, n in ((left, QUERY_BLOCK), (right, DOC_BLOCK))]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    left = left.select("scope", "query", "avg_len", "wanted", own("query", parts[0]).alias("q"), every(parts[1]).alias("d"))
+    right = right.select(F.col("scope").alias("doc_scope"), "doc", F.col("doc_len").cast("double").alias("doc_len"), "held", every(parts[0]).alias("doc_q"), own("doc", parts[1]).alias("doc_d"))
+
+    def meet(query: pa.Table, doc: pa.Table) -> pa.Table:
+        named, docs, scores = [], [], []
+        if query.num_rows and doc.num_rows:
+            doc = doc.sort_by("doc")  # ties go by place
+            owner, held = _lists(doc, "held")
+            asker, wanted = _lists(query, "wanted")
+            tokens, tf = held.field("token").to_numpy(), held.field("tf").to_numpy()
+            want, idf = wanted.field("token").to_numpy(), wanted.field("idf").to_numpy()
+            part = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * doc.column("doc_len").to_numpy() / query.column("avg_len")[0].as_py()))[owner])
+            by_doc, by_query = np.argsort(tokens, kind="stable"), np.argsort(want, kind="stable")
+            known, start = np.unique(want[by_query], return_index=True)
+            low, high = (np.searchsorted(tokens[by_doc], known, side=side) for side in ("left", "right"))
+            sums = np.zeros((query.num_rows, doc.num_rows))
+            for n, (a, z) in enumerate(zip(low.tolist(), high.tolist())):
+                if z > a:
+                    rows, at = by_query[start[n] : start[n + 1] if n + 1 < len(start) else None], by_doc[a:z]
+                    sums[np.ix_(asker[rows], owner[at])] += np.outer(idf[rows], part[at])
+            for n, row in enumerate(sums):
+                hit = np.flatnonzero(row)
+                if len(hit) > k:
+                    hit = hit[row[hit] >= np.partition(row[hit], len(hit) - k)[len(hit) - k] - 1e-8]
+                best = hit[np.lexsort((hit, -np.round(row[hit], 9)))[:k]]
+                named.append(np.full(len(best), n))
+                docs.append(best)
+                scores.append(row[best])
+        at = [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x]).astype(np.int64)) for x in (named, docs)]
+        return pa.table({"query": query.column("query").take(at[0]), "doc": doc.column("doc").take(at[1]), "score": pa.array(np.concatenate([np.zeros(0), *scores]))}) if scores else pa.table({"query": pa.array([], to_arrow_type(query_type)), "doc": pa.array([], to_arrow_type(doc_type)), "score": pa.array([], pa.float64())})
+
+    best = left.groupBy("scope", "q", "d").cogroup(right.groupBy("doc_scope", "doc_q", "doc_d")).applyInArrow(meet, f"query {query_type.simpleString()}, doc {doc_type.simpleString()}, score double")
+    return ranked(best, ["query"], [F.desc(F.round("score", 9)), F.col("doc")], k)
 
 
 def padded_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

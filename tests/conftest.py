@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from orrery.session import local_session
 
-    session = local_session("4", 4)
+    session = local_session("8", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -2,6 +2,7 @@
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -26,17 +27,30 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
-def test_equals_sql(spark, duck, name):
-    if not os.path.exists(SF):
-        pytest.skip("no tables")
+def run(spark, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
-    found = duck.execute(entry.oracle_sql()[name])
-    names = [d[0] for d in found.description]
+    return cols, sorted(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in cols]).collect())
+
+
+@pytest.fixture(scope="module")
+def found(spark, request):
+    """Results of the queries that are asked for, some at a time: small tables leave most of a session idle."""
+    names = [i.callspec.params["name"] for i in request.session.items if getattr(i, "originalname", "") == "test_equals_sql"]
+    with ThreadPoolExecutor(6) as pool:
+        yield {n: pool.submit(run, spark, n) for n in names} if os.path.exists(SF) else {}
+        pool.shutdown(cancel_futures=True)
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_equals_sql(found, duck, name):
+    if name not in found:
+        pytest.skip("no tables")
+    cols, got = found[name].result()
+    asked = duck.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in asked.description]
     assert sorted(names) == cols
-    want = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall())
-    assert sorted(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in cols]).collect()) == want
+    assert got == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in asked.fetchall())
 
 
 def test_entry(spark):
