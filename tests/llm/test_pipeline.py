@@ -1,12 +1,10 @@
-from collections import defaultdict
-
 import numpy as np
 import pytest
 import zlib
 
 import corpus_pipeline
 from orrery.llm import toxicity
-from tests.llm.test_simhash import brute
+from tests.llm.test_shingle_join import groups
 
 
 @pytest.fixture(scope="module")
@@ -98,12 +96,8 @@ def test_stages(spark, frame, odd, tmp_path, monkeypatch):
     assert lines.columns == names and text[2003].text.startswith("own text 3") and text[2003].n_chars == len(text[2003].text)
     near = corpus_pipeline.near_dedup(spark, lines, d)
     kept = [r.doc_id for r in near.collect()]
-    groups = defaultdict(set)
-    pairs = [(r.doc_id, r.text) for r in lines.collect()]
-    for i, _, c in brute(pairs, 5, corpus_pipeline.RADIUS):
-        groups[c].add(i)
-    want = sorted(c for c in groups if c is not None)
-    assert sorted(set(k for k in kept if k is not None)) == want
+    named = {r.doc_id: r.text or "" for r in lines.collect() if r.doc_id is not None}
+    assert sorted({k for k in kept if k is not None}) == sorted(set(groups(named.items()).values()))
     packed = corpus_pipeline.packing(spark, near, d)
     assert {r.doc_id for r in packed.collect()} == set(kept)
 
