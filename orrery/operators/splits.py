@@ -34,6 +34,15 @@ def quotas(groups: DataFrame, target: int, by: list[str]) -> DataFrame:
     return rows.join(more, [*by, "stratum"], "left").select(*by, "stratum", (F.col("_base") + F.coalesce("_more", F.lit(0))).cast("long").alias("quota"))
 
 
+def quota_sample(rows: DataFrame, group: str, order: list[Column], target: int, key: str) -> DataFrame:
+    """``rows`` with chosen: ``target`` of them, from each group as many as ``quotas`` gives it, the first in ``order`` and ``key``."""
+    sizes = rows.groupBy(F.col(group).alias("stratum")).agg(F.count("*").alias("weight")).withColumn("cap", F.col("weight"))
+    share = quotas(sizes, target, []).select(F.col("stratum").alias(group), F.col("quota").alias("_quota"))
+    names = [f"_o{k}" for k in range(len(order))]
+    first = placed(rows.withColumns(dict(zip(names, order))), [group], [*names, key], "_place")
+    return first.join(share, group, "left").withColumn("chosen", F.col("_place") <= F.coalesce("_quota", F.lit(0))).drop("_place", "_quota", *names)
+
+
 def first_of_quota(rows: DataFrame, share: DataFrame, order: list[Column]) -> DataFrame:
     """The rows (attempt, stratum, key) of each stratum that come first in ``order``, as many as its quota."""
     names = [f"_o{k}" for k in range(len(order))]

@@ -106,24 +106,3 @@ def stratum(rows: DataFrame, key: str, kinds: str) -> DataFrame:
     each = rows.select(key, F.explode(F.array_distinct(kinds)).alias("kind"))
     n = each.groupBy("kind").agg(F.count("*").alias("n"))
     return each.join(n, "kind").groupBy(key).agg(F.min(F.struct("n", "kind"))["kind"].alias("stratum"))
-
-
-def quota_sample(rows: DataFrame, group: str, order: list[Column], target: int, key: str) -> DataFrame:
-    """``rows`` with chosen: ``target`` of them, from each group as many as ``quotas`` gives it, the first in ``order`` and ``key``."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}  # one row for each group
-    share = rows.sparkSession.createDataFrame(list(quotas(sizes, target).items()) or [(None, 0)], f"{group} {rows.schema[group].dataType.simpleString()}, _quota long")
-    names = [f"_o{k}" for k in range(len(order))]
-    first = placed(rows.withColumns(dict(zip(names, order))), [group], [*names, key], "_place")
-    return first.join(F.broadcast(share), group).withColumn("chosen", F.col("_place") <= F.col("_quota")).drop("_place", "_quota", *names)
-
-
-def quotas(sizes: dict[str, int], target: int) -> dict[str, int]:
-    """Shares of ``target`` in proportion to sizes: each group at least 1 and at most its
-    size, the group with the largest deficit next."""
-    total = sum(sizes.values())
-    out = {g: min(1, n) for g, n in sizes.items()}
-    while sum(out.values()) < min(target, total):
-        open_groups = [g for g in sizes if out[g] < sizes[g]]
-        best = min(open_groups, key=lambda g: (out[g] - target * sizes[g] / total, g))
-        out[best] += 1
-    return out

@@ -15,6 +15,30 @@ def vocabulary(spark, entries: dict[str, dict[str, list[str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "dimension string, category string, phrase string").withColumn("phrase_tokens", F.array_distinct(label_tokens(F.col("phrase"))))
 
 
+def spellings(name: Column) -> Column:
+    """Ways to write a hyphenated name: as it is, with spaces, with slashes; without repeats."""
+    return F.array_distinct(F.array(name, F.replace(name, F.lit("-"), F.lit(" ")), F.replace(name, F.lit("-"), F.lit("/"))))
+
+
+def hierarchy_vocabulary(nodes: DataFrame, fixed: dict[str, dict[str, list[str]]], aliases: dict[str, str]) -> DataFrame:
+    """dimension, category, phrase, phrase_tokens, n from the nodes of a hierarchy and what is written down.
+
+    ``nodes``: dimension, category, phrase, spelt (whether the phrase is a name with several
+    spellings).  Phrases are squeezed and in lower case; nodes without a category or
+    a phrase say nothing; ``aliases`` put categories under another name; n counts the nodes of a phrase.
+    Phrases are counted before they are spelt, so a hot category sends each phrase once.
+    """
+    put = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    category = F.coalesce(F.try_element_at(put, F.col("category")), F.col("category")) if aliases else F.col("category")
+    plain = nodes.select("dimension", F.nullif(squeeze(category), F.lit("")).alias("category"), F.nullif(F.lower(squeeze(F.col("phrase"))), F.lit("")).alias("phrase"), "spelt")
+    counted = plain.where("category is not null and phrase is not null").groupBy("dimension", "category", "phrase", "spelt").agg(F.count("*").alias("n"))
+    spelt = counted.select("dimension", "category", F.explode(F.when(F.col("spelt"), spellings(F.col("phrase"))).otherwise(F.array("phrase"))).alias("phrase"), "n")
+    written = [(d, c, p.lower(), 0) for d, cs in fixed.items() for c, ps in cs.items() for p in ps]
+    own = nodes.sparkSession.createDataFrame(written, "dimension string, category string, phrase string, n long")
+    every = spelt.unionByName(own).groupBy("dimension", "category", "phrase").agg(F.sum("n").alias("n"))
+    return every.withColumn("phrase_tokens", F.array_distinct(label_tokens(F.col("phrase"))))
+
+
 FEW_PHRASES = 2_000  # that are sent to every task
 
 

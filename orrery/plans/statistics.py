@@ -97,7 +97,7 @@ QUOTA = 100
 @query(
     f"""WITH o AS (SELECT o_custkey AS k, list_distinct(list(o_orderpriority)) AS kinds FROM orders GROUP BY 1), e AS (SELECT k, unnest(kinds) AS kind FROM o), f AS (SELECT kind, count(*) AS n FROM e GROUP BY 1),
     s AS (SELECT k, min_by(kind, row(n, kind)) AS stratum FROM e JOIN f USING (kind) GROUP BY k), z AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS total FROM s GROUP BY 1),
-    slots AS (SELECT stratum, j.range AS j, row_number() OVER (ORDER BY round(j.range - 1 - {QUOTA}.0::DOUBLE * n / total, 9), stratum) AS r FROM z, range(2, {QUOTA} + 1) j WHERE j.range <= n),
+    slots AS (SELECT stratum, j.range AS j, row_number() OVER (ORDER BY round(j.range - 1 - {QUOTA}.0::DOUBLE * n / total, 9), n DESC, stratum DESC) AS r FROM z, range(2, {QUOTA} + 1) j WHERE j.range <= n),
     q AS (SELECT z.stratum, 1 + count(r) AS quota FROM z LEFT JOIN slots ON slots.stratum = z.stratum AND r <= least({QUOTA}, total) - (SELECT count(*) FROM z) GROUP BY z.stratum),
     p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat('7-', k)), k) <= quota AS test FROM s JOIN q USING (stratum)),
     seen AS (SELECT DISTINCT kind FROM p JOIN e USING (k) WHERE NOT test), lost AS (SELECT DISTINCT k FROM p JOIN e USING (k) WHERE test AND kind NOT IN (SELECT kind FROM seen))
@@ -107,7 +107,7 @@ def stratified_split(spark, sf_dir):
     """A test split of 100 customers: strata by the rarest priority of a customer's orders, quotas by the
     largest deficit, rows by a hash; a test row with a priority that training never has is excluded."""
     kinds = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("kinds"))
-    rows = st.quota_sample(st.stratum(kinds, "k", "kinds"), "stratum", [F.md5(F.concat(F.lit("7-"), F.col("k").cast("string")))], QUOTA, "k")
+    rows = sp.quota_sample(st.stratum(kinds, "k", "kinds"), "stratum", [F.md5(F.concat(F.lit("7-"), F.col("k").cast("string")))], QUOTA, "k")
     each = rows.join(kinds, "k").select("k", "chosen", F.explode("kinds").alias("kind"))
     lost = each.where("chosen").join(each.where("not chosen").select("kind").distinct(), "kind", "left_anti").select("k").distinct().withColumn("lost", F.lit(True))
     split = F.when(~F.col("chosen"), "train").when(F.col("lost"), "excluded").otherwise("test")

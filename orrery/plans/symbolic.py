@@ -114,3 +114,37 @@ def dimension_tallies(spark, sf_dir):
     count = lambda c: F.count(F.when(c, 1))
     yes, no = count(F.col("verdict")), count(~F.col("verdict"))
     return verdicts(pool(spark, sf_dir)).groupBy("dimension").agg(yes.alias("support"), no.alias("against"), count(F.col("verdict").isNull()).alias("abstain"), (yes - no).alias("margin"))
+
+
+FIXED = {"scope": {"not-applicable": ["not applicable", "without size"]}, "qualifier": {"type-1": ["type 1", "type I"]}}
+ALIASES = {"PROMO": "ECONOMY"}
+_FIXED_ROWS = ", ".join(f"('{d}', '{c}', '{p.lower()}', 0)" for d, cs in FIXED.items() for c, ps in cs.items() for p in ps)
+
+
+@query(
+    f"""WITH n AS (SELECT 'family' AS dimension, r_name AS category, n_name AS phrase, false AS spelt FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'role', p_type, p_brand || '-' || p_name, true FROM part UNION ALL SELECT 'role', p_type, CASE WHEN p_size % 2 = 0 THEN '  ' ELSE p_name END, false FROM part),
+    m AS (SELECT dimension, CASE WHEN category = 'PROMO' THEN 'ECONOMY' ELSE category END AS category, nullif(lower(trim(phrase)), '') AS phrase, spelt FROM n), g AS (SELECT dimension, category, phrase, spelt, count(*) AS n FROM m WHERE phrase IS NOT NULL GROUP BY ALL),
+    x AS (SELECT dimension, category, unnest(CASE WHEN spelt THEN list_distinct([phrase, replace(phrase, '-', ' '), replace(phrase, '-', '/')]) ELSE [phrase] END) AS phrase, n FROM g UNION ALL SELECT * FROM (VALUES {_FIXED_ROWS}) t(d, c, p, n)),
+    y AS (SELECT dimension, category, phrase, sum(n)::BIGINT AS n FROM x GROUP BY ALL)
+    SELECT dimension, category, phrase, n, array_to_string(list_sort(list_distinct({LABEL.format('phrase')})), ' ') AS tokens FROM y"""
+)
+def vocabulary_of_levels(spark, sf_dir):
+    """Regions with their nations, and types of parts with their names in several spellings, as categories with phrases."""
+    nation, region, part = (table(spark, sf_dir, t) for t in ("nation", "region", "part"))
+    row = lambda df, d, c, p, spelt: df.select(F.lit(d).alias("dimension"), c.alias("category"), p.alias("phrase"), F.lit(spelt).alias("spelt"))
+    nodes = row(nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")), "family", F.col("r_name"), F.col("n_name"), False)
+    nodes = nodes.unionByName(row(part, "role", F.col("p_type"), F.concat_ws("-", "p_brand", "p_name"), True)).unionByName(row(part, "role", F.col("p_type"), F.when(F.col("p_size") % 2 == 0, "  ").otherwise(F.col("p_name")), False))
+    out = sy.hierarchy_vocabulary(nodes, FIXED, ALIASES)
+    return out.select("dimension", "category", "phrase", "n", F.array_join(F.sort_array("phrase_tokens"), " ").alias("tokens"))
+
+
+@query(
+    f"""WITH {PC}, c AS (SELECT p_partkey, array_to_string(list_sort(list(dimension || '=' || array_to_string(categories, '+'))), ';') AS dimensions FROM pc GROUP BY 1)
+    SELECT p_partkey, coalesce(dimensions, '') AS dimensions, coalesce(CASE WHEN p_size % 2 = 0 THEN nullif(trim(p_brand), '') END, p_type) AS kind, nullif(trim(p_name), '') AS label, NULL::VARCHAR AS period FROM part LEFT JOIN c USING (p_partkey)"""
+)
+def candidate_profiles(spark, sf_dir):
+    """Each part's categories, and of its metadata the first alias that says something."""
+    part = table(spark, sf_dir, "part").withColumn("maker", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_brand")).otherwise("  "))
+    named = sy.metadata({"kind": ["datatype", "maker", "p_type"], "label": ["p_name"], "period": ["period"]}, part.columns)
+    told = profiles(spark, sf_dir).groupBy("p_partkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat("dimension", F.lit("="), F.array_join("categories", "+")))), ";").alias("dimensions"))
+    return part.select("p_partkey", *[c.alias(n) for n, c in named.items()]).join(told, "p_partkey", "left").withColumn("dimensions", F.coalesce("dimensions", F.lit("")))

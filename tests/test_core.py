@@ -151,7 +151,6 @@ def test_bipartite_needs_augmenting_paths():
 
 
 def test_quotas_and_features():
-    assert st.quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
     assert st.correlated_features({("a", "b"): 0.99, ("a", "c"): 0.1, ("b", "c"): 0.2}, ["a", "b", "c"], 0.95) == ["a", "c"]
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import text as tx
+from orrery.operators import splits as sp
 from orrery.operators import audit, compat, fusion as fu, prep, sequence as sq, stats as st
 from orrery.operators.passages import containing
 from orrery.sources import readers
@@ -80,7 +81,7 @@ def test_quota_sample_and_strata(spark):
     rows = spark.createDataFrame([(k, ["a"] * 2 if k % 10 else ["a", "rare"]) for k in range(100)], "k int, kinds array<string>")
     s = {r.k: r.stratum for r in st.stratum(rows, "k", "kinds").collect()}
     assert all((s[k] == "a") == bool(k % 10) for k in range(100))
-    some = st.quota_sample(st.stratum(rows, "k", "kinds"), "stratum", [-F.col("k")], 20, "k").where("chosen").collect()
+    some = sp.quota_sample(st.stratum(rows, "k", "kinds"), "stratum", [-F.col("k")], 20, "k").where("chosen").collect()
     assert sorted(r.k for r in some if r.stratum == "rare") == [80, 90] and len(some) == 20
 
 
