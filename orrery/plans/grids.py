@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from orrery.operators import fusion as fu, metrics as me
+from orrery.operators import ablation as ab, fusion as fu, metrics as me
+from orrery.operators.retrieval import ranked
 from orrery.plans.fusion import R, rankings
 from orrery.plans.registry import query
 from orrery.plans.rerank import GOLD, gold
-from orrery.session import table
+from orrery.plans.statistics import DRAW
+from orrery.session import staged, table
 
 CONSENSUS = "((fact * 7 + tag * 3) % 5) / 4.0::DOUBLE"
 
@@ -43,6 +45,39 @@ def config_ablation(spark, sf_dir):
     return first.groupBy("config").agg(*me.rank_metrics(F.col("gold_rank"), (10,)))
 
 
+ABLATIONS = [ab.Ablation("A_j1", (1,)), ab.Ablation("B_select", (1, 2, 3), (0, 1), "select"), ab.Ablation("C_fuse", (1, 2, 3), (0, 1)), ab.Ablation("C_single", (1, 2, 3))]
+_AB = ", ".join(f"('{c.name}', {list(c.hyps)}, {list(c.renderings)}, {str(c.aggregation == 'select').lower()})" for c in ABLATIONS)
+_ENDS = "round(quantile_cont(x, 0.025), 6) + 0 AS {0}_low, round(quantile_cont(x, 0.975), 6) + 0 AS {0}_high, (quantile_cont(x, 0.025) > 0 OR quantile_cont(x, 0.975) < 0) AS {0}_excludes_zero"
+
+
+@query(
+    f"""WITH {R}, {GOLD}, rr AS (SELECT fact, list AS hyp, 0 AS rendering, tag, rank FROM r UNION ALL SELECT fact, list, 1, tag, row_number() OVER (PARTITION BY fact, list ORDER BY rank) FROM r WHERE tag % 4 <> 3),
+    cf AS (SELECT * FROM (VALUES {_AB}) t(config, hyps, renderings, one)), us AS (SELECT cf.config, one, rr.* FROM rr JOIN cf ON list_contains(hyps, hyp) AND list_contains(renderings, rendering)),
+    ls AS (SELECT fact, list AS hyp, max(score) AS score FROM r GROUP BY ALL), bh AS (SELECT config, fact, max_by(hyp, row(round(score, 12), -hyp)) AS best FROM (SELECT DISTINCT config, fact, hyp FROM us WHERE one) JOIN ls USING (fact, hyp) GROUP BY ALL),
+    fu AS (SELECT us.config, us.fact, tag, sum(1.0::DOUBLE / (60 + rank)) AS s, avg(1.0::DOUBLE / (60 + rank)) AS m, min(hyp * 1000 + rendering) AS fl, min(rank) AS br FROM us LEFT JOIN bh ON bh.config = us.config AND bh.fact = us.fact WHERE NOT one OR hyp = best GROUP BY ALL),
+    va AS (SELECT config, 'sum' AS variant, fact, tag, s AS x, fl, br FROM fu UNION ALL SELECT config, 'mean', fact, tag, m, fl, br FROM fu),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY config, variant, fact ORDER BY round(x, 12) DESC, fl, br, tag) AS rank FROM va), rk AS (SELECT config, variant, pl.fact, min(rank) FILTER (tag = gold) AS rank FROM pl LEFT JOIN gold ON gold.fact = pl.fact GROUP BY config, variant, pl.fact),
+    ea AS (SELECT config, variant, fact, fact % 41 AS context, unnest(['accuracy', 'mrr', 'recall_at_10']) AS metric, unnest([(coalesce(rank, 999) <= 1)::INT::DOUBLE, coalesce(1 / rank, 0), (coalesce(rank, 999) <= 10)::INT::DOUBLE]) AS v FROM rk),
+    di AS (SELECT a.*, a.v - b.v AS d FROM ea a JOIN ea b ON b.config = 'A_j1' AND b.variant = a.variant AND b.fact = a.fact AND b.metric = a.metric), mo AS (SELECT *, CASE WHEN fact % 2 = 0 THEN 'table' ELSE 'text' END AS modality FROM di UNION ALL SELECT *, 'pooled' FROM di),
+    pe AS (SELECT config, variant, modality, metric, context, sum(v) AS tv, sum(d) AS td, count(*) AS n FROM mo GROUP BY ALL),
+    k AS (SELECT modality, context, row_number() OVER (PARTITION BY modality ORDER BY context) - 1 AS at_, count(*) OVER (PARTITION BY modality) AS m FROM (SELECT DISTINCT modality, context FROM pe)),
+    tm AS (SELECT modality, draw, at_, count(*) AS times FROM (SELECT modality, dr.range AS draw, {DRAW.format("dr.range, '-', sl.range", 'm')} AS at_ FROM range(2000) dr, (SELECT DISTINCT modality, m FROM k) z, range(41) sl WHERE sl.range < m) GROUP BY ALL),
+    bs AS (SELECT config, variant, modality, metric, draw, sum(times * tv) / sum(times * n) AS xv, sum(times * td) / sum(times * n) AS xd FROM tm JOIN k USING (modality, at_) JOIN pe USING (modality, context) GROUP BY ALL),
+    ci AS (SELECT config, variant, modality, metric, {_ENDS.format('value').replace('(x,', '(xv,')}, {_ENDS.format('difference').replace('(x,', '(xd,')} FROM bs GROUP BY ALL)
+    SELECT config, variant, modality, metric, count(*) AS facts, round(avg(v), 6) AS value, round(avg(d), 6) + 0 AS difference, count(*) FILTER (round(d, 12) > 0) AS improved, count(*) FILTER (round(d, 12) = 0) AS unchanged, count(*) FILTER (round(d, 12) < 0) AS degraded,
+           any_value(value_low) AS value_low, any_value(value_high) AS value_high, any_value(value_excludes_zero) AS value_excludes_zero, any_value(difference_low) AS difference_low, any_value(difference_high) AS difference_high, any_value(difference_excludes_zero) AS difference_excludes_zero
+    FROM mo JOIN ci USING (config, variant, modality, metric) GROUP BY config, variant, modality, metric"""
+)
+def ablation_grid(spark, sf_dir):
+    """Single, selected and fused hypotheses, with one rendering and two, by sum and by mean, against the single one, with intervals over 2,000 draws of contexts."""
+    rows = rankings(spark, sf_dir).withColumnRenamed("list", "hyp")
+    some = ranked(rows.where("tag % 4 <> 3").select("fact", "hyp", "tag", F.col("rank").alias("old")), ["fact", "hyp"], [F.col("old")])
+    both = rows.select("fact", "hyp", F.lit(0).alias("rendering"), "tag", "rank").unionByName(some.select("fact", "hyp", F.lit(1).alias("rendering"), "tag", "rank"))
+    ranks = staged(ab.ablation_ranks(both, rows.groupBy("fact", "hyp").agg(F.max("score").alias("score")), gold(spark, sf_dir), ABLATIONS), "ranks")
+    out = ab.ablation_table(ranks, "A_j1", F.col("fact") % 41, F.when(F.col("fact") % 2 == 0, "table").otherwise("text"), 2000)
+    return out.withColumns({c: F.round(c, 6) for c in ("value", "difference")})
+
+
 KINDS = {"lexical": [1], "dense": [2], "hybrid": [1, 2]}
 
 
