@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -196,11 +198,18 @@ class _Text(HTMLParser):
 
 
 def visible_text(html: str | None) -> str:
-    """The text nodes of HTML with white space squeezed; script and style contents count as text."""
+    """The text nodes of HTML with white space squeezed; script and style contents count as text.
+
+    A text without a tag only has its character references resolved.  What comes after
+    the last whole tag or reference at the end of a page that is cut off is not read; where nothing
+    is left, tags are taken out by their brackets instead.
+    """
+    text = html or ""
+    if "<" not in text or ">" not in text:
+        return " ".join(unescape(text).split())
     p = _Text()
-    p.feed(html or "")
-    p.close()
-    return " ".join(" ".join(p.parts).split())
+    p.feed(text)  # not closed: the parser would take a cut-off tag for text
+    return " ".join(" ".join(p.parts).split()) or " ".join(re.sub("<[^>]+>", " ", unescape(text)).split())
 
 
 def html_text(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -231,8 +240,6 @@ def bipartite_size(a: list[str], b: list[str], alike) -> int:
 
 def relaxed_contexts(a: str, b: str, threshold: float) -> bool:
     """Equal, one inside the other, or alike by their distinct words and numbers."""
-    import re
-
     x, y = " ".join(a.lower().split()), " ".join(b.lower().split())
     if x == y or (x and y and (x in y or y in x)):
         return True

@@ -96,3 +96,12 @@ def test_metadata_takes_the_first_alias_that_says_something(spark):
     df = spark.createDataFrame([(" ", "b  c", None), ("a", "b", "d")], "x string, y string, z string")
     got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in sy.metadata({"kind": ["x", "y"], "unit": ["none", "z"], "no": ["none"]}, df.columns).items()]).collect()]
     assert got == [("b c", None, None), ("a", "d", None)]
+
+
+def test_visible_text():
+    from orrery.operators.prep import visible_text
+
+    assert visible_text("a &amp; b  <3") == "a & b <3" and visible_text(None) == visible_text(" ") == ""
+    assert visible_text('<p>A&nbsp;b</p><script>var t="</p>";</script><!-- no --><br/>c') == 'A b var t="</p>"; c'
+    assert visible_text("<p>kept</p><p>whole &amp; text <a hre") == "kept whole & text" and visible_text("<p>kept</p>cut off &am") == "kept"
+    assert visible_text("&lt;b&gt;<i></i>") == "<b>" and visible_text("<b>&am") == "&am"
