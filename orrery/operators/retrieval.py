@@ -13,15 +13,20 @@ from orrery.session import staged
 K1, B = 1.5, 0.75
 
 
+SALTS = 64  # keys over which the length rows of a scope are spread
+
+
 def postings(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     """scope, token, doc, doc_len, tf of the tokens of ``asked`` (scope, token), and a row without
     a token for every document of those scopes: one pass over the texts serves both
-    statistics and scores, and words that no query asks for never reach a shuffle."""
+    statistics and scores, and words that no query asks for never reach a shuffle.
+    Rows without a token are salted, since a scope may hold all documents."""
     every = F.concat(F.array(F.lit(None).cast("string")), "tokens")
     exploded = corpus.select("scope", "doc", F.size("tokens").alias("doc_len"), F.explode_outer(every).alias("token"))
-    wanted = asked.select("scope", "token").unionByName(asked.select("scope", F.lit(None).cast("string").alias("token"))).distinct()
-    wanted = wanted.withColumnsRenamed({"scope": "_scope", "token": "_token"})
-    met = exploded.join(wanted, (F.col("scope") == F.col("_scope")) & F.col("token").eqNullSafe(F.col("_token")), "left_semi")
+    exploded = exploded.withColumn("_salt", F.when(F.col("token").isNull(), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int"))
+    scopes = asked.select("scope").distinct().select("scope", F.lit(None).cast("string").alias("token"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    wanted = asked.select("scope", "token", F.lit(0).alias("_salt")).distinct().unionByName(scopes).withColumnsRenamed({"scope": "_scope", "token": "_token", "_salt": "_at"})
+    met = exploded.join(wanted, (F.col("scope") == F.col("_scope")) & F.col("token").eqNullSafe(F.col("_token")) & (F.col("_salt") == F.col("_at")), "left_semi")
     return met.groupBy("scope", "token", "doc", "doc_len").agg(F.count("*").alias("tf"))
 
 

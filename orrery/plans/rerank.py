@@ -6,7 +6,7 @@ from orrery.operators import fusion as fu, rerank as rr
 from orrery.operators.metrics import first_gold_rank
 from orrery.plans.fusion import R, rankings
 from orrery.plans.registry import query
-from orrery.session import table
+from orrery.session import staged, table
 
 #: pool: the fused top 20; v: verdicts, some null, none for every seventh candidate; gold: the supplier of a part's last shipment.
 POOL = f"""{R}, f AS (SELECT fact, tag, sum(1.0::DOUBLE / (60 + rank)) AS score, min(rank) AS br, min(list) AS fl FROM r GROUP BY ALL),
@@ -36,7 +36,7 @@ def gold(spark, sf_dir):
 
 
 def consensus_pool(spark, sf_dir, policy="drop", fill="zero", weighted=False):
-    rows = pool(spark, sf_dir)
+    rows = staged(pool(spark, sf_dir), "pool")  # four parts of the plan read it
     v = verdicts(rows)
     agree = rr.agreement(v, "weighted", rr.variance_weights(v)) if weighted else rr.agreement(v, policy)
     return rr.consensus(rows, agree, hyps(rows), fill)
