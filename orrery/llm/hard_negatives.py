@@ -87,10 +87,10 @@ def participants(embeddings: DataFrame, *, id_col: str = "vec_id", vec_col: str
     """vec_id, label, vec (whole numbers: floor(scale x)) of the rows that take part.
 
     Rows without an id, with a null label, a null vector, or a null or non-finite
-    component take no part.  Of rows that repeat an id the least (label, vector) counts.
+    component take no part, nor do those whose id or label is a text and no whole number.  Of rows that repeat an id the least (label, vector) counts.
     """
     x = F.col("v").cast("array<double>")
-    whole = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
+    whole = embeddings.select(F.col(id_col).try_cast("long").alias("vec_id"), F.col(label_col).try_cast("long").alias("label"), F.col(vec_col).alias("v"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     # floor() of a double is a long; a double of 2^52 or more is whole already.
     floor = lambda c: F.when(F.abs(c * scale) < 2.0**52, F.floor(c * scale).cast("double")).otherwise(c * scale)

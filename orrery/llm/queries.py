@@ -155,12 +155,28 @@ ORACLES = {
                CASE WHEN text IS NULL THEN 0 ELSE len(ls) - len(rest) END::BIGINT AS n_dropped,
                CASE WHEN text IS NOT NULL THEN sha256(array_to_string(rest, chr(10))) END AS text_sha256
         FROM c""",
+    "op12_periodic_runs": r"""
+        WITH w0 AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                           xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) AS h FROM documents),
+             w1 AS (SELECT doc_id, words, len(words) AS n, coalesce(h % 10 = 0 AND len(words) > 0, false) AS looped, h // 10 AS g FROM w0),
+             w2 AS (SELECT *, CASE WHEN looped THEN g % n END AS a FROM w1), w3 AS (SELECT *, CASE WHEN looped THEN 1 + (n - a) // (3 + g % 8) END AS p FROM w2),
+             w AS (SELECT doc_id, n, CASE WHEN looped THEN list_transform(range(n), lambda i: words[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1)::BIGINT]) ELSE words END AS words FROM w3),
+             t AS (SELECT doc_id, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM w),
+             m AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM t x JOIN t y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n WHERE x.n >= 24),
+             s AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS part FROM m),
+             c AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM s GROUP BY doc_id, p, part HAVING count(*) + p >= greatest(24, 3 * p)),
+             r AS (SELECT doc_id, start, length, min(p) AS period FROM c GROUP BY doc_id, start, length),
+             q AS (SELECT doc_id, count(*) AS n_runs, min_by(struct_pack(start, length, period), row(-(length / period), start, period)) AS best, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs FROM r GROUP BY doc_id),
+             d AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+             k AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS left_ FROM t ANTI JOIN d USING (doc_id, i) GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli, coalesce(runs, sha256('')) AS runs_sha256, coalesce(left_, sha256('')) AS collapsed_sha256
+        FROM w LEFT JOIN q USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op13_hard_negatives": """
         WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
                    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
              s AS (SELECT a.vec_id AS anchor_id, a.label AS al, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
              p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE al = label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
              n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE al <> label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
-        SELECT anchor_id, positive_id, row_number() OVER w AS rank, negative_id, positive_score, negative_score FROM n
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, negative_id, positive_score, negative_score FROM n
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) QUALIFY row_number() OVER w <= 10""",
 }

@@ -76,3 +76,9 @@ def test_no_rows(spark):
     assert hn.hard_negatives(hn.participants(make(spark, [])), F.col("vec_id") % 10 == 0).count() == 0
     alone = make(spark, [(0, [1.0], 1), (1, [1.0], 2)])  # no positive
     assert hn.hard_negatives(hn.participants(alone), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_text_ids_and_labels(spark):
+    rows = [("0", [1.0], "1"), ("1", [1.0], "1"), ("2", [0.5], "2"), ("x", [0.5], "2"), ("3", [0.5], "b")]
+    got = hn.hard_negatives(hn.participants(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label string")), F.col("vec_id") == 0)
+    assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 2, 65536, 32768)]
