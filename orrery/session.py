@@ -50,6 +50,19 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes all staged tables of a session and returns their number.
+
+    For long sessions, between one piece of work and the next: results that were
+    not written or collected yet may still read staged tables and cannot be read afterwards.
+    """
+    own = [pair for pair in _STAGED if pair[0] is spark]
+    for pair in own:
+        _delete(*pair)
+        _STAGED.remove(pair)
+    return len(own)
+
+
 @atexit.register
 def _clean() -> None:
     """Removes the staged tables of sessions that still run when Python ends."""

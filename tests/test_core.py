@@ -231,3 +231,18 @@ def test_asof_sees_all_earlier_memories(spark, monkeypatch):
         if near:
             want[s] = [(m, -v) for v, m in sorted(near)[:3]]
     assert got == want and any(s - m > 2100 for s, found in got.items() for m, _ in found)
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from orrery.session import clear_staged, staged
+
+    kept = staged(spark.range(5), "cleared")
+    assert kept.count() == 5
+    # Only what this test staged: other tests may still read theirs.
+    import orrery.session as session
+
+    rest, session._STAGED[:] = session._STAGED[:-1], session._STAGED[-1:]
+    assert clear_staged(spark) == 1 and not session._STAGED
+    session._STAGED[:] = rest
+    folder = spark._jvm.org.apache.hadoop.fs.Path(kept.inputFiles()[0])
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
