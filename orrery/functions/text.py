@@ -12,9 +12,9 @@ STOP_WORDS = (
 # Ways to write that nothing is known.
 UNRESOLVED = ("", "na", "n/a", "none", "null", "unknown", "unsupported", "unresolved", "not specified", "not applicable")
 # Dashes of all widths and the minus sign.
-DASHES = "[\u2010-\u2015\u2212]"
+DASHES = "[\u2010\u2011\u2012\u2013\u2014\u2015\u2212-]"
 # Words of a header that names a period, and of one that names a unit.
-PERIOD = r"(?i)\b(19\d\d|20\d\d|years?|months?|quarters?|ended|december|january|february|march|april|may|june|july|august|september|october|november)\b"
+PERIOD = r"(?i)\b(19\d\d|20\d\d|year|years|month|months|quarter|quarters|ended|december|january|february|march|april|may|june|july|august|september|october|november)\b"
 UNIT = r"(?is)^\(?\s*(in|dollars?|shares?|millions?|thousands?|except|per|amounts?|unaudited|usd|\$|%)\b.*$"
 UNIT_CELLS = ("$", "%", "$ $", "% %")
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, functions as F
 # that shut out others, the balance side of a family, the period type of a qualifier.
 DATATYPE_CLASS = {"monetaryitemtype": "monetary", "sharesitemtype": "shares", "pershareitemtype": "per_share", "percentitemtype": "percent"}
 CLASS_PHRASES = {
-    "monetary": ("amount", "dollars", "monetary", "carrying amount", "balance of"),
     "shares": ("number of shares", "share count", "shares outstanding", "units outstanding"),
     "per_share": ("per share", "per diluted share", "per basic share", "per unit", "earnings per"),
     "percent": ("percentage", "percent", "rate", "ratio", "yield"),
@@ -52,8 +51,8 @@ def balance_consistent(families: Column) -> Column:
 
 
 def verdict(datatype: Column, text: Column, families: Column, temporal: Column, qualifiers: Column) -> dict[str, Column]:
-    """The three checks and whether all pass.  What is unresolved (null or an empty
-    array) passes: the filter removes contradictions and rewards nothing."""
+    """datatype, period_type, balance and passed, which is all three; null and empty arrays
+    contradict nothing."""
     full = lambda x: F.coalesce(x, F.array().cast("array<string>"))
     checks = {"datatype": datatype_consistent(datatype, text), "period_type": period_consistent(full(temporal), full(qualifiers)), "balance": balance_consistent(full(families))}
     return checks | {"passed": checks["datatype"] & checks["period_type"] & checks["balance"]}
