@@ -137,7 +137,11 @@ def html_visible_text(spark, sf_dir):
     return prep.html_text(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query(
+    """WITH a AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<li>(.*?)</li>', 1, 's') AS cells FROM pages), b AS (SELECT page_id, unnest(cells) AS x, generate_subscripts(cells, 1) - 1 AS col FROM a),
+    c AS (SELECT page_id, col, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS x FROM b)
+    SELECT page_id, 0::INTEGER AS "table", 0::INTEGER AS "row", col::INTEGER AS col, regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS cell FROM c"""
+)
 def html_table_cells(spark, sf_dir):
     """Cells of tables built from each page's list items, with column spans filled out."""
     pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit("<table><tr>"), F.regexp_replace(F.regexp_replace("html", "<li>", "<td>"), "</li>", "</td>"), F.lit("</tr></table>")))
