@@ -163,7 +163,7 @@ def bipartite_match(spark, sf_dir):
     return prep.bipartite_match(turns.groupBy("conv_id").agg(text("user").alias("a"), text("assistant").alias("b")), "conv_id", "a", "b", 0.1)
 
 
-@query()
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props ELSE '[' || props || ', ' || props || ']' END AS parsed, true AS ok FROM events")
 def json_salvage(spark, sf_dir):
     """Objects rescued from answers that break off."""
     broken = F.concat(F.lit("<think>x</think>```json\n["), F.col("props"), F.lit(", "), F.col("props"), F.lit(', {"k": '))
