@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from orrery.operators import modelio, prep
+from orrery.plans.metrics import CTX
 from orrery.plans.registry import query
 from orrery.session import table
 
@@ -155,7 +156,15 @@ def html_table_context(spark, sf_dir):
     return prep.table_context(prep.html_cells(pages, "page_id", "html"), ["page_id", "table"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE x AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY text) - 1 AS n, regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS low, {CTX} AS ts FROM conversations WHERE text IS NOT NULL),
+    p AS (SELECT a.conv_id, a.n AS i, b.n AS j FROM x a JOIN x b ON b.conv_id = a.conv_id AND a.role = 'user' AND b.role = 'assistant'
+          WHERE a.low = b.low OR (a.low <> '' AND b.low <> '' AND (contains(a.low, b.low) OR contains(b.low, a.low))) OR (CASE WHEN len(a.ts) + len(b.ts) = 0 THEN 1.0 ELSE len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts))) END) >= 0.1),
+    z AS (SELECT conv_id, count(*) FILTER (role = 'user' AND text IS NOT NULL) AS k FROM conversations GROUP BY 1),
+    s AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS mask, 0::BIGINT AS matched FROM z UNION SELECT s.conv_id, s.i + 1, CASE WHEN p.j IS NULL THEN mask ELSE mask | (1::BIGINT << p.j) END, matched + (p.j IS NOT NULL)::INT
+          FROM s JOIN z ON z.conv_id = s.conv_id AND s.i < z.k LEFT JOIN (SELECT conv_id, i, j FROM p UNION ALL SELECT conv_id, n, NULL FROM x WHERE role = 'user') p ON p.conv_id = s.conv_id AND p.i = s.i WHERE p.j IS NULL OR (mask & (1::BIGINT << p.j)) = 0)
+    SELECT conv_id, max(matched)::BIGINT AS matched FROM s GROUP BY conv_id"""
+)
 def bipartite_match(spark, sf_dir):
     """How many turns of users find a turn of the assistant like them, one to one."""
     turns = table(spark, sf_dir, "conversations")
