@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from orrery.operators import fusion as fu
 from orrery.operators.retrieval import ranked
 from orrery.plans.registry import query
-from orrery.session import table
+from orrery.session import dealt, table
 
 #: m: best values of a supplier for a part; r(fact, list, tag, rank, score): by quantity, by price (even suppliers), by discount (not every third).
 R = """m AS (SELECT l_partkey AS fact, l_suppkey AS tag, max(l_quantity) AS v1, max(l_extendedprice) AS v2, max(l_discount) AS v3 FROM lineitem GROUP BY ALL),
@@ -16,8 +16,9 @@ ORDERED = "SELECT fact, tag, round(rrf, 9) AS rrf, best_rank, first_list::BIGINT
 
 
 def rankings(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("fact"), F.col("l_suppkey").alias("tag"))
-    best = lines.agg(F.max("l_quantity").alias("v1"), F.max("l_extendedprice").alias("v2"), F.max("l_discount").alias("v3"))
+    """Dealt by fact, so that rankings, fusions and joins within a fact add no shuffle."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("fact"), F.col("l_suppkey").alias("tag"), "l_quantity", "l_extendedprice", "l_discount")
+    best = dealt(lines, "fact").groupBy("fact", "tag").agg(F.max("l_quantity").alias("v1"), F.max("l_extendedprice").alias("v2"), F.max("l_discount").alias("v3"))
     entry = lambda n, ok: F.when(ok, F.struct(F.lit(n).alias("list"), F.col(f"v{n}").alias("score")))
     entries = F.array(entry(1, F.lit(True)), entry(2, F.col("tag") % 2 == 0), entry(3, F.col("tag") % 3 != 0))
     rows = best.select("fact", "tag", F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("e")).select("fact", "tag", "e.*")
