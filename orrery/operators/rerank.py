@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.operators.retrieval import minmax, ranked
 
@@ -21,8 +21,19 @@ def agreement(verdicts: DataFrame, policy: str = "drop", weights: DataFrame | No
         rows = verdicts.join(weights, on)
         w = F.when(v.isNotNull(), F.col("weight"))
         return rows.groupBy(*by).agg(F.try_divide(F.sum(w * v), F.sum(w)).alias("agree"))
-    value = {"drop": v, "negative": F.coalesce(v, F.lit(0.0)), "strict": F.coalesce(v, F.lit(0.0)), "neutral": F.coalesce(v, F.lit(0.5))}[policy]
-    return verdicts.groupBy(*by).agg(F.avg(value).alias("agree"))
+    return verdicts.groupBy(*by).agg(_mean(policy).alias("agree"))
+
+
+def _mean(policy: str) -> Column:
+    v = F.col("verdict").cast("double")
+    return F.avg({"drop": v, "negative": F.coalesce(v, F.lit(0.0)), "strict": F.coalesce(v, F.lit(0.0)), "neutral": F.coalesce(v, F.lit(0.5))}[policy])
+
+
+def agreements(verdicts: DataFrame, policies: list[str]) -> DataFrame:
+    """policy, fact, hyp, tag, agree of several policies, none of them "weighted", from one aggregate."""
+    each = verdicts.groupBy("fact", "hyp", "tag").agg(*[_mean(p).alias(p) for p in policies])
+    one = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("agree")) for p in policies])).alias("p")
+    return each.select("fact", "hyp", "tag", one).select("p.policy", "fact", "hyp", "tag", "p.agree")
 
 
 def hybrid_verdicts(model: DataFrame, symbolic: DataFrame) -> DataFrame:
