@@ -10,6 +10,7 @@ from orrery.operators.resample import bounds, numbered
 from orrery.operators.retrieval import minmax, ranked
 from orrery.operators.stats import times_drawn
 from orrery.operators.symbolic import tightest_level
+from orrery.session import staged
 
 #: The arm whose rank is the best of any slot alone.
 ORACLE = "oracle"
@@ -41,10 +42,9 @@ def arm_ranks(rankings: DataFrame, arms: DataFrame, agreement: DataFrame, gold:
     at = [*key, "beta"]
     placed = ranked(each.withColumn("final", F.col("norm") + F.col("beta") * F.col("consensus")), at, [F.desc(F.round("final", 9)), F.col("tag")])
     hit = F.min(F.when(F.col("tag") == F.col("gold"), F.col("rank"))).alias("rank")
-    ranks = placed.join(gold, "fact", "left").groupBy(*at).agg(hit)
     spread = lambda c: F.max(c) - F.min(c)
-    moved = each.groupBy(*at).agg((F.col("beta") * spread("consensus")).alias("_m"), spread("norm").alias("_n"))
-    return ranks.join(moved, at).select(*at, "rank", F.try_divide(F.col("_m"), F.nullif(F.col("_m") + F.col("_n"), F.lit(0.0))).alias("share"))
+    ranks = placed.join(gold, "fact", "left").groupBy(*at).agg(hit, (F.col("beta") * spread("consensus")).alias("_m"), spread("norm").alias("_n"))
+    return ranks.select(*at, "rank", F.try_divide(F.col("_m"), F.nullif(F.col("_m") + F.col("_n"), F.lit(0.0))).alias("share"))
 
 
 def solo_arms(arms: DataFrame) -> DataFrame:
@@ -107,10 +107,10 @@ def contrasts(ranks: DataFrame, betas: DataFrame, pairs: list[tuple[str, str]],
     right = own.select(F.col("arm").alias("right"), "fact", "metric", F.col("value").alias("right_value"))
     rows = by_modality(left.join(right, ["right", "fact", "metric"]), F.col("_m"))
     key = ["left", "right", "modality", "metric"]
-    per = rows.groupBy(*key, "context").agg(F.sum(F.col("left_value") - F.col("right_value")).alias("total"), F.count("*").alias("n"))
+    per = staged(rows.groupBy(*key, "context").agg(F.sum(F.col("left_value") - F.col("right_value")).alias("total"), F.count("*").alias("n")), "contexts")
     # Every contrast draws from its modality's contexts.
     samples = None
-    for (kind,) in [(r[0],) for r in rows.select("modality").distinct().collect()]:  # a few
+    for (kind,) in [(r[0],) for r in per.select("modality").distinct().collect()]:  # a few
         own_ = per.where(F.col("modality") == kind)
         met = resampled_groups(own_, key, "context", draws)
         samples = met if samples is None else samples.unionByName(met)
