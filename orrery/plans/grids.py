@@ -1,9 +1,8 @@
 """Grids of configurations and retrievers, answers that name candidates."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from orrery.operators import ablation as ab, fusion as fu, metrics as me
-from orrery.operators.retrieval import ranked
 from orrery.plans.fusion import R, rankings
 from orrery.plans.registry import query
 from orrery.plans.rerank import GOLD, gold
@@ -71,8 +70,10 @@ _ENDS = "round(quantile_cont(x, 0.025), 6) + 0 AS {0}_low, round(quantile_cont(x
 def ablation_grid(spark, sf_dir):
     """Single, selected and fused hypotheses, with one rendering and two, by sum and by mean, against the single one, with intervals over 2,000 draws of contexts."""
     rows = rankings(spark, sf_dir).withColumnRenamed("list", "hyp")
-    some = ranked(rows.where("tag % 4 <> 3").select("fact", "hyp", "tag", F.col("rank").alias("old")), ["fact", "hyp"], [F.col("old")])
-    both = rows.select("fact", "hyp", F.lit(0).alias("rendering"), "tag", "rank").unionByName(some.select("fact", "hyp", F.lit(1).alias("rendering"), "tag", "rank"))
+    shown = F.col("tag") % 4 != 3
+    some = F.count(F.when(shown, 1)).over(W.partitionBy("fact", "hyp").orderBy("rank"))
+    each = F.array(F.struct(F.lit(0).alias("rendering"), "rank"), F.when(shown, F.struct(F.lit(1).alias("rendering"), F.col("_some").alias("rank"))))
+    both = rows.withColumn("_some", some).select("fact", "hyp", "tag", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("_r")).select("fact", "hyp", "tag", "_r.*")
     ranks = staged(ab.ablation_ranks(both, rows.groupBy("fact", "hyp").agg(F.max("score").alias("score")), gold(spark, sf_dir), ABLATIONS), "ranks")
     out = ab.ablation_table(ranks, "A_j1", F.col("fact") % 41, F.when(F.col("fact") % 2 == 0, "table").otherwise("text"), 2000)
     return out.withColumns({c: F.round(c, 6) for c in ("value", "difference")})
