@@ -32,3 +32,15 @@ def test_no_shuffle_beside_the_first(spark, name, most):
     import __spark_entry__ as entry
 
     assert shuffles(entry.queries()[name](spark, SF)) <= most
+
+
+def test_equal_names_are_searched_once(spark, monkeypatch):
+    """Self-retrieval asks each set of words of a brand once, however many parts share it."""
+    import __spark_entry__ as entry
+    from orrery.plans import retrieval
+
+    asked, search = [], retrieval.topk
+    monkeypatch.setattr(retrieval, "topk", lambda q, c, k: asked.append((q.count(), q.select("scope", "tokens").distinct().count())) or search(q, c, k))
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    assert entry.queries()["self_retrieval_rate"](spark, SF).selectExpr("sum(n)").first()[0] == parts.count()
+    assert len(asked) == 1 and asked[0][0] == asked[0][1]
