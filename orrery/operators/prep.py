@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from orrery.functions import text as tx
-from orrery.session import staged
+from orrery.session import staged, text_batches
 
 
 def one_to_one(entities: DataFrame, cells: DataFrame, by: list[str], entity_order: str, cell_order: str) -> DataFrame:
@@ -150,7 +150,7 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
             cols = list(zip(*cells)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(key).type), *(pa.array(c, pa.int32()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=[key, "table", "row", "col", "cell"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, table int, row int, col int, cell string")
+    return text_batches(pages.select(key, html)).mapInArrow(run, f"{key} {kind}, table int, row int, col int, cell string")
 
 
 def table_context(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -219,7 +219,7 @@ def html_text(pages: DataFrame, key: str, html: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([visible_text(t) for t in b.column(html).to_pylist()], pa.string())], names=[key, "text"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, text string")
+    return text_batches(pages.select(key, html)).mapInArrow(run, f"{key} {kind}, text string")
 
 
 def bipartite_size(a: list[str], b: list[str], alike) -> int:
