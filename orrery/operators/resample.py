@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from orrery.operators.stats import placed, times_drawn
+from orrery.operators.stats import draw, placed, times_drawn
 from orrery.session import staged
 
 
@@ -70,6 +71,69 @@ def auroc_draws(rows: DataFrame, cluster: str, score: str, label: str, draws: in
     return whole.select("draw", F.try_divide(F.col("pairs"), F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auroc"))
 
 
+SLAB = 4096  # values that travel in a row
+CHUNK = 1 << 23  # values of a group that a task holds, a multiple of SLAB
+FACTS = 1 << 18  # facts of a group that a task draws for
+
+
+def permuted_gains(rows: DataFrame, group: str, fact: str, value: str, perms: int) -> DataFrame:
+    """``group``, perm, gain: how often, in each permutation, another fact's value of the group beats a fact's own.
+
+    A fact at place i of n borrows from place i + 1 + draw % n.  What is drawn is never shuffled:
+    blocks of facts meet chunks of their group's values, and the task that draws looks the values up, so each value travels once
+    for every ``FACTS`` facts of its group.  A group of over ``CHUNK`` values is drawn for once for each chunk.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    order = placed(rows.select(group, fact, F.col(value).cast("double").alias("own")), [group], [fact], "rank").withColumn("i", F.col("rank") - 1).join(F.broadcast(sizes), group)
+    order = staged(order.select(group, fact, "own", "i", "n"), "donors")  # facts and values are both read from it
+    every = order.count()
+    block = min(FACTS, max(1000, -(-every // (4 * parts))))
+    last = lambda size: F.floor((F.col("n") - 1) / size)
+    slab = order.groupBy(group, F.floor(F.col("i") / SLAB).alias("slab"), "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "own"))), lambda x: x["own"]).alias("held"))
+    slab = slab.select(group, F.explode(F.sequence(F.lit(0).cast("long"), last(block))).alias("block"), F.floor(F.col("slab") * SLAB / CHUNK).alias("chunk"), (F.col("slab") * SLAB).alias("i"), "held")
+    asks = order.select(group, F.floor(F.col("i") / block).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last(CHUNK))).alias("chunk"), "i", "n", "own", fact)
+    met = slab.unionByName(asks, allowMissingColumns=True).repartition(max(parts, -(-every // block)), group, "block", "chunk")
+    met = met.sortWithinPartitions(group, "block", "chunk", F.col("held").isNull(), "i")  # values come before the facts that ask for them
+    asking = F.col("held").isNull()
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda perm: (F.col("i") + 1 + draw(F.greatest(F.col("n") - 1, F.lit(1)), perm, F.col(fact))) % F.col("n"))
+    met = met.select(F.when(~asking, F.col(group)).alias(group), "i", "own", "held", F.when(asking, drawn).alias("drawn"))
+    kind = rows.schema[group].dataType
+
+    def run(batches):
+        name, first, chunk, values, gain, seen = None, 0, [], None, np.zeros(perms, dtype=np.int64), np.zeros(perms, dtype=np.int64)
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array([name] * perms, to_arrow_type(kind)), pa.array(np.arange(perms)), pa.array(gain), pa.array(seen)], names=[group, "perm", "gain", "seen"])
+
+        for b in batches:
+            fact, place = b.column("held").is_null().to_numpy(zero_copy_only=False), b.column("i").to_numpy()
+            turns = [0, *(np.flatnonzero(np.diff(fact)) + 1).tolist(), len(fact)]
+            for x, y in zip(turns, turns[1:]):
+                if y > x and not fact[x]:
+                    if values is not None:  # the facts of the last chunk are all done
+                        yield told()
+                        gain, seen, values = np.zeros(perms, dtype=np.int64), np.zeros(perms, dtype=np.int64), None
+                    if not chunk:
+                        name, first = b.column(group)[x].as_py(), int(place[x])
+                    chunk.append(b.column("held").slice(x, y - x).flatten().to_numpy(zero_copy_only=False))
+                elif y > x:
+                    if chunk:
+                        values, chunk = np.concatenate(chunk), []
+                    own = b.column("own").to_numpy(zero_copy_only=False)
+                    for z in range(x, y, 1000):
+                        end = min(z + 1000, y)
+                        at = b.column("drawn").slice(z, end - z).flatten().to_numpy().reshape(-1, perms) - first
+                        here = (at >= 0) & (at < len(values))
+                        seen += here.sum(axis=0)
+                        gain += (here & (values[np.where(here, at, 0)] > own[z:end, None])).sum(axis=0)
+        if values is not None:
+            yield told()
+
+    sums = met.mapInArrow(run, f"{group} {kind.simpleString()}, perm long, gain long, seen long")
+    return sums.groupBy(group, "perm").agg((F.sum("gain") / F.sum("seen")).alias("gain"))
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """``by`` and, for each name, the percentile at its share by linear interpolation between the two nearest ranks; null values do not count.
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from orrery.operators import resample as rs, splits as sp, stats as st
 from orrery.plans.registry import query
-from orrery.session import staged, table
+from orrery.session import table
 
 DRAWS = 2000
 DRAW = "(concat('0x', substr(md5(concat({0})), 1, 8))::UBIGINT % {1})::BIGINT"
@@ -48,13 +48,7 @@ PERMS = 200
 def permutation_null(spark, sf_dir):
     """Each fact borrows another fact's value of its arm; how often that beats its own, and both p values of one half."""
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("event_id").alias("fact"), "value")
-    placed = st.placed(rows, ["arm"], ["fact"], "rank").withColumn("i", F.col("rank") - 1).join(rows.groupBy("arm").agg(F.count("*").alias("n")), "arm")
-    placed = staged(placed.select("arm", "fact", "value", "i", "n"), "donors")  # both sides of the join read it, and its size is known
-    shift = st.draw(F.greatest(F.col("n") - 1, F.lit(1)), F.col("perm"), F.col("fact"))
-    # Every row becomes many, so even a table of one file is spread over all tasks first.
-    wide = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fact")
-    asked = wide.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMS - 1)))).withColumn("i", (F.col("i") + 1 + shift) % F.col("n")).select("arm", "perm", "i", F.col("value").alias("own"))
-    gains = asked.join(placed.select("arm", "i", "value"), ["arm", "i"]).groupBy("arm", "perm").agg(F.avg(F.when(F.col("value") > F.col("own"), 1.0).otherwise(0.0)).alias("gain"))
+    gains = rs.permuted_gains(rows, "arm", "fact", "value", PERMS)
     more = F.count(F.when(F.col("gain") >= 0.5, 1))
     return gains.groupBy("arm").agg(F.round(F.avg("gain"), 6).alias("null_mean"), F.round(F.stddev_samp("gain"), 6).alias("null_sd"), more.alias("at_least"), F.round((more + 1) / (PERMS + 1), 6).alias("p_smoothed"), F.round(more / PERMS, 6).alias("p_plain"))
 

@@ -66,3 +66,22 @@ def test_percentiles(spark):
     values = [v for _, v in rows if v is not None]
     whole = rs.percentiles(spark.createDataFrame(rows, "g string, v double"), [], "v", shares).collect()
     assert len(whole) == 1 and [whole[0][n] for n in shares] == pytest.approx([float(np.quantile(values, q)) for q in shares.values()])
+
+
+def test_permutations_look_values_up_where_they_draw(spark, monkeypatch):
+    import hashlib
+
+    from orrery.operators import resample as rs
+
+    monkeypatch.setattr(rs, "SLAB", 8)
+    monkeypatch.setattr(rs, "CHUNK", 16)  # a group of 40 is three chunks
+    rows = [(g, k, float((k * 37) % 11)) for g, n in (("a", 40), ("b", 1), ("c", 17)) for k in range(n)]
+    gains = rs.permuted_gains(spark.createDataFrame(rows, "arm string, fact long, value double"), "arm", "fact", "value", 5)
+    got = {(x.arm, x.perm): x.gain for x in gains.collect()}
+    draw = lambda perm, fact, n: int(hashlib.md5(f"{perm}-{fact}".encode()).hexdigest()[:8], 16) % n
+    for g in "abc":
+        own = [v for h, _, v in rows if h == g]
+        for perm in range(5):
+            want = sum(own[(k + 1 + draw(perm, k, max(len(own) - 1, 1))) % len(own)] > v for k, v in enumerate(own)) / len(own)
+            assert abs(got[g, perm] - want) < 1e-12
+    assert len(got) == 15
