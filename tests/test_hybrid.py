@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from __spark_entry__ import queries
-from orrery.operators import retrieval as rt
+from orrery.operators import dense, retrieval as rt
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +94,13 @@ def test_no_text_travels_to_meet_an_id(spark, monkeypatch, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     texts = [p for p in plans if "text:string" in p]
     assert texts and not any("SortMergeJoin" in p for p in texts)
+
+
+def test_similarities_held_at_once_have_a_bound():
+    rng = np.random.default_rng(1)
+    near = dense._Nearest(dense._unit(rng.normal(size=(3000, 8))), None, 5)
+    tracemalloc.start()
+    near.add(rng.normal(size=(4000, 8)), np.arange(4000), None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
