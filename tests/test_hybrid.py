@@ -40,7 +40,7 @@ def made(n, m):
     return asked, corpus
 
 
-@pytest.mark.parametrize("few, queries_of_group, parts", [(1 << 14, 1 << 14, 64), (0, 3, 3)])
+@pytest.mark.parametrize("few, queries_of_group, parts", [(1 << 14, 1 << 14, 32), (0, 3, 3)])
 def test_bm25_of_parts_and_groups(spark, monkeypatch, few, queries_of_group, parts):
     for name, value in (("FEW_WORDS", few), ("MOST_QUERIES", queries_of_group), ("PARTS", parts), ("PART_DOCS", 20)):
         monkeypatch.setattr(rt, name, value)
