@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.functions.text import jaccard
@@ -47,6 +49,124 @@ def arm_ranks(rankings: DataFrame, arms: DataFrame, agreement: DataFrame, gold:
     return ranks.select(*at, "rank", F.try_divide(F.col("_m"), F.nullif(F.col("_m") + F.col("_n"), F.lit(0.0))).alias("share"))
 
 
+def _wide(t: pa.Table) -> dict:
+    """Tags of facts, by fact and tag, with rank and agreement of each slot; slots of facts that are there and that pass."""
+    fact, slot = t.column("fact").to_numpy(), t.column("slot").to_numpy()
+    facts, at = np.unique(fact, return_inverse=True)
+    slots, which = np.unique(slot, return_inverse=True)
+    there, passes = np.zeros((len(slots), len(facts)), dtype=bool), np.zeros((len(slots), len(facts)), dtype=bool)
+    there[which, at] = True
+    ok = t.column("passes").fill_null(False).to_numpy()
+    passes[which[ok], at[ok]] = True
+    gold, known = np.zeros(len(facts), dtype=np.int64), np.zeros(len(facts), dtype=bool)
+    known[at] = t.column("gold").is_valid().to_numpy()
+    gold[at] = t.column("gold").fill_null(0).to_numpy()
+    tagged = np.flatnonzero(t.column("tag").is_valid().to_numpy())
+    at, which, tag = at[tagged], which[tagged], t.column("tag").fill_null(0).to_numpy()[tagged]
+    order = np.lexsort((tag, at))
+    at, which, tag, row = at[order], which[order], tag[order], tagged[order]
+    entity = np.cumsum(np.append(True, (np.diff(at) != 0) | (np.diff(tag) != 0))[: len(at)]) - 1
+    first = np.flatnonzero(np.diff(entity, prepend=-1))
+    rank, agree = np.full((len(slots), len(first)), np.inf), np.zeros((len(slots), len(first)))
+    ranks = t.column("rank").fill_null(0).to_numpy()[row].astype(np.float64)
+    rank[which, entity] = np.where(ranks > 0, ranks, np.inf)
+    agree[which, entity] = t.column("agree").fill_null(0.0).to_numpy()[row]
+    return {"facts": facts, "slots": slots.tolist(), "there": there, "passes": passes, "gold": gold, "known": known, "at": at[first], "tag": tag[first], "rank": rank, "agree": agree}
+
+
+def _arm(w: dict, member: np.ndarray, betas: list[float], k: int, kappa: int):
+    """(places of facts, ranks of each weight, 0 where absent, shares of each weight, NaN where none) of an arm with slots ``member`` (slot, fact)."""
+    use = member[:, w["at"]] & np.isfinite(w["rank"])
+    held = np.flatnonzero(use.any(axis=0))
+    if not len(held):
+        return np.zeros(0, dtype=np.int64), np.zeros((len(betas), 0), dtype=np.int64), np.zeros((len(betas), 0))
+    use, rank, fact, tag = use[:, held], w["rank"][:, held], w["at"][held], w["tag"][held]
+    score = np.zeros(len(held))
+    for u, r in zip(use, rank):
+        score += np.where(u, 1.0 / (kappa + r), 0.0)
+    score = np.round(score, 12)
+    order = np.lexsort((np.where(use, rank, np.inf).min(axis=0), use.argmax(axis=0), -score, fact))  # tags are in order already
+    start = np.searchsorted(fact, fact)  # facts stay in order
+    order = order[np.arange(len(held)) - start < k]
+    score, fact, tag, held = score[order], fact[order], tag[order], held[order]
+    starts = np.flatnonzero(np.diff(fact, prepend=-1))
+    own, size = fact[starts], np.diff(np.append(starts, len(fact)))
+    low, high = np.minimum.reduceat(score, starts), np.maximum.reduceat(score, starts)
+    width = np.repeat(high - low, size)
+    norm = np.divide(score - np.repeat(low, size), width, out=np.zeros(len(score)), where=width > 0)
+    told = np.zeros(len(score))
+    for m, a in zip(member, w["agree"]):
+        told += np.where(m[fact], a[held], 0.0)
+    consensus = told / member.sum(axis=0)[fact]
+    moved = np.maximum.reduceat(consensus, starts) - np.minimum.reduceat(consensus, starts)
+    spread = np.maximum.reduceat(norm, starts) - np.minimum.reduceat(norm, starts)
+    wanted = w["gold"][fact]
+    hits = np.flatnonzero((tag == wanted) & w["known"][fact])
+    place = np.full(len(own), -1)
+    place[np.searchsorted(own, fact[hits])] = hits
+    ranks, shares = [], []
+    for beta in betas:
+        final = np.round(norm + beta * consensus, 9)
+        golden = np.repeat(final[place], size)
+        ahead = (final > golden) | ((final == golden) & (tag < wanted))
+        ranks.append(np.where(place >= 0, np.add.reduceat(ahead.astype(np.int64), starts) + 1, 0))
+        m = beta * moved
+        shares.append(np.divide(m, m + spread, out=np.full(len(own), np.nan), where=m + spread != 0))
+    return own, np.array(ranks), np.array(shares)
+
+
+def ranks_of_slots(rows: DataFrame, arms: dict[str, list[int]], filtered: str, betas: list[float], k: int, kappa: int = 60) -> DataFrame:
+    """``arm_ranks`` of ``arms`` (of the slots that a fact has), of ``filtered`` (``filtered_arm``) and of each slot
+    alone, named after it, and the oracle's (``with_oracle``), from one pass in which each task holds its part.
+
+    ``rows``: fact, slot, tag, rank, agree (null where the slot does not rule), passes (true in one row of a slot that
+    passes), gold; all rows of a fact are in one part, and a part fits a task (``session.dealt``).
+    """
+    schema = pa.schema([("arm", pa.string()), ("fact", pa.int64()), ("beta", pa.float64()), ("rank", pa.int64()), ("share", pa.float64())])
+
+    def table(arm: str, facts: np.ndarray, ranks: np.ndarray, shares: np.ndarray):
+        for beta, r, s in zip(betas, ranks, shares):
+            names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(facts), dtype=np.int32)), pa.array([arm])).cast(pa.string())
+            columns = [names, pa.array(facts), pa.array(np.full(len(facts), float(beta))), pa.array(r, mask=r == 0), pa.array(s, mask=np.isnan(s))]
+            yield from pa.table(columns, schema=schema).to_batches()
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        w = _wide(pa.Table.from_batches(batches).combine_chunks())
+        there, passes = w["there"], w["passes"] & w["there"]
+        members = [(a, there & np.isin(w["slots"], own)[:, None]) for a, own in arms.items()]
+        members.append((filtered, np.where(passes.any(axis=0), passes, there)))
+        for arm, member in members:
+            own, ranks, shares = _arm(w, member, betas, k, kappa)
+            yield from table(arm, w["facts"][own], ranks, shares)
+        best, known = np.full((len(betas), len(w["facts"])), np.iinfo(np.int64).max), np.zeros(len(w["facts"]), dtype=bool)
+        for j, slot in enumerate(w["slots"]):
+            own, ranks, shares = _arm(w, there & (np.arange(len(w["slots"])) == j)[:, None], betas, k, kappa)
+            yield from table(str(slot), w["facts"][own], ranks, shares)
+            known[own] = True
+            best[:, own] = np.minimum(best[:, own], np.where(ranks > 0, ranks, np.iinfo(np.int64).max))
+        best = np.where(best == np.iinfo(np.int64).max, 0, best)[:, known]
+        yield from table(ORACLE, w["facts"][known], best, np.full(best.shape, np.nan))
+
+    c = lambda name, kind: F.col(name).cast(kind).alias(name)
+    plain = rows.where(F.col("fact").isNotNull() & F.col("slot").isNotNull()).select(c("fact", "long"), c("slot", "long"), c("tag", "long"), c("rank", "long"), c("agree", "double"), "passes", c("gold", "long"))
+    return plain.mapInArrow(run, "arm string, fact long, beta double, rank long, share double")
+
+
+def slot_heads(rows: DataFrame, top: int) -> DataFrame:
+    """fact, slot, score, resolved, preferred, overlap: ``preferred_slots`` and ``slot_overlap`` of the first ``top`` of each slot's
+    list, and how many of them the slot rules on.  ``rows``: fact, slot, tag, rank, agree."""
+    heads = rows.where(F.col("rank") <= top).groupBy("fact", "slot").agg(F.coalesce(F.avg("agree"), F.lit(0.0)).alias("score"), F.count("agree").alias("resolved"), F.collect_set("tag").alias("tags"))
+    facts = heads.groupBy("fact").agg(F.collect_list(F.struct("slot", "score", "resolved", "tags")).alias("_all"), F.min(F.struct(-F.round("score", 12), "slot"))["slot"].alias("_best"))
+    each = facts.select("fact", "_all", "_best", F.explode("_all").alias("_s"))
+    other = F.filter("_all", lambda x: x["slot"] != F.col("_s.slot"))
+    alike = F.transform(other, lambda x: jaccard(F.col("_s.tags"), x["tags"], 0.0))
+    mean = F.try_divide(F.aggregate(alike, F.lit(0.0), lambda a, x: a + x), F.size(alike))
+    return each.select("fact", "_s.slot", "_s.score", "_s.resolved", (F.col("_s.slot") == F.col("_best")).alias("preferred"), mean.alias("overlap"))
+
+
 def solo_arms(arms: DataFrame) -> DataFrame:
     """Each slot as an arm of its own, named after it."""
     return arms.select(F.col("slot").cast("string").alias("arm"), "fact", "slot").distinct()
@@ -99,22 +219,26 @@ def contrasts(ranks: DataFrame, betas: DataFrame, pairs: list[tuple[str, str]],
 
     Two arms are equivalent if the mean differs from 0 by less than ``margin`` and the interval holds 0.
     """
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), f(F.col("rank")).alias("value")) for m, f in METRICS.items()])
-    own = ranks.join(betas, ["arm", "beta"]).select("arm", "fact", context.alias("context"), modality.alias("_m"), F.explode(values).alias("v")).select("arm", "fact", "context", "_m", "v.*")
-    both = F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in pairs])).alias("p")
-    pair = ranks.sparkSession.range(1).select(both).select("p.*")  # one row for each pair
-    left = own.join(F.broadcast(pair), own.arm == pair.left).withColumnRenamed("value", "left_value").drop("arm")
-    right = own.select(F.col("arm").alias("right"), "fact", "metric", F.col("value").alias("right_value"))
-    rows = by_modality(left.join(right, ["right", "fact", "metric"]), F.col("_m"))
+    own = ranks.join(F.broadcast(betas), ["arm", "beta"]).select("arm", "fact", "rank", context.alias("context"), modality.alias("_m"))  # one weight for each arm
+    named = sorted({a for pair in pairs for a in pair})
+    facts = own.where(F.col("arm").isin(named)).groupBy("fact", "context", "_m").agg(*[F.max(F.when(F.col("arm") == a, F.struct("rank"))).alias(f"_{k}") for k, a in enumerate(named)])
+    of = lambda a: F.col(f"_{named.index(a)}")
+    met = [F.when(of(a).isNotNull() & of(b).isNotNull(), F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), of(a)["rank"].alias("l"), of(b)["rank"].alias("r"))) for a, b in pairs]
+    both = by_modality(facts.select("context", "_m", F.explode(F.filter(F.array(*met), lambda p: p.isNotNull())).alias("p")).select("context", "_m", "p.*"), F.col("_m"))
+    group = ["left", "right", "modality", "context"]
+    value = lambda f, c: f(F.col(c))
+    sums = both.groupBy(*group).agg(F.count("*").alias("n"), *[F.sum(x).alias(f"{m}_{n}") for m, f in METRICS.items() for n, x in (("l", value(f, "l")), ("r", value(f, "r")), ("d", value(f, "l") - value(f, "r")))])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_d").alias("total"), F.col(f"{m}_l").alias("left_total"), F.col(f"{m}_r").alias("right_total")) for m in METRICS])).alias("v")
     key = ["left", "right", "modality", "metric"]
-    per = staged(rows.groupBy(*key, "context").agg(F.sum(F.col("left_value") - F.col("right_value")).alias("total"), F.count("*").alias("n")), "contexts")
+    per = staged(sums.select(*group, "n", each).select(*group, "n", "v.*"), "contexts")
     # Every contrast draws from its modality's contexts.
     samples = None
     for (kind,) in [(r[0],) for r in per.select("modality").distinct().collect()]:  # a few
         own_ = per.where(F.col("modality") == kind)
         met = resampled_groups(own_, key, "context", draws)
         samples = met if samples is None else samples.unionByName(met)
-    means = rows.groupBy(*key).agg(F.count("*").alias("facts"), F.avg("left_value").alias("left_value"), F.avg("right_value").alias("right_value"), F.avg(F.col("left_value") - F.col("right_value")).alias("mean"))
+    mean = lambda c: F.sum(c) / F.sum("n")
+    means = per.groupBy(*key).agg(F.sum("n").alias("facts"), mean("left_total").alias("left_value"), mean("right_total").alias("right_value"), mean("total").alias("mean"))
     if samples is None:
         return means.where("false")
     ends = samples.groupBy(*key).agg(*bounds("statistic", "ci"))

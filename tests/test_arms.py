@@ -104,3 +104,24 @@ def test_abstention(spark):
     df = spark.createDataFrame([(1, 2), (1, 4), (2, 3), (2, 4), (3, 1)], "slot int, resolved int")
     got = {x.slot: (x["mean"], x.violates) for x in ar.abstention(df, "1").collect()}
     assert got == {1: (3.0, False), 2: (3.5, True), 3: (1.0, False)}
+
+
+@pytest.mark.parametrize("n_parts", [1, 3])
+def test_one_pass_over_parts_gives_the_ranks_heads_and_oracle_of_single_steps(spark, parts, n_parts):
+    _, (r, a, g, _) = parts
+    g = g.where("fact % 5 > 0")
+    passes = r.groupBy("fact", "slot").agg((F.max("tag") > 10).alias("passes"))
+    slots, betas = r.select("fact", "slot").distinct(), [0.0, 0.7]
+    rows = r.join(a, ["fact", "slot", "tag"], "left").withColumn("passes", F.col("tag") > 10).unionByName(spark.createDataFrame([(99, 1, None, 1, None, None), (99, 2, 4, 1, 0.5, False), (None, 1, 3, 1, 0.5, True)], "fact long, slot int, tag long, rank long, agree double, passes boolean"))
+    rows = rows.join(g, "fact", "left").repartition(n_parts, "fact")
+    got = {(x.arm, x.fact, x.beta): (x["rank"], x.share and round(x.share, 9)) for x in ar.ranks_of_slots(rows, {"S1": [1, 2], "none": [7]}, "S3", betas, 5).collect()}
+    own = r.unionByName(spark.createDataFrame([(99, 2, 4, 1)], "fact long, slot int, tag long, rank long"))
+    told = a.unionByName(spark.createDataFrame([(99, 2, 4, 0.5)], "fact long, slot int, tag long, agree double"))
+    two = slots.unionByName(spark.createDataFrame([(99, 1), (99, 2)], "fact long, slot int"))
+    arms = two.where("slot < 3").select(F.lit("S1").alias("arm"), "fact", "slot").unionByName(ar.filtered_arm(two, passes, "S3"))
+    solo = ar.arm_ranks(own, ar.solo_arms(two), told, g, betas, 5)
+    want = ar.with_oracle(ar.arm_ranks(own, arms, told, g, betas, 5), solo).unionByName(solo)
+    assert got == {(x.arm, x.fact, x.beta): (x["rank"], x.share and round(x.share, 9)) for x in want.collect()} and len(got) > 300
+    heads = {(x.fact, x.slot): (x.preferred, round(x.score, 9), x.overlap and round(x.overlap, 9)) for x in ar.slot_heads(rows.where("fact < 99"), 3).collect()}
+    both = ar.preferred_slots(r, a, 3).join(ar.slot_overlap(r, 3), ["fact", "slot"], "left")
+    assert heads == {(x.fact, x.slot): (x.preferred, round(x.score, 9), x.overlap and round(x.overlap, 9)) for x in both.collect()}
